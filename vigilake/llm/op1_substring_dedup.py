@@ -211,7 +211,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
     place = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "h1", "h2", "start")
     windows = pieces.where("home is null").select("w1", "w2", place.alias("place"))
-    firsts = windows.groupBy("w1", "w2").agg(F.min("place").alias("first"))
+    firsts = windows.groupBy("w1", "w2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = settle(firsts, "windows")  # a plain join, of which Spark can split a hot window
     hot = windows.join(firsts, ["w1", "w2"]).where("place > first").select("place.h1", "place.h2", F.col("place.start").alias("begin"), (F.col("place.start") + window).alias("stop"))
 
     spans = cold.unionByName(hot).groupBy("h1", "h2").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
