@@ -2,10 +2,12 @@
 
 1. Equal texts (A-Z and white space folded) are one class; its smallest doc_id stands for it.
 2. Frequent shingles, found by lossy counting over all texts, come last in the order of shingles; the others are in
-   hash order. Only the order depends on them, never a result, so the broadcast list may be bounded (MOST_FREQUENT).
+   hash order. Only the order and the routing depend on them, never a result, so the broadcast list may be bounded
+   (MOST_FREQUENT). Their homes are known from it, so no frequent shingle is a key of a shuffle.
 3. In that order, of the first n - T + s(n) shingles of two sets that link (T: the least overlap a set of n needs,
-   s: least_shared) at least s of the smaller set's size are shared. A class that shares fewer has no link and is done.
-4. Each shared shingle has a home, the smallest class that holds it; classes meet in their shingles' homes, with their
+   s: least_shared) at least s of the smaller set's size are shared. A class that shares fewer has no link and is done;
+   homes of too few of its shingles to miss a link are left out.
+4. Entries (shingle, class) are shuffled packed. Each shared shingle has a home, a class that holds it; classes meet in their shingles' homes, with their
    whole sets. In a home each class is a query to an inverted index of the smaller ones: short lists are merged by
    heap, long ones probed by binary search, and those that reach the overlap are kept (DivideSkip).
 5. A home of more than CHUNK classes is dealt into chunks. Each chunk links to the home's pivot, one class; classes
@@ -38,7 +40,9 @@ K = 5
 SIMILAR = 75  # of 100
 FREQUENT = 0.002  # of a batch's documents
 MOST_FREQUENT = 100_000
+SURE = 12  # of 100: shingles shared in the prefixes beyond the first
 CHUNK = 1_000
+HELD = 4_000_000  # entries that a task packs at once
 _PIVOT_FROM = 64
 
 
@@ -53,41 +57,126 @@ def pair_overlap(a: int, b: int, similar: int = SIMILAR) -> int:
 
 
 def least_shared(n):
-    return np.minimum(np.maximum(1, n * 6 // 100), least_overlap(n))
+    return np.maximum(1, n * SURE // 100)
 
 
 def _frequent(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                g, _ = shingle_sets(part.column("text"), k)
-                keys, n = np.unique(g, return_counts=True)
+                g, b = shingle_sets(part.column("text"), k)
+                ids = np.repeat(np.asarray(part.column("h1")), np.diff(b))
+                order = np.lexsort((ids, g))
+                keys, first, n = np.unique(g[order], return_index=True, return_counts=True)
                 often = n >= max(3, FREQUENT * part.num_rows)
-                yield pa.record_batch([pa.array(signed(keys[often])), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
+                yield pa.record_batch([pa.array(signed(keys[often])), pa.array(n[often].astype(np.int64)), pa.array(ids[order][first[often]])], ["shingle", "n", "home"])
 
     return run
 
 
-def _prefixes(k: int, similar: int, frequent):
+def _prefix(text: pa.Array, k: int, similar: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first shingles of each row, those in `last` after all others: rows, shingles, place in last or -1."""
+    g, b = shingle_sets(text, k)
+    n = np.diff(b)
+    rows = np.repeat(np.arange(len(n)), n)
+    place = np.full(len(g), -1)
+    if len(last) and len(g):
+        at = np.minimum(np.searchsorted(last, g), len(last) - 1)
+        place = np.where(last[at] == g, at, -1)
+        order = np.lexsort((g, place >= 0, rows))
+        g, place = g[order], place[order]
+    size = n - least_overlap(n, similar) + least_shared(n)
+    mine = (np.arange(len(g)) - b[:-1][rows]) < size[rows]
+    return rows[mine], g[mine], place[mine]
+
+
+_ENTRIES = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("x", pa.binary()), ("y", pa.binary())])
+
+
+def _dealt(x: np.ndarray, y: np.ndarray, by: np.ndarray, buckets: int, known: bool) -> pa.RecordBatch:
+    """One row for each bucket, with its parts of x and y as bytes."""
+    bucket = (by.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((x, bucket))
+    x, y, bucket = x[order], y[order], bucket[order]
+    names, first = np.unique(bucket, return_index=True)
+    edges = np.append(first, len(x))
+    cut = lambda v: pa.array([v[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())
+    return pa.record_batch([pa.array(names), pa.array([known] * len(names), pa.bool_()), cut(x), cut(y)], schema=_ENTRIES)
+
+
+def _pairs(rep: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (rep, home), and how many of each."""
+    order = np.lexsort((home, rep))
+    rep, home = rep[order], home[order]
+    new = np.ones(len(rep), bool)
+    new[1:] = (rep[1:] != rep[:-1]) | (home[1:] != home[:-1])
+    at = np.flatnonzero(new)
+    return rep[at], home[at], np.diff(np.append(at, len(rep)))
+
+
+def _emit_entries(k: int, similar: int, frequent, buckets: int):
+    """(shingle, class) entries, packed by bucket. Frequent shingles' homes are known already: (class, home) instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
+        last, last_home = frequent.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            x, y, _ = _pairs(*(np.concatenate(c) for c in zip(*held)))  # equal texts count once
+            held.clear()
+            return _dealt(x, y, x, buckets, False)
+
         for batch in batches:
             for part in slices(batch):
-                g, b = shingle_sets(part.column("text"), k)
-                n = np.diff(b)
-                rows = np.repeat(np.arange(len(n)), n)
-                if len(last) and len(g):
-                    at = np.minimum(np.searchsorted(last, g), len(last) - 1)
-                    order = np.lexsort((g, last[at] == g, rows))
-                    g = g[order]
-                size = n - least_overlap(n, similar) + least_shared(n)
-                mine = (np.arange(len(g)) - b[:-1][rows]) < size[rows]
-                rows = rows[mine]
-                yield pa.record_batch([pa.array(signed(g[mine])), part.column("rep").take(pa.array(rows))], ["shingle", "rep"])
+                rows, g, place = _prefix(part.column("text"), k, similar, last)
+                rep = np.asarray(part.column("h1"))[rows]
+                often = place >= 0
+                if often.any():
+                    pair = np.unique(np.stack([signed(g[often]), rep[often], last_home[place[often]]]), axis=1)
+                    yield _dealt(pair[1], pair[2], pair[1], buckets, True)
+                if not often.all():
+                    held.append((signed(g[~often]), rep[~often]))
+                if sum(len(x) for x, _ in held) >= HELD:
+                    yield packed()
+        if held:
+            yield packed()
 
     return run
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: (class, home, number of its shingles that others share too and that have this home)."""
+
+    def met(x: list[bytes], y: list[bytes], known: list[bool]) -> pa.RecordBatch:
+        join = lambda which: [np.frombuffer(b"".join(v for v, k in zip(c, known) if k == which), np.int64) for c in (x, y)]
+        rep, home = join(True)
+        shingle, owner = join(False)
+        if len(shingle):
+            order = np.lexsort((owner, shingle))
+            shingle, owner = shingle[order], owner[order]
+            new = np.ones(len(shingle), bool)
+            new[1:] = shingle[1:] != shingle[:-1]
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.append(first, len(shingle)))
+            least, most = owner[first], owner[first + sizes - 1]
+            shared = np.repeat(least < most, sizes)
+            rep, home = np.append(rep, owner[shared]), np.append(home, np.repeat(least, sizes)[shared])
+        rep, home, n = _pairs(rep, home)
+        return pa.record_batch([pa.array(rep), pa.array(home), pa.array(n.astype(np.int64))], ["cls", "home", "n"])
+
+    current, held = None, ([], [], [])
+    for batch in batches:
+        for bucket, known, x, y in zip(*(batch.column(c).to_pylist() for c in ("bucket", "known", "x", "y"))):
+            if bucket != current:
+                if held[0]:
+                    yield met(*held)
+                current, held = bucket, ([], [], [])
+            for into, value in zip(held, (x, y, known)):
+                into.append(value)
+    if held[0]:
+        yield met(*held)
+
+
 def _sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,15 +187,18 @@ def _sizes(k: int):
     return run
 
 
-def _sets(k: int, similar: int):
+def _sets(k: int):
+    """A row for each cell that a class goes to, with its whole set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 g, b = shingle_sets(part.column("text"), k)
-                enough = np.flatnonzero(np.asarray(part.column("shared")) >= least_shared(least_overlap(np.diff(b), similar)))
-                sets = [g[b[i] : b[i + 1]].tobytes() for i in enough]
-                kept = pa.array(enough)
-                yield pa.record_batch([part.column("rep").take(kept), part.column("homes").take(kept), pa.array(sets, pa.binary())], ["rep", "homes", "members"])
+                cells, at = part.column("cells").flatten(), np.diff(np.asarray(part.column("cells").offsets))
+                rows = np.repeat(np.arange(part.num_rows), at)
+                sets = pa.array([g[b[i] : b[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())
+                fields = dict(zip([f.name for f in cells.type], cells.flatten()))
+                yield pa.record_batch([*(fields[n] for n in ("home", "chunk", "block", "asks", "pivot")), part.column("rep").take(pa.array(rows)), sets.take(pa.array(rows))], ["home", "chunk", "block", "asks", "pivot", "rep", "members"])
 
     return run
 
@@ -246,61 +338,77 @@ def _groups(key: list[str], similar: int, rounds: str):
     return run
 
 
-def frequent_shingles(docs: DataFrame, k: int = K) -> np.ndarray:
-    """The most frequent shingles of all texts, at most MOST_FREQUENT, sorted."""
-    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequent(k), "shingle long, n long")
-    top = counted.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).select("shingle")
-    return np.sort(np.array([r.shingle for r in top.collect()], np.int64).view(np.uint64))
+def frequent_shingles(base: DataFrame, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of all texts, at most MOST_FREQUENT, sorted, and a class that holds each."""
+    counted = base.select("h1", "text").mapInArrow(_frequent(k), "shingle long, n long, home long")
+    top = counted.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("home").alias("home")).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
+    rows = np.array([(r.shingle, r.home) for r in top.select("shingle", "home").collect()], np.int64).reshape(-1, 2)
+    order = np.argsort(rows[:, 0].copy().view(np.uint64))
+    return rows[order, 0].copy().view(np.uint64), rows[order, 1].copy()
+
+
+def folded_hash(text) -> tuple:
+    return wide_hash(F.translate(text, UPPER + "\t\n\x0b\x0c\r", LOWER + "     "))
+
+
+def _meetings(base: DataFrame, ids: DataFrame, k: int, similar: int, n_parts: int) -> DataFrame:
+    """h1, h2, rep, home: the homes in which each class that may have links meets others."""
+    last = base.sparkSession.sparkContext.broadcast(frequent_shingles(base, k))
+    entries = base.select("h1", "text").mapInArrow(_emit_entries(k, similar, last, 4 * n_parts), "bucket int, known boolean, x binary, y binary")
+    met = entries.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "cls long, home long, n long")
+    met = met.groupBy("cls", "home").agg(F.sum("n").alias("n")).groupBy("cls").agg(F.sum("n").alias("shared"), F.array_sort(F.collect_list(F.struct("n", "home"))).alias("homes"))
+    sure = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * similar / 100) * SURE / 100))
+    chosen = ids.join(met, ids.h1 == met.cls).where(F.col("shared") >= sure)
+    # two that link share `sure` of either: each may leave out homes of fewer than half as many, and they still meet
+    spare = F.floor((sure - 1) / 2).cast("long")
+    start = F.struct(spare.alias("spare"), F.array().cast("array<bigint>").alias("kept"))
+    step = lambda a, x: F.when(x["n"] <= a["spare"], F.struct((a["spare"] - x["n"]).alias("spare"), a["kept"].alias("kept"))).otherwise(F.struct(a["spare"].alias("spare"), F.concat(a["kept"], F.array(x["home"])).alias("kept")))
+    kept = F.aggregate("homes", start, step)["kept"]
+    return settle(chosen.select("h1", "h2", "rep", F.explode(kept).alias("home")), "meetings")
+
+
+def _links(base: DataFrame, cells: DataFrame, key: list[str], rounds: str, k: int, similar: int, n_parts: int) -> DataFrame:
+    """cells: h1, h2, rep, home, chunk, block, asks, pivot. Each cell's classes searched: home, a, b."""
+    texts = base.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    of_class = cells.groupBy("h1", "h2", "rep").agg(F.collect_list(F.struct("home", "chunk", "block", "asks", "pivot")).alias("cells"))
+    rows = texts.join(of_class, ["h1", "h2"]).select("rep", "cells", "text")
+    rows = rows.mapInArrow(_sets(k), "home long, chunk int, block int, asks boolean, pivot long, rep long, members binary")
+    return rows.repartition(n_parts, *key).sortWithinPartitions(*key, "rep").mapInArrow(_groups(key, similar, rounds), "home long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = K, similar: int = SIMILAR, chunk: int | None = None) -> DataFrame:
     """docs (doc_id, text): doc_id, text_h1, text_h2, n_shingles, component_id for each row."""
     chunk = chunk or CHUNK
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    last = spark.sparkContext.broadcast(frequent_shingles(docs, k))
-    h1, h2 = wide_hash(F.translate("text", UPPER + "\t\n\x0b\x0c\r", LOWER + "     "))
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h1, h2 = folded_hash(F.col("text"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
-    classes = base.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
-
-    entries = classes.where("rep is not null").mapInArrow(_prefixes(k, similar, last), "shingle long, rep long")
-    homes = entries.groupBy("shingle").agg(F.min("rep").alias("home"), F.max("rep").alias("most")).where("home < most").select("shingle", "home")
-    shared = entries.join(homes, "shingle").groupBy("rep").agg(F.count("*").alias("shared"), F.collect_set("home").alias("homes"))
-    whole = classes.join(shared, "rep").select("rep", "shared", "homes", "text").mapInArrow(_sets(k, similar), "rep long, homes array<long>, members binary")
-    members = settle(whole.select("rep", F.explode("homes").alias("home"), "members"), "members")
-
-    sizes = members.groupBy("home").agg(F.count("*").alias("classes"), F.min("rep").alias("pivot")).where("classes > 1")
-    sizes = settle(sizes.withColumn("chunks", F.ceil(F.col("classes") / chunk).cast("int")), "homes")
-    small = members.join(sizes.where("chunks = 1").select("home"), "home")
-    groups = small.select("home", F.lit(0).alias("chunk"), "rep", "members", F.lit(None).cast("long").alias("pivot"), F.lit(True).alias("asks"))
-    hot = sizes.where("chunks > 1")
-    dealt = members.join(hot.select("home", "pivot", "chunks"), "home").withColumn("chunk", F.pmod(F.xxhash64("rep", "home"), F.col("chunks")).cast("int"))
-    every = F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    large = dealt.withColumn("chunk", F.explode(every)).select("home", "chunk", "rep", "members", "pivot", F.lit(True).alias("asks"))
-    key = ["home", "chunk"]
-    first = groups.unionByName(large).repartition(n_parts, *key).sortWithinPartitions(*key, "rep")
-    first = settle(first.mapInArrow(_groups(key, similar, "first"), "home long, a long, b long"), "links")
+    sized = settle(base.mapInArrow(_sizes(k), "doc_id long, h1 long, h2 long, n_shingles long"), "sized")
+    ids = sized.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")).where("rep is not null")
+    met = _meetings(base, ids, k, similar, n_parts)
+
+    homes = met.groupBy("home").agg(F.count("*").alias("classes"), F.min("rep").alias("pivot")).where("classes > 1")
+    homes = settle(homes.withColumn("chunks", F.ceil(F.col("classes") / chunk).cast("int")), "homes")
+    dealt = met.join(homes, "home").withColumn("chunk", F.pmod(F.xxhash64("rep", "home"), F.col("chunks")).cast("int"))
+    every = F.when((F.col("chunks") > 1) & (F.col("rep") == F.col("pivot")), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    pivot = F.when(F.col("chunks") > 1, F.col("pivot")).alias("pivot")
+    columns = ["h1", "h2", "rep", "home", "chunk", "block", "asks", "pivot"]
+    cells = dealt.withColumns({"chunk": F.explode(every), "block": F.lit(0), "asks": F.lit(True)}).select(*columns[:-1], pivot)
+    first = settle(_links(base, cells, ["home", "chunk"], "first", k, similar, n_parts), "links")
+    links = first.where("b is not null")
 
     apart = first.where("b is null").select("home", F.col("a").alias("rep")).distinct()
     if not apart.isEmpty():
-        blocks = apart.groupBy("home").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / chunk).cast("int")).join(hot.select("home", "chunks"), "home")
-        plan = settle(blocks.select("home", "blocks", "chunks"), "blocks")
+        blocks = apart.groupBy("home").agg(F.count("*").alias("n")).select("home", F.ceil(F.col("n") / chunk).cast("int").alias("blocks"))
+        plan = dealt.select(*columns[:5], "chunks").join(settle(blocks, "blocks"), "home")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        held = members.join(plan, "home")
-        of_chunk = held.withColumn("chunk", F.pmod(F.xxhash64("rep", "home"), F.col("chunks")).cast("int")).withColumn("block", spread("blocks"))
-        asking = held.join(apart, ["home", "rep"]).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int")).withColumn("chunk", spread("chunks"))
-        columns = ["home", "chunk", "block", "rep", "members"]
-        cells = of_chunk.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
-        key = ["home", "chunk", "block"]
-        second = cells.repartition(n_parts, *key).sortWithinPartitions(*key, "rep").mapInArrow(_groups(key, similar, "second"), "home long, a long, b long")
-        links = first.where("b is not null").unionByName(second)
-    else:
-        links = first.where("b is not null")
+        all_rows = plan.withColumns({"block": spread("blocks"), "asks": F.lit(False)})
+        asking = plan.join(apart, ["home", "rep"]).withColumns({"chunk": spread("chunks"), "block": F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"), "asks": F.lit(True)})
+        cells = all_rows.withColumn("pivot", F.lit(None).cast("long")).select(*columns).unionByName(asking.withColumn("pivot", F.lit(None).cast("long")).select(*columns))
+        links = links.unionByName(_links(base, cells, ["home", "chunk", "block"], "second", k, similar, n_parts))
 
     found = components(links.select("a", "b"))
-    rows = base.mapInArrow(_sizes(k), "doc_id long, h1 long, h2 long, n_shingles long")
-    named = base.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left")
-    rows = rows.join(named.select("h1", "h2", "rep", "component"), ["h1", "h2"])
+    named = ids.join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", "rep", "component")
+    rows = sized.join(named, ["h1", "h2"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return rows.select(
         "doc_id", F.col("h1").alias("text_h1"), F.col("h2").alias("text_h2"), "n_shingles",
@@ -312,7 +420,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each group of near copies, its smallest doc_id. Rows without doc_id or words stay."""
     groups = jaccard_components(docs).where("component_id is not null")
     firsts = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_h1", "text_h2")).alias("first")).select("first.*")
-    h1, h2 = wide_hash(F.translate(F.coalesce("text", F.lit("")), UPPER + "\t\n\x0b\x0c\r", LOWER + "     "))
+    h1, h2 = folded_hash(F.coalesce("text", F.lit("")))
     key = ["doc_id", "text_h1", "text_h2"]
     kept = docs.where("doc_id is not null").withColumns({"text_h1": h1, "text_h2": h2}).join(firsts, key, "left_semi").dropDuplicates(key)
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
