@@ -1,8 +1,8 @@
 """Document fingerprints: canonical exact digest, with DataFrame functions only.
 
 The canonical form is NFKC, full case folding, NFKC again, and white-space runs as one space, none at the ends. Its
-fingerprint is 128 bits of xxhash64. Inside each bucket of equal digests the canonical bytes are compared (smallest
-against largest, pre-aggregated); in a bucket that holds different bytes a SHA-256 is appended, so equal fingerprints
+fingerprint is 128 bits of xxhash64. Inside each bucket of equal digests the canonical bytes are compared (grouped by
+digest and bytes, pre-aggregated, so copies never meet one by one); in a bucket that holds different bytes a SHA-256 is appended, so equal fingerprints
 always mean equal canonical texts. Likeness of two fingerprints is 1 for the same canonical bytes, else 0.
 
 The document that follows in doc_id order is found without a global sort: doc_ids are cut at quantiles, and the first
@@ -52,28 +52,28 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     at = [F.struct(own.alias("range"), F.lit(False).alias("copy")), F.struct(before.alias("range"), F.lit(True).alias("copy"))]
     spread = F.when(F.array_contains(all_cuts, F.col("place")), F.array(*at)).otherwise(F.array(at[0]))
 
-    rows = hashed.select("doc_id", "place", "text", "h1", "h2", F.sha2("canon", 256).alias("sha"), F.xxhash64("text").alias("tie"), spread.alias("at"))
+    rows = hashed.select("doc_id", "place", "text", "h1", "h2", F.unhex(F.sha2("canon", 256)).alias("sha"), F.xxhash64("text").alias("tie"), spread.alias("at"))
     rows = rows.withColumn("at", F.explode("at")).select("*", "at.range", "at.copy").drop("at")
     order = Window.partitionBy("range").orderBy("copy", "place", "tie")
-    follow = rows.withColumn("next", F.lead(F.struct("text", "h1", "h2")).over(order)).where("not copy")
+    follow = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "h1", "h2")}).where("not copy")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = follow.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)))
+    edited = follow.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
     edited = edited.withColumn("canon_edited", canonical(F.col("edited")))
     e1, e2 = wide_hash(F.col("canon_edited"))
     edited = edited.withColumns({"e1": e1, "e2": e2})
     same = lambda a1, a2, bytes_: F.when((F.col("h1") == a1) & (F.col("h2") == a2), bytes_().cast("double")).otherwise(0.0)
     mine = edited.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "h1", "h2", "e1", "e2", "sha", F.sha2("canon_edited", 256).alias("edited_sha"),
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "h1", "h2", "e1", "e2", "sha", F.unhex(F.sha2("canon_edited", 256)).alias("edited_sha"),
         same(F.col("e1"), F.col("e2"), lambda: canonical(F.col("text")) == F.col("canon_edited")).alias("near_edited"),
-        same(F.col("next.h1"), F.col("next.h2"), lambda: canonical(F.col("text")) == canonical(F.col("next.text"))).alias("near_next"),
+        same(F.col("next_h1"), F.col("next_h2"), lambda: canonical(F.col("text")) == canonical(F.col("next_text"))).alias("near_next"),
     )
 
-    mixed = hashed.groupBy("h1", "h2").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least != most")
+    mixed = hashed.groupBy("h1", "h2", "canon").agg(F.count("*")).groupBy("h1", "h2").agg(F.count("*").alias("texts")).where("texts > 1")
     of_text = mixed.select("h1", "h2", F.lit(True).alias("shared"))
     of_edited = mixed.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.lit(True).alias("edited_shared"))
     marked = mine.join(of_text, ["h1", "h2"], "left").join(of_edited, ["e1", "e2"], "left")
-    told = lambda shared, sha: F.when(F.col(shared), F.concat(F.lit("-"), F.col(sha))).otherwise("")
+    told = lambda shared, sha: F.when(F.col(shared), F.concat(F.lit("-"), F.lower(F.hex(sha)))).otherwise("")
     return marked.select(
         "doc_id", "n_chars", "edited_sha256",
         F.concat(_digest(F.col("h1"), F.col("h2")), told("shared", "sha")).alias("fingerprint"),
