@@ -1,0 +1,223 @@
+"""Queries over the driver's tables, and the SQL that they must equal.
+
+The tables hold prose, so queries about code pair each document with one of a few authored snippets by doc_id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules as R
+from ..operators import hooks as H
+from ..operators import store as S
+from ..operators import traffic as T
+
+#: k, language, path, func, cwe, severity, snippet, content
+CODE = [
+    ("python", "app/login.py", "login", "CWE-78", "high", 'os.system(f"ls {user}")', "user = request.args\nos.system(user)"),
+    ("python", "app/db.py", "get_user", "CWE-89", "high", "cur.execute(sql)", "cur.execute(sql)"),
+    ("python", "tests/unit/app.py", "login", "CWE-94", "critical", "eval(x)", "eval(x)"),
+    ("python", "app/net.py", "fetch", "CWE-918", "high", "urlopen(url)", "url = request.form\nurlopen(url)"),
+    ("python", "app/io.py", "view_file", "CWE-22", "medium", "open(name)", "open(name)"),
+    ("python", "app/io.py", "helper", "CWE-22", "medium", "open('static.txt')", "x = 1"),
+    ("python", "app/obj.py", None, "CWE-502", "high", "pickle.loads(data)", "pickle.loads(data)"),
+    ("javascript", "web/a.js", "render", "CWE-79", "medium", "el.innerHTML = q", "q = req.query"),
+    ("javascript", "web/b.js", "", "CWE-913", "medium", "require(m)", "require(m)"),
+    ("java", "src/A.java", "doGet", "CWE-78", "high", 'run(a + "b")', 'Object o = readObject();\nnew ProcessBuilder(a + "b");\nlog.info(x);'),
+    ("java", "src/B.java", "log", "CWE-470", "high", "log.info(m.invoke(o))", "Method.invoke(o)\nStatement.execute(q)"),
+    ("php", "p/x.php", "f", "CWE-98", "high", "include $page", "include $page;\necho $_GET['a'];\nunserialize ($x);"),
+    ("go", "main.go", "main", None, "medium", "exec.Command(a)", "exec.Command(a)"),
+]
+_NAMES = ["k", "language", "path", "func", "cwe", "severity", "snippet", "content"]
+
+
+def _quoted(x) -> str:
+    return "null" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+_VALUES = ", ".join("(" + ", ".join(_quoted(v) for v in (k, *row)) + ")" for k, row in enumerate(CODE))
+_HOOKS = f"hooks as (select d.doc_id, v.* from documents d join (values {_VALUES}) v({', '.join(_NAMES)}) on d.doc_id % {len(CODE)} = v.k)"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = spark.createDataFrame([(k, *row) for k, row in enumerate(CODE)], "k long, language string, path string, func string, cwe string, severity string, snippet string, content string")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(CODE)).alias("k"))
+    return docs.join(F.broadcast(code), "k").select("doc_id", *_NAMES)
+
+
+def _re2(pattern: str) -> str:
+    """The same test without look-ahead, for single lines."""
+    return pattern.replace("(?!/)", "([^/]|$)").replace("(?i)", "")
+
+
+def _any(table: dict[str, list[str]], column: str, flag: str = ", 'i'") -> str:
+    return "(case language " + " ".join(f"when '{g}' then regexp_matches({column}, {_quoted(R.either(p))}{flag})" for g, p in table.items()) + " else false end)"
+
+
+_TEST = "(" + " or ".join(f"contains({x}, '{m}')" for m in R.TEST_MARKS for x in ("base", "folder")) + ")"
+_ROUTE = f"(coalesce(func, '') <> '' and (language = 'python' and regexp_matches(func, {_quoted(_re2(R.ROUTES['python']))}, 'i') or language = 'java' and regexp_matches(func, {_quoted(R.ROUTES['java'])})))"
+_REACHED = f"(coalesce(func, '') <> '' and {_any(R.USER_INPUT, 'content')} or {_ROUTE})"
+_SAFE = "(case " + " ".join(f"when language = '{g}' and regexp_matches(snippet, {_quoted(_re2(p))}, 'i') then {_quoted(why)}" for g, rows in R.SAFE.items() for p, why in rows) + " end)"
+_DECIDED = f"""{_HOOKS}, split as (select *, lower(regexp_extract(path, '[^/]*$')) as base, lower(regexp_replace(path, '/?[^/]*$', '')) as folder from hooks),
+step as (select *, case when {_TEST} then 1 when cwe in ('CWE-78', 'CWE-94', 'CWE-89') and not {_any(R.TAINT, 'snippet', '')} then 2 when {_any(R.ALWAYS_TRUE, 'snippet')} then 3
+  when cwe = 'CWE-918' and {_REACHED} then 3 when cwe = 'CWE-918' then 4 when {_SAFE} is not null then 5 when {_REACHED} then 3 else 6 end as step from split),
+decided as (select *, step <> 3 as fp_filtered, case step when 1 then 'Test file' when 2 then 'No user parameter in the dangerous line' when 4 then 'URL not user-controlled' when 5 then {_SAFE}
+  when 6 then 'No user input reachable' end as fp_reason from step)"""
+_CLASS = "(case " + " ".join(f"when language = '{g}' and regexp_matches(snippet, {_quoted(p)}, 'i') then {_quoted(c)}" for g, rows in R.CWE_RULES.items() for p, c, _, _ in rows) + " else 'CWE-0' end)"
+_TITLE = "(case " + " ".join(f"when language = '{g}' and regexp_matches(snippet, {_quoted(p)}, 'i') then {_quoted(t)}" for g, rows in R.CWE_RULES.items() for p, _, t, _ in rows) + " else 'Unknown' end)"
+_POINTS = f"cast(least(95, 30 + case when not fp_filtered then 20 else 0 end + case severity when 'critical' then 15 when 'high' then 10 else 0 end + case when regexp_matches(snippet, '{R.NAMED_VALUE}', 'i') then 10 else 0 end) as int)"
+_GREP = ", ".join("(" + ", ".join(_quoted(x) for x in (g, n, c, s, p)) + ")" for g, rows in R.GREP_RULES.items() for n, (c, s, p) in enumerate(rows))
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return H.decide(_hooks(spark, sf)).withColumn("confidence", H.confidence(F.col("fp_filtered"), F.col("severity"), F.col("snippet")))
+
+
+def _traffic(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pages = _t(spark, sf, "pages")
+    p = F.col("page_id")
+    ours = pages.select(p.alias("seq"), F.lit("GET").alias("method"), F.concat(F.lit("/p/"), (p % 97).cast("string")).alias("path"), F.when(p % 11 == 0, 403).otherwise(200).alias("status"), F.col("html").alias("body"), F.lit("").alias("cors"))
+    theirs = pages.select(p.alias("seq"), F.lit("GET").alias("method"), F.concat(F.lit("/p/"), (p % 97).cast("string")).alias("path"), F.when(p % 5 == 0, 401).when(p % 7 == 0, 500).otherwise(200).alias("status"), F.when(p % 3 == 0, F.col("html")).otherwise("short").alias("body"), F.when(p % 4 == 0, "*").otherwise("").alias("cors"))
+    return ours, theirs
+
+
+_PIECES = "list_distinct(list_transform(generate_series(0, cast(floor((length({0}) - 1) / 50.0) as bigint)), lambda i: substr({0}, cast(i * 50 + 1 as bigint), 50)))"
+_TRAFFIC = f"""with ours as (select page_id as seq, 'GET' as method, '/p/' || cast(page_id % 97 as varchar) as path, case when page_id % 11 = 0 then 403 else 200 end as status, html as body, '' as cors from pages),
+theirs as (select page_id as seq, 'GET' as method, '/p/' || cast(page_id % 97 as varchar) as path, case when page_id % 5 = 0 then 401 when page_id % 7 = 0 then 500 else 200 end as status,
+  case when page_id % 3 = 0 then html else 'short' end as body, case when page_id % 4 = 0 then '*' else '' end as cors from pages),
+last as (select * from theirs qualify row_number() over (partition by method, path order by seq desc) = 1),
+pairs as (select o.*, l.status as s2, l.body as b2, l.cors as c2, {_PIECES.format('o.body')} as x, {_PIECES.format('l.body')} as y from ours o join last l using (method, path)),
+sim as (select *, case when length(body) = 0 or length(b2) = 0 then 0.0 else len(list_intersect(x, y)) / cast(len(list_distinct(list_concat(x, y))) as double) end as likeness from pairs),
+kinds as (select *, case when status = 200 and s2 = 200 and length(body) > 0 and length(b2) > 100 and likeness > 0.7 then 'BODY_LEAK' when status = 200 and s2 not in (401, 403, 302) then 'STATUS_MISMATCH'
+  when c2 <> cors and contains(c2, '*') then 'HEADER_LEAK' end as diff_type from sim)
+select seq, method, path, case diff_type when 'BODY_LEAK' then 'HIGH' when 'STATUS_MISMATCH' then 'MEDIUM' else 'LOW' end as severity, diff_type, status as status_in, s2 as status_anon,
+  case diff_type when 'BODY_LEAK' then 60 when 'STATUS_MISMATCH' then 80 else 30 end as guide_score from kinds where diff_type is not null"""
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "events").withColumn("tokens", F.floor(F.col("value")).cast("long"))
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("action"), F.col("props").alias("entity"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return S.hash_chain(e, "user_id")
+
+
+def _links(spark: SparkSession, sf: str) -> DataFrame:
+    found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))
+    return _t(spark, sf, "pages").select("page_id", F.size(found).cast("long").alias("n_links"), F.array_join(F.array_sort(found), ",").alias("links"))
+
+
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    other = c.select("conv_id", F.col("turn").alias("near_turn"), F.col("size").alias("near_size"))
+    pairs = c.join(other, "conv_id").where((F.col("near_turn") != F.col("turn")) & (F.abs(F.col("near_turn") - F.col("turn")) <= 2))
+    order = Window.partitionBy("conv_id", "turn").orderBy("near_turn")
+    return pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("conv_id", "turn", "near_turn", "near_size", "rank")
+
+
+def _topk(spark: SparkSession, sf: str) -> DataFrame:
+    e = _t(spark, sf, "embeddings")
+    patterns = e.where("vec_id < 5").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("v"))  # the knowledge base: five patterns
+    found = T.best_patterns(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), patterns, 3, 0.1)
+    return found.select("id", "pid", "rank", F.round("score", 6).alias("score"))
+
+
+def _rollup(spark: SparkSession, sf: str) -> DataFrame:
+    c = _t(spark, sf, "conversations").where("role = 'assistant'")
+    return c.groupBy("conv_id").agg(F.count("*").alias("rounds"), F.max("turn").alias("last_turn"), F.max_by("text", "turn").alias("last_view"))
+
+
+def _stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_f"), F.count_if(F.col("o_orderstatus") == "O").alias("n_o"), F.count_if(F.col("o_totalprice") > 100000).alias("n_large"))
+
+
+def _severity(spark: SparkSession, sf: str) -> DataFrame:
+    rank = F.substring("o_orderpriority", 1, 1)
+    named = F.when(rank == "1", "critical").when(rank == "2", "high").when(rank == "3", "medium").when(rank == "4", "low")
+    return H.severity_summary(_t(spark, sf, "orders").withColumn("sev", named), "sev")
+
+
+def _update(spark: SparkSession, sf: str) -> DataFrame:
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    new = _t(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("o_orderstatus"))
+    return S.update(orders, new, ["o_orderkey"], ["o_orderstatus"])
+
+
+def _cwe_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return H.classify(_hooks(spark, sf)).groupBy("class_cwe").agg(F.count("*").alias("n"), F.min_by("class_title", "doc_id").alias("first_title"), F.min("doc_id").alias("first_doc"))
+
+
+def _ratio(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("files"), F.count_if(F.substring("text", 1, 200).rlike("(?iu)the ")).alias("marked"))
+    share = F.col("marked") / F.greatest("files", F.lit(1))
+    return d.select("source", "files", "marked", F.when(share >= 0.3, "skip").when(share >= 0.1, "risky").otherwise("safe").alias("verdict"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "hook_flow": lambda s, d: H.severity_summary(H.classify(_scored(s, d)).where("not fp_filtered"), "severity"),
+        "hooks_grep_scan": lambda s, d: H.scan_lines(_hooks(s, d)),
+        "fp_decisions": lambda s, d: H.decide(_hooks(s, d)).select("doc_id", "fp_filtered", "fp_reason"),
+        "cwe_classify": lambda s, d: H.classify(_hooks(s, d)).select("doc_id", "class_cwe", "class_title"),
+        "confidence_score": lambda s, d: _scored(s, d).select("doc_id", "confidence"),
+        "compliance": lambda s, d: H.comply(_scored(s, d)).select("doc_id", "low_impact", "platform_severity", "submittable"),
+        "cwe_stats": _cwe_stats,
+        "severity_summary": _severity,
+        "db_stats": _stats,
+        "token_usage": lambda s, d: S.usage(_events(s, d).select(F.col("event_type").alias("agent"), F.col("tokens").alias("prompt"), (F.col("tokens") * 2).alias("completion"))),
+        "budget_gate": lambda s, d: S.budget_gate(_events(s, d).select("user_id", "event_id", "tokens"), "user_id", "event_id", F.col("tokens"), 2000),
+        "event_hash_chain": _chain,
+        "upsert_hooks": lambda s, d: S.upsert(_t(s, d, "events").select("user_id", "event_type", "event_id", "props"), ["user_id", "event_type"], F.col("event_id")),
+        "update_status": _update,
+        "fk_violations": lambda s, d: S.dangling(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber"), _t(s, d, "orders").where("o_orderstatus <> 'P'"), "l_orderkey", "o_orderkey"),
+        "finding_hook_lookup": lambda s, d: _t(s, d, "orders").join(_t(s, d, "customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "c_name"),
+        "traffic_diff": lambda s, d: T.diff(*_traffic(s, d)),
+        "link_extract": _links,
+        "nearby_chunks": _near,
+        "semantic_topk": _topk,
+        "trial_rollup": _rollup,
+        "encryption_ratio": _ratio,
+    }
+
+
+_E = "(select *, cast(floor(value) as bigint) as tokens from events)"
+_SEVERITY = "case substr(o_orderpriority, 1, 1) when '1' then 'critical' when '2' then 'high' when '3' then 'medium' when '4' then 'low' end"
+_EVERY = "(values " + ", ".join(f"('{s}', {i})" for i, s in enumerate(R.SEVERITIES)) + ") e(severity, ord)"
+_DOWN = "case severity " + " ".join(f"when '{a}' then '{b}'" for a, b in zip(R.SEVERITIES, [*R.SEVERITIES[1:], "info"])) + " end"
+_LOW = "coalesce(cwe in (" + ", ".join(map(_quoted, R.LOW_IMPACT)) + "), false)"
+_COS = "list_inner_product({0}, {1}) / (sqrt(list_inner_product({0}, {0})) * sqrt(list_inner_product({1}, {1})))"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "hook_flow": f"with {_DECIDED}, c as (select severity, count(*) as n from decided where not fp_filtered group by 1) select e.severity, cast(ord as int) as ord, coalesce(n, 0) as n from {_EVERY} left join c on e.severity = c.severity",
+        "hooks_grep_scan": f"with {_HOOKS}, l as (select doc_id, path, language, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_start from hooks) select doc_id, path, l.language, cast(line_start as int) as line_start, cast(rule as int) as rule, cwe, severity, substr(rtrim(line), 1, 300) as snippet from l join (values {_GREP}) g(language, rule, cwe, severity, pattern) on l.language = g.language and regexp_matches(line, pattern, 'i')",
+        "fp_decisions": f"with {_DECIDED} select doc_id, fp_filtered, fp_reason from decided",
+        "cwe_classify": f"with {_HOOKS} select doc_id, {_CLASS} as class_cwe, {_TITLE} as class_title from hooks",
+        "confidence_score": f"with {_DECIDED} select doc_id, {_POINTS} as confidence from decided",
+        "compliance": f"with {_DECIDED}, p as (select doc_id, {_LOW} as low_impact, case when {_LOW} then {_DOWN} else severity end as platform_severity, {_POINTS} as confidence from decided) select doc_id, low_impact, platform_severity, not low_impact and platform_severity in ('critical', 'high', 'medium') and confidence >= 60 as submittable from p",
+        "cwe_stats": f"with {_HOOKS}, c as (select doc_id, {_CLASS} as class_cwe, {_TITLE} as t from hooks) select class_cwe, count(*) as n, arg_min(t, doc_id) as first_title, min(doc_id) as first_doc from c group by 1",
+        "severity_summary": f"with c as (select {_SEVERITY} as severity, count(*) as n from orders group by 1) select e.severity, cast(ord as int) as ord, coalesce(n, 0) as n from {_EVERY} left join c on e.severity = c.severity",
+        "db_stats": "select count(*) as n, count(*) filter (o_orderstatus = 'F') as n_f, count(*) filter (o_orderstatus = 'O') as n_o, count(*) filter (o_totalprice > 100000) as n_large from orders",
+        "token_usage": f"select event_type as agent, cast(sum(tokens) as bigint) as total_prompt, cast(sum(tokens * 2) as bigint) as total_completion from {_E} group by 1",
+        "budget_gate": f"with s as (select user_id, event_id, tokens, cast(coalesce(sum(tokens) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as bigint) as spent_before from {_E}) select *, spent_before >= 1800 as refused from s",
+        "event_hash_chain": "with g as (select user_id, list({'a': event_type, 'e': coalesce(props, ''), 't': strftime(ts, '%Y-%m-%d %H:%M:%S')} order by event_id) as l from events group by 1) select user_id, cast(len(l) as bigint) as n_events, list_reduce(list_prepend(repeat('0', 64), list_transform(l, lambda x: x.a || '|' || x.e || '|' || x.t)), lambda h, x: sha256(h || '|' || x)) as last_hash from g",
+        "upsert_hooks": "select user_id, event_type, max(event_id) as event_id, arg_max(props, event_id) as props from events group by 1, 2",
+        "update_status": "with n as (select l_orderkey, max(l_linestatus) as s from lineitem where l_returnflag = 'R' group by 1) select o_orderkey, coalesce(s, o_orderstatus) as o_orderstatus from orders left join n on o_orderkey = l_orderkey",
+        "fk_violations": "select l_orderkey, l_linenumber from lineitem where l_orderkey is not null and not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus <> 'P')",
+        "finding_hook_lookup": "select o_orderkey, o_custkey, c_name from orders left join (select * from customer where c_acctbal > 0) on o_custkey = c_custkey",
+        "traffic_diff": _TRAFFIC,
+        "link_extract": "with l as (select page_id, list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) as x from pages) select page_id, cast(len(x) as bigint) as n_links, array_to_string(x, ',') as links from l",
+        "nearby_chunks": "with p as (select a.conv_id, a.turn, b.turn as near_turn, cast(length(b.text) as int) as near_size, cast(row_number() over (partition by a.conv_id, a.turn order by b.turn) as int) as rank from conversations a join conversations b on a.conv_id = b.conv_id and a.turn <> b.turn and abs(a.turn - b.turn) <= 2) select * from p where rank <= 3",
+        "semantic_topk": f"with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), s as (select a.vec_id as id, b.vec_id as pid, {_COS.format('a.e', 'b.e')} as score from v a join v b on b.vec_id < 5), r as (select id, pid, cast(row_number() over (partition by id order by score desc, pid) as int) as rank, score from s) select id, pid, rank, round(score, 6) as score from r where rank <= 3 and score > 0.1",
+        "trial_rollup": "select conv_id, count(*) as rounds, max(turn) as last_turn, arg_max(text, turn) as last_view from conversations where role = 'assistant' group by 1",
+        "encryption_ratio": "with g as (select source, count(*) as files, count(*) filter (regexp_matches(substr(text, 1, 200), 'the ', 'i')) as marked from documents group by 1) select source, files, marked, case when marked / cast(files as double) >= 0.3 then 'skip' when marked / cast(files as double) >= 0.1 then 'risky' else 'safe' end as verdict from g",
+    }
