@@ -160,7 +160,8 @@ class Mix:
         last = F.least((F.col("block") + 1) * n, F.col("begin") + F.col("size"))
         parts = parts.withColumns({"first": first - F.col("begin"), "words": last - first})
         times = self.draws.groupBy("source_index", "block").agg(F.count("*").alias("times"))
-        return parts.join(times, ["source_index", "block"], "left").fillna(0, ["times"])
+        # the draws' size is unknown when the join is planned: never broadcast them
+        return parts.join(times.hint("merge"), ["source_index", "block"], "left").fillna(0, ["times"])
 
     def taken(self) -> DataFrame:
         key = ["doc_id", "digest", "source_index", "begin", "size", "source_size", "target"]
