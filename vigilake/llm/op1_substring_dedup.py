@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .automaton import SuffixAutomaton, matching_statistics, repeated_spans
 from .common import Words, mixed, settle, signed, slices, table, wide_hash
@@ -101,9 +102,9 @@ def _emit_runs(window: int):
                 begin = np.flatnonzero(new)
                 stop = np.flatnonzero(starts & ~np.append(starts[1:] & ~new[1:], False)) + 1
                 rows = _rows_of(w.bounds, begin)
-                cls = np.asarray(part.column("h1"))[rows]
+                h1, h2 = (np.asarray(part.column(c))[rows] for c in ("h1", "h2"))
                 spot = ((begin - w.bounds[rows]) << 24) | (stop - begin)
-                yield pa.record_batch([pa.array(signed(anchor[begin])), pa.array(cls), pa.array(spot)], ["anchor", "cls", "spot"])
+                yield pa.record_batch([pa.array(signed(anchor[begin])), pa.array(h1), pa.array(h2), pa.array(spot)], ["anchor", "h1", "h2", "spot"])
 
     return run
 
@@ -161,24 +162,33 @@ def _stream_shards(window: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            kept_all, n_all, removed_all, digest = [], [], [], []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                words = text.encode().split()
-                kept, at = [], 0
-                for s in sorted((x["begin"], x["stop"]) for x in spans or ()):
-                    if s[0] > at:
-                        kept += words[at : s[0]]
-                    at = max(at, s[1])
-                kept += words[at:]
-                joined = b" ".join(kept)
-                kept_all.append(joined.decode() if len(kept) < len(words) else text)
-                n_all.append(len(words))
-                removed_all.append(len(words) - len(kept))
-                digest.append(hashlib.sha256(joined).hexdigest())
-            yield pa.record_batch([part.column("h1"), part.column("h2"), part.column("first_id"), pa.array(n_all, pa.int64()), pa.array(removed_all, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_all, pa.string())], ["c1", "c2", "first_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+def _cut(window: int, names: list[str]):
+    """Documents with the spans of their class; later copies of a text lose every window, and so every word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
+                for text, spans, first in zip(*(part.column(c).to_pylist() for c in ("text", "spans", "is_first"))):
+                    words = text.encode().split()
+                    kept, at = [], 0
+                    if not first and len(words) >= window:
+                        at = len(words)
+                    else:
+                        for s in sorted((x["begin"], x["stop"]) for x in spans or ()):
+                            if s[0] > at:
+                                kept += words[at : s[0]]
+                            at = max(at, s[1])
+                    kept += words[at:]
+                    joined = b" ".join(kept)
+                    out["kept_text"].append(joined.decode() if len(kept) < len(words) else text)
+                    out["n_words"].append(len(words))
+                    out["n_removed"].append(len(words) - len(kept))
+                    out["kept_sha256"].append(hashlib.sha256(joined).hexdigest())
+                types = {"n_words": pa.int64(), "n_removed": pa.int64()}
+                yield pa.record_batch([pa.array(out[c], types.get(c, pa.string())) if c in out else part.column(c) for c in names], names)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -195,11 +205,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
 
     seen = classes.mapInArrow(_emit_anchors(window), "anchor long, home long")
     repeated = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("home").alias("home")).where("n >= 2")
-    runs = classes.mapInArrow(_emit_runs(window), "anchor long, cls long, spot long")
+    runs = classes.mapInArrow(_emit_runs(window), "anchor long, h1 long, h2 long, spot long")
     found = runs.join(repeated.select("anchor", "home", (F.col("n") > HOT).alias("hot")), "anchor")
-    by_class = found.groupBy("cls").agg(F.collect_list(F.struct("spot", "home", "hot")).alias("runs"))
-    pieces = settle(
-        classes.join(by_class, classes.h1 == by_class.cls).select("h1", "h2", "first_id", "text", "runs")
+    by_class = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("spot", "home", "hot")).alias("runs"))
+    pieces = settle(  # both sides are partitioned by the class already: no text moves again
+        classes.join(by_class.hint("merge"), ["h1", "h2"]).select("h1", "h2", "first_id", "text", "runs")
         .mapInArrow(_emit_pieces(window), "home long, first_id long, h1 long, h2 long, start long, words binary, w1 long, w2 long"),
         "repeats",
     )
@@ -216,19 +226,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     hot = windows.join(firsts, ["w1", "w2"]).where("place > first").select("place.h1", "place.h2", F.col("place.start").alias("begin"), (F.col("place.start") + window).alias("stop"))
 
     spans = cold.unionByName(hot).groupBy("h1", "h2").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    cut = classes.join(spans, ["h1", "h2"], "left").select("h1", "h2", "first_id", "text", "spans")
-    cut = cut.mapInArrow(_cut, "c1 long, c2 long, first_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    if not with_text:
-        cut = cut.drop("kept_text")
-    first = F.col("doc_id").eqNullSafe(F.col("first_id")) | (F.col("n_words") < window)
-    joined = base.drop("text").join(cut, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
-    return joined.select(
-        "doc_id", F.col("h1").alias("text_h1"), F.col("h2").alias("text_h2"), "n_words",
-        F.when(first, F.col("n_removed")).otherwise(F.col("n_words")).alias("n_removed"),
-        F.when(first, F.col("kept_sha256")).otherwise(F.lit(hashlib.sha256(b"").hexdigest())).alias("kept_sha256"),
-        *([F.when(first, F.col("kept_text")).otherwise(F.lit("")).alias("kept_text")] if with_text else []),
-        *(["carried"] if carry else []),
-    )
+    firsts = base.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
+    judged = settle(firsts.join(spans.hint("merge"), ["h1", "h2"], "left"), "judged")  # a plain join follows, of which Spark can split a hot text
+    rows = base.join(judged.hint("merge"), ["h1", "h2"])
+    rows = rows.select("doc_id", "text", "h1", "h2", "spans", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("is_first"), *(["carried"] if carry else []))
+    rows = rows.withColumnsRenamed({"h1": "text_h1", "h2": "text_h2"})
+    ours = [rows.schema[c] for c in ("doc_id", "text_h1", "text_h2")]
+    made = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), *([StructField("kept_text", StringType())] if with_text else [])]
+    schema = StructType([*ours, *made, *([rows.schema["carried"]] if carry else [])])
+    return rows.mapInArrow(_cut(window, schema.names), schema)
 
 
 def broadcast_spans(spark: SparkSession, docs: DataFrame, reference: list[str], window: int = WINDOW, max_words: int = 500_000) -> DataFrame:
