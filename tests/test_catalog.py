@@ -2,13 +2,17 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.01"
-TABLES = "customer orders lineitem events documents embeddings pages conversations".split()
+TABLES = "customer orders lineitem events documents embeddings pages labels conversations".split()
 
 
-def _names():
-    from vigilake.plans import catalog
+def _plans():
+    from vigilake.plans import catalog, findings
+
+    return catalog, findings
 
-    return list(catalog.queries())
+
+def _names():
+    return [name for plan in _plans() for name in plan.queries()]
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +25,9 @@ def con():
 
 @pytest.mark.parametrize("name", _names())
 def test_equals_its_sql(spark, con, name):
-    from vigilake.plans import catalog
-
-    df = catalog.queries()[name](spark, SF)
-    want = con.sql(catalog.oracle_sql()[name])
+    plan = next(p for p in _plans() if name in p.queries())
+    df = plan.queries()[name](spark, SF)
+    want = con.sql(plan.oracle_sql()[name])
     columns = sorted(df.columns)
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
