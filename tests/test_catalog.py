@@ -12,7 +12,7 @@ def _plans():
 
 
 def _names():
-    return [name for plan in _plans() for name in plan.queries()]
+    return [name for plan in _plans() for name in plan.oracle_sql()]
 
 
 @pytest.fixture(scope="module")

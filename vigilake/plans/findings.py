@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators import calls as K
 from ..operators import claims as C
 from ..operators import pages as P
 
@@ -27,6 +28,13 @@ CAPTURED = [
     (None, "https://a.example", "true", "CONTENT-SECURITY-POLICY"),
     ("", None, None, "Server"),
 ]
+#: path, content
+SOURCES = [
+    ("app/a.py", "import os\n\n\ndef login(user):\n    os.system(user)\n    return eval(user)\n"),
+    ("app/b.py", "class Store:\n    def get(self, q):\n        def inner():\n            return self.cur.execute(q)\n        return inner()\n\n\nrun()(1)"),
+    ("app/broken.py", "def f(:\n"),
+    ("app/empty.py", ""),
+]
 
 
 def _q(x: str | None) -> str:
@@ -52,6 +60,11 @@ def _claims(spark: SparkSession, sf: str) -> DataFrame:
     return _paired(_t(spark, sf, "documents"), "doc_id", [(c,) for c in CLAIMS], "text")
 
 
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    files = _paired(_t(spark, sf, "documents"), "doc_id", SOURCES, "path content")
+    return files.select("id", F.concat(F.col("id").cast("string"), F.lit("/"), F.col("path")).alias("path"), "content")
+
+
 def _names(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "name string")
 
@@ -107,6 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "host_roots": lambda s, d: _t(s, d, "pages").select("page_id", P.root_of(F.regexp_extract("url", "^https?://([^/?#]*)", 1)).alias("root")),
         "confidence_ladder": _ladder,
         "report_markdown": _report,
+        "context_snippet": lambda s, d: _sources(s, d).select("id", K.context(F.col("content"), (F.col("id") % 6 + 1).cast("int")).alias("snippet")).where("snippet <> ''"),
+        "dangerous_calls": lambda s, d: K.dangerous(K.python_calls(_sources(s, d))),
+        "chunk_python": lambda s, d: K.python_chunks(_sources(s, d)),
     }
 
 
@@ -136,5 +152,6 @@ def oracle_sql() -> dict[str, str]:
         "reject_category": f"with e as (select event_id, {_CHOSEN} as category from events), m as (select *, {_MAPPED} as vendor_category from e) select * from m where vendor_category in (select c from {_ACCEPTS} where a.t = 'default' and a.s = 'low')",
         "host_roots": "with h as (select page_id, string_split(regexp_extract(url, '^https?://([^/?#]*)', 1), '.') as p from pages) select page_id, array_to_string(p[-2:], '.') as root from h",
         "confidence_ladder": "with p as (select d.doc_id, cast(coalesce(15 * cast(quality = 1 as int), 0) + coalesce(25 * cast(toxic = 0 as int), 0) + coalesce(10 * cast(lang = 'en' as int), 0) + coalesce(50 * cast(n_chars > 500 as int), 0) as int) as points from documents d left join labels l on d.doc_id = l.doc_id) select doc_id, points, points >= 60 as submit from p",
+        "context_snippet": f"with f as (select doc_id as id, string_split(v.content, chr(10)) as ls, doc_id % 6 + 1 as ln from documents join {_values(SOURCES)} v(k, path, content) on doc_id % {len(SOURCES)} = v.k), n as (select id, array_to_string([case when i = ln then '>>>' else '   ' end || lpad(cast(i as varchar), 4, ' ') || '  ' || ls[i] for i in generate_series(greatest(ln - 2, 1), least(ln + 2, len(ls)))], chr(10)) as snippet from f) select id, snippet from n where snippet <> ''",
         "report_markdown": f"with r as (select o_orderkey as seq, case when o_orderkey % 3 > 0 then 'CWE-' || cast(o_orderkey % 900 as varchar) else 'CWE-0' end as cwe, {_list([*R.SEVERITIES, 'odd'])}[o_orderkey % {len(R.SEVERITIES) + 1} + 1] as s, o_orderpriority as title, o_custkey from orders) select seq, cast(list_position({_list(R.SEVERITIES)}, s) as int) as rank, '- **' || upper(s) || '** ' || cwe || ': ' || title || ' (`a/b.py:' || o_custkey || '`)' as markdown from r where s in ('critical', 'high', 'medium', 'low')",
     }
