@@ -56,3 +56,27 @@ def test_empty(spark):
     assert op6.Mix(frame(spark, [], 1)).taken().count() == 0
     only = op6.Mix(frame(spark, [(1, None, None, None, None)], 1)).taken().collect()
     assert [(r.target, r.taken, r.source_size) for r in only] == [(0.0, 0, 0)]
+
+
+def test_documents_hold_the_taken_words(spark):
+    def text(i, n):
+        return " ".join(f"d{i}w{j}" for j in range(n))
+
+    # "hot" comes last by code point among the known sources and is far over its target
+    rows = [(i, text(i, 64 * (1 + i % 30) + i % 7), "en", "hot", None) for i in range(60)]
+    rows += [(100 + i, text(100 + i, 200), "en", "a", None) for i in range(90)] + [(200 + i, text(200 + i, 300), "en", "b", None) for i in range(60)]
+    docs = frame(spark, rows)
+    mix = op6.Mix(docs)
+    placed = {r.doc_id: r for r in mix.taken().collect()}
+    times = Counter((d.source_index, d.block) for d in mix.draws.collect())
+    out = {r.doc_id: r.text.split() for r in op6.mix_documents(docs).collect()}
+    cut = 0
+    for doc_id, full, _, source, _ in rows:
+        r, words = placed[doc_id], full.split()
+        often = [times[r.source_index, (r.begin + w) // op6.BLOCK_WORDS] for w in range(len(words))]
+        want = [w for turn in range(max(often)) for w, n in zip(words, often) if n > turn]
+        assert out.get(doc_id, []) == want
+        cut += source == "hot" and 0 < len(want) < len(words)
+    assert cut > 10
+    hot = [r for r in placed.values() if r.source_size > 50_000]
+    assert sum(len(out.get(r.doc_id, [])) for r in hot) <= hot[0].target + 2 * op6.BLOCK_WORDS < hot[0].source_size / 2

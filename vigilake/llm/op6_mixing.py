@@ -175,7 +175,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
             words = text.encode().split()
-            if all(p["times"] == 1 for p in parts):
+            if all(p["times"] == 1 for p in parts) and sum(p["words"] for p in parts) == len(words):  # parts taken 0 times are not here
                 texts.append(text)
                 continue
             parts.sort(key=lambda p: p["first"])
