@@ -80,3 +80,20 @@ def test_documents_hold_the_taken_words(spark):
     assert cut > 10
     hot = [r for r in placed.values() if r.source_size > 50_000]
     assert sum(len(out.get(r.doc_id, [])) for r in hot) <= hot[0].target + 2 * op6.BLOCK_WORDS < hot[0].source_size / 2
+
+
+def test_draws_at_every_size():
+    counts = np.array([30, 0, 50, 20])
+    got = np.array([op6._thin(counts, 40, i) for i in range(4000)])
+    assert (got.sum(axis=1) == 40).all() and (got >= 0).all() and (got <= counts).all()
+    assert np.abs(got.mean(axis=0) - counts * 0.4).max() < 0.2
+    share = counts / 100
+    assert np.abs(got.var(axis=0) - 40 * share * (1 - share) * 60 / 99).max() < 0.5
+    # totals far above numpy's limit: shards still differ by chance, and fill up
+    counts = np.array([10**9, 3 * 10**9, 7])
+    firsts = []
+    for seed in range(40):
+        (a, none), (b, before) = (op6.shard_counts(counts, i, 2, 2 * 10**9 + 4, seed) for i in range(2))
+        assert a.sum() == 2 * 10**9 + 4 and (a + b == counts).all() and (before == a).all() and not none.any()
+        firsts.append(int(a[0]))
+    assert 7000 < np.std(firsts) < 21000  # sqrt(2e9 * 1/4 * 3/4 * 1/2) = 13,693

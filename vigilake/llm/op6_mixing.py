@@ -61,12 +61,36 @@ def _split(counts: np.ndarray, take: int, seed: int) -> np.ndarray:
     return out
 
 
+def _distinct(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
+    """k different numbers below n, any k as likely as any other."""
+    out = np.unique(rng.integers(0, n, k))
+    while len(out) < k:
+        out = np.unique(np.concatenate([out, rng.integers(0, n, k - len(out))]))
+    return out
+
+
+def _thin(counts: np.ndarray, take: int, seed: int) -> np.ndarray:
+    """Multivariate hypergeometric at any size: each draw is taken or not by itself, then chance ones are moved until `take` are."""
+    rng = np.random.default_rng(seed)
+    left = rng.binomial(counts, take / int(counts.sum()))
+    over = int(left.sum()) - take
+    pool = left if over > 0 else counts - left
+    ends = np.cumsum(pool)
+    moved = np.bincount(np.searchsorted(ends, _distinct(rng, int(ends[-1]), abs(over)), side="right"), minlength=len(counts)) if over else 0
+    return left - moved if over > 0 else left + moved
+
+
+def _chance(counts: np.ndarray, take: int, seed: int) -> np.ndarray:
+    """_split where it draws, _thin for totals at which it would round."""
+    return _split(counts, take, seed) if int(counts.sum()) < 10**8 else _thin(counts, take, seed)
+
+
 def shard_counts(counts: np.ndarray, shard: int, shards: int, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Draws of each source in a shard, and in those before it. The last shard may be shorter."""
     low, high, before = 0, shards, np.zeros_like(counts)
     while high - low > 1:
         middle = (low + high) // 2
-        left = _split(counts, min((middle - low) * per_shard, int(counts.sum())), zlib.crc32(f"{seed},{low},{high}".encode()))
+        left = _chance(counts, min((middle - low) * per_shard, int(counts.sum())), zlib.crc32(f"{seed},{low},{high}".encode()))
         if shard < middle:
             counts, high = left, middle
         else:
