@@ -97,3 +97,15 @@ def test_draws_at_every_size():
         assert a.sum() == 2 * 10**9 + 4 and (a + b == counts).all() and (before == a).all() and not none.any()
         firsts.append(int(a[0]))
     assert 7000 < np.std(firsts) < 21000  # sqrt(2e9 * 1/4 * 3/4 * 1/2) = 13,693
+
+
+def test_small_sources(spark):
+    for n_words in (5, 40):
+        rows = [(i, " ".join(f"d{i}w{j}" for j in range(n_words)), "en", f"s{i:03}", None) for i in range(600)]
+        got = op6.Mix(frame(spark, rows)).taken().collect()
+        assert len(got) == 600 and all(0 <= r.taken <= 3 * n_words for r in got)
+        for w in range(3):  # sources of one weight: together near their targets, each within two blocks
+            mine = [r for r in got if r.source_index % 3 == w]
+            aim = sum(r.target for r in mine)
+            assert abs(sum(r.taken for r in mine) - aim) < 0.05 * aim
+            assert all(abs(r.taken - r.target) <= 2 * max(1, n_words // 8) for r in mine)

@@ -1,9 +1,10 @@
 """Mixing sources to target weights: fixed-length blocks, drawn by source, placed by pseudorandom index permutations.
 
-1. Each source's words are laid end to end (documents in hash order) and cut into blocks of BLOCK_WORDS; the place
-   of a document is a prefix sum over slots, of which a hot source has many.
+1. Each source's words are laid end to end (documents in hash order) and cut into blocks of BLOCK_WORDS, or of fewer
+   words where the source would have under LEAST_BLOCKS of them, down to single words; the place of a document is a prefix sum over slots, of which a hot source has many.
 2. Targets: weights by source in code-point order, null last; at most MOST times a source's size.
-3. A source's target gives its number of block draws. The draws fill output shards: a shard's counts by source are a
+3. A source's target gives its number of block draws, rounded up or down by chance so that many small sources together
+   come near their targets too. The draws fill output shards: a shard's counts by source are a
    multinomial draw conditioned on those totals, found by halving the row of shards (seeded at each halving), so a
    shard knows its counts and its sources' running indices by itself.
 4. Draw j of a source with b blocks is block permute(j mod b) of round j div b, with a permutation for each source
@@ -18,6 +19,7 @@ own: equal rows share one place order and may differ in `taken`. Documents witho
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +33,7 @@ from .common import settle, table
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 8
 SHARD_BLOCKS = 4096
 MAX_SOURCES = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -140,7 +143,7 @@ def _draw(blocks: list[int], quotas: list[int], shards: int, per_shard: int, see
 
 
 class Mix:
-    """places: doc_id, source, row columns, size, source_size, target, source_index, begin (in its source's words);
+    """places: doc_id, source, row columns, size, source_size, target, step (words a block), source_index, begin (in its source's words);
     draws: shard, slot, source_index, block."""
 
     def __init__(self, docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = 0):
@@ -156,10 +159,12 @@ class Mix:
         found.sort(key=lambda r: (r.source is None, r.source or ""))
         sizes = [r["size"] for r in found]
         aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most) if sizes else []
-        blocks = [-(-s // block_words) for s in sizes]
-        quotas = [min(most * b, round(t * b / s)) if s else 0 for s, t, b in zip(sizes, aims, blocks)]
-        rows = [(r.source, i, s, t) for i, (r, s, t) in enumerate(zip(found, sizes, aims))]
-        sources = spark.createDataFrame(rows, "source string, source_index long, source_size long, target double")
+        steps = [min(block_words, max(1, s // LEAST_BLOCKS)) for s in sizes]
+        blocks = [-(-s // n) for s, n in zip(sizes, steps)]
+        chance = np.random.default_rng(zlib.crc32(f"{seed},quotas".encode())).random(len(sizes)).tolist()
+        quotas = [min(most * b, math.floor(t * b / s + u)) if s else 0 for s, t, b, u in zip(sizes, aims, blocks, chance)]
+        rows = [(r.source, i, s, t, n) for i, (r, s, t, n) in enumerate(zip(found, sizes, aims, steps))]
+        sources = spark.createDataFrame(rows, "source string, source_index long, source_size long, target double, step long")
 
         before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
         bases = sums.select("source", "slot", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -168,7 +173,7 @@ class Mix:
         same = F.col("p.source").eqNullSafe(F.col("b.source"))
         placed = placed.join(bases.alias("b"), same & (F.col("p.slot") == F.col("b.slot"))).select("p.doc_id", "p.digest", "p.source", "p.size", (F.col("base") + F.col("inside")).alias("begin"))
         joined = placed.alias("p").join(F.broadcast(sources.alias("s")), F.col("p.source").eqNullSafe(F.col("s.source")))
-        self.places = joined.select("p.doc_id", "p.digest", "p.size", "p.begin", "s.source_index", "s.source_size", "s.target")
+        self.places = joined.select("p.doc_id", "p.digest", "p.size", "p.begin", "s.source_index", "s.source_size", "s.target", "s.step")
         total = sum(quotas)
         shards = max(1, -(-total // SHARD_BLOCKS))
         ids = spark.range(0, shards if total else 0, 1, max(1, min(shards, slots)))
@@ -176,7 +181,7 @@ class Mix:
 
     def parts(self) -> DataFrame:
         """Each document's part of each block, and how often the mix takes that block: ..., block, first, words, times."""
-        n = F.lit(self.block_words)
+        n = F.col("step")
         own = self.places.where("size > 0")
         spans = F.sequence(F.floor(F.col("begin") / n), F.floor((F.col("begin") + F.col("size") - 1) / n))
         parts = own.withColumn("block", F.explode(spans))
