@@ -1,6 +1,6 @@
 """Substring deduplication: suffix automata of reference shards, matching statistics of everything that can match.
 
-1. Equal texts are one class; its first document (smallest doc_id, null last) stands for it.
+1. Equal texts (told apart by 128 bits of SHA-256) are one class; its first document (smallest doc_id, null last) stands for it.
 2. Winnowing gives each window of 20 words an anchor, the smallest hash of its 6-word runs, so equal windows
    have equal anchors. Only anchors that occur twice in the corpus matter (pre-aggregated count).
 3. Each repeated anchor has a home, the smallest block of 512 words that holds it. Runs of windows go to their
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .automaton import SuffixAutomaton, matching_statistics, repeated_spans
-from .common import Words, mixed, settle, signed, slices, table, wide_hash
+from .common import Words, mixed, quoted, settle, signed, slices, table, text_digest
 
 WINDOW = 20
 GRAM = 6
@@ -197,8 +197,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     kept_text is the text itself where nothing is removed, else the kept words joined by one space. carry names
     columns of docs that the result has too, as the struct `carried`.
     """
-    h1, h2 = wide_hash(F.col("text"))
-    more = [F.struct(*carry).alias("carried")] if carry else []
+    h1, h2 = text_digest(F.col("text"))
+    more = [F.struct(*map(quoted, carry)).alias("carried")] if carry else []
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
     base = base.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"), *(["carried"] if carry else []))
     classes = base.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))

@@ -1,18 +1,21 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip, sharded so that each search sees all it can match.
 
-1. Equal texts (A-Z and white space folded) are one class; its smallest doc_id stands for it.
+1. Equal texts (A-Z and white space folded; told apart by 128 bits of SHA-256) are one class; its smallest doc_id stands
+   for it. Shingles are 64-bit hashes (the odds of a collision are in common.py).
 2. Frequent shingles, found by lossy counting over all texts, come last in the order of shingles; the others are in
    hash order. Only the order and the routing depend on them, never a result, so the broadcast list may be bounded
    (MOST_FREQUENT). Their homes are known from it, so no frequent shingle is a key of a shuffle.
 3. In that order, of the first n - T + s(n) shingles of two sets that link (T: the least overlap a set of n needs,
    s: least_shared) at least s of the smaller set's size are shared. A class that shares fewer has no link and is done;
-   homes of too few of its shingles to miss a link are left out.
+   homes of too few of its shingles to miss a link are left out, those of frequent shingles first: they are the large ones.
 4. Entries (shingle, class) are shuffled packed. Each shared shingle has a home, a class that holds it; classes meet in their shingles' homes, with their
    whole sets. In a home each class is a query to an inverted index of the smaller ones: short lists are merged by
    heap, long ones probed by binary search, and those that reach the overlap are kept (DivideSkip).
-5. A home of more than CHUNK classes is dealt into chunks. Each chunk links to the home's pivot, one class; classes
+5. A home of more than CHUNK classes, or CHUNK_SHINGLES shingles, is dealt into chunks. Each chunk links to the home's pivot, one class; classes
    that no chunk connects with the pivot are, in blocks, queries to all chunks of the home. Classes linked to the pivot
    are already connected with each other, so no pairs of a large group are made and no link between components is lost.
+   Only a home with many classes apart from its pivot costs blocks times chunks: short texts that differ in a word or
+   two of one common passage without being near copies.
 6. Links, of which each group gives only those that connect, go to connected components.
 
 Nulls, ties: a null text has no words. Without words a document has n_shingles 0 and is linked with nothing. Rows that
@@ -30,10 +33,10 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, settle, shingle_sets, signed, slices, table, wide_hash
+from .common import LOWER, UPPER, numbered, settle, shingle_sets, signed, slices, table, text_digest
 from .components import components
 
 K = 5
@@ -42,6 +45,7 @@ FREQUENT = 0.002  # of a batch's documents
 MOST_FREQUENT = 100_000
 SURE = 12  # of 100: shingles shared in the prefixes beyond the first
 CHUNK = 1_000
+CHUNK_SHINGLES = 1_000_000  # of a chunk's classes together
 HELD = 4_000_000  # entries that a task packs at once
 _PIVOT_FROM = 64
 
@@ -60,20 +64,30 @@ def least_shared(n):
     return np.maximum(1, n * SURE // 100)
 
 
-def _frequent(k: int):
+def _sizes_and_frequent(k: int):
+    """One pass over the texts: a row for each document with its set's size, and rows (shingle, n, a class that holds it) of each batch's frequent shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 g, b = shingle_sets(part.column("text"), k)
+                sizes = pa.array(np.diff(b).astype(np.int64))
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.record_batch([part.column("doc_id"), part.column("h1"), part.column("h2"), sizes, none], _SIZED)
                 ids = np.repeat(np.asarray(part.column("h1")), np.diff(b))
-                order = np.lexsort((ids, g))
+                order = np.argsort(g, kind="stable")
                 keys, first, n = np.unique(g[order], return_index=True, return_counts=True)
                 often = n >= max(3, FREQUENT * part.num_rows)
-                yield pa.record_batch([pa.array(signed(keys[often])), pa.array(n[often].astype(np.int64)), pa.array(ids[order][first[often]])], ["shingle", "n", "home"])
+                none = pa.nulls(int(often.sum()), pa.int64())
+                yield pa.record_batch([none, pa.array(ids[order][first[often]]), none, pa.array(n[often].astype(np.int64)), pa.array(signed(keys[often]))], _SIZED)
 
     return run
 
 
+#: A document: n is its set's size. A frequent shingle: n is its count, h1 a class that holds it.
+_SIZED = ["doc_id", "h1", "h2", "n", "shingle"]
+
+
 def _prefix(text: pa.Array, k: int, similar: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The first shingles of each row, those in `last` after all others: rows, shingles, place in last or -1."""
     g, b = shingle_sets(text, k)
@@ -145,11 +159,11 @@ def _emit_entries(k: int, similar: int, frequent, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: (class, home, number of its shingles that others share too and that have this home)."""
+    """Rows sorted by bucket: (class, home, number of its shingles that others share too and that have this home, whether they are frequent)."""
 
     def met(x: list[bytes], y: list[bytes], known: list[bool]) -> pa.RecordBatch:
         join = lambda which: [np.frombuffer(b"".join(v for v, k in zip(c, known) if k == which), np.int64) for c in (x, y)]
-        rep, home = join(True)
+        found = [(*_pairs(*join(True)), True)]
         shingle, owner = join(False)
         if len(shingle):
             order = np.lexsort((owner, shingle))
@@ -160,9 +174,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(np.append(first, len(shingle)))
             least, most = owner[first], owner[first + sizes - 1]
             shared = np.repeat(least < most, sizes)
-            rep, home = np.append(rep, owner[shared]), np.append(home, np.repeat(least, sizes)[shared])
-        rep, home, n = _pairs(rep, home)
-        return pa.record_batch([pa.array(rep), pa.array(home), pa.array(n.astype(np.int64))], ["cls", "home", "n"])
+            found.append((*_pairs(owner[shared], np.repeat(least, sizes)[shared]), False))
+        columns = [np.concatenate(c) for c in zip(*((*f[:3], np.full(len(f[0]), f[3])) for f in found))]
+        return pa.record_batch([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int64)), pa.array(columns[3])], ["cls", "home", "n", "often"])
 
     current, held = None, ([], [], [])
     for batch in batches:
@@ -177,16 +191,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield met(*held)
 
 
-def _sizes(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                _, b = shingle_sets(part.column("text"), k)
-                yield pa.record_batch([part.column("doc_id"), part.column("h1"), part.column("h2"), pa.array(np.diff(b).astype(np.int64))], ["doc_id", "h1", "h2", "n_shingles"])
-
-    return run
-
-
 def _sets(k: int):
     """A row for each cell that a class goes to, with its whole set."""
 
@@ -338,25 +342,25 @@ def _groups(key: list[str], similar: int, rounds: str):
     return run
 
 
-def frequent_shingles(base: DataFrame, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all texts, at most MOST_FREQUENT, sorted, and a class that holds each."""
-    counted = base.select("h1", "text").mapInArrow(_frequent(k), "shingle long, n long, home long")
+def frequent_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """counted (shingle, n, home): the most frequent shingles of all texts, at most MOST_FREQUENT, sorted, and a class that holds each."""
     top = counted.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("home").alias("home")).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
     rows = np.array([(r.shingle, r.home) for r in top.select("shingle", "home").collect()], np.int64).reshape(-1, 2)
     order = np.argsort(rows[:, 0].copy().view(np.uint64))
     return rows[order, 0].copy().view(np.uint64), rows[order, 1].copy()
 
 
-def folded_hash(text) -> tuple:
-    return wide_hash(F.translate(text, UPPER + "\t\n\x0b\x0c\r", LOWER + "     "))
+def folded_digest(text: Column) -> tuple[Column, Column]:
+    return text_digest(F.translate(text, UPPER + "\t\n\x0b\x0c\r", LOWER + "     "))
 
 
-def _meetings(base: DataFrame, ids: DataFrame, k: int, similar: int, n_parts: int) -> DataFrame:
-    """h1, h2, rep, home: the homes in which each class that may have links meets others."""
-    last = base.sparkSession.sparkContext.broadcast(frequent_shingles(base, k))
+def _meetings(base: DataFrame, ids: DataFrame, counted: DataFrame, k: int, similar: int, n_parts: int) -> DataFrame:
+    """h1, h2, rep, n_shingles, home: the homes in which each class that may have links meets others."""
+    last = base.sparkSession.sparkContext.broadcast(frequent_shingles(counted))
     entries = base.select("h1", "text").mapInArrow(_emit_entries(k, similar, last, 4 * n_parts), "bucket int, known boolean, x binary, y binary")
-    met = entries.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "cls long, home long, n long")
-    met = met.groupBy("cls", "home").agg(F.sum("n").alias("n")).groupBy("cls").agg(F.sum("n").alias("shared"), F.array_sort(F.collect_list(F.struct("n", "home"))).alias("homes"))
+    met = entries.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "cls long, home long, n long, often boolean")
+    met = met.groupBy("cls", "home").agg(F.sum("n").alias("n"), F.max("often").alias("often"))
+    met = met.groupBy("cls").agg(F.sum("n").alias("shared"), F.array_sort(F.collect_list(F.struct((~F.col("often")).alias("rare"), "n", "home"))).alias("homes"))
     sure = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * similar / 100) * SURE / 100))
     chosen = ids.join(met, ids.h1 == met.cls).where(F.col("shared") >= sure)
     # two that link share `sure` of either: each may leave out homes of fewer than half as many, and they still meet
@@ -364,7 +368,7 @@ def _meetings(base: DataFrame, ids: DataFrame, k: int, similar: int, n_parts: in
     start = F.struct(spare.alias("spare"), F.array().cast("array<bigint>").alias("kept"))
     step = lambda a, x: F.when(x["n"] <= a["spare"], F.struct((a["spare"] - x["n"]).alias("spare"), a["kept"].alias("kept"))).otherwise(F.struct(a["spare"].alias("spare"), F.concat(a["kept"], F.array(x["home"])).alias("kept")))
     kept = F.aggregate("homes", start, step)["kept"]
-    return settle(chosen.select("h1", "h2", "rep", F.explode(kept).alias("home")), "meetings")
+    return settle(chosen.select("h1", "h2", "rep", "n_shingles", F.explode(kept).alias("home")), "meetings")
 
 
 def _links(base: DataFrame, cells: DataFrame, key: list[str], rounds: str, k: int, similar: int, n_parts: int) -> DataFrame:
@@ -376,18 +380,20 @@ def _links(base: DataFrame, cells: DataFrame, key: list[str], rounds: str, k: in
     return rows.repartition(n_parts, *key).sortWithinPartitions(*key, "rep").mapInArrow(_groups(key, similar, rounds), "home long, a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = K, similar: int = SIMILAR, chunk: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = K, similar: int = SIMILAR, chunk: int | None = None, chunk_shingles: int | None = None) -> DataFrame:
     """docs (doc_id, text): doc_id, text_h1, text_h2, n_shingles, component_id for each row."""
-    chunk = chunk or CHUNK
+    chunk, chunk_shingles = chunk or CHUNK, chunk_shingles or CHUNK_SHINGLES
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    h1, h2 = folded_hash(F.col("text"))
+    h1, h2 = folded_digest(F.col("text"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", h1.alias("h1"), h2.alias("h2"))
-    sized = settle(base.mapInArrow(_sizes(k), "doc_id long, h1 long, h2 long, n_shingles long"), "sized")
+    seen = settle(base.mapInArrow(_sizes_and_frequent(k), "doc_id long, h1 long, h2 long, n long, shingle long"), "sized")
+    sized = seen.where("shingle is null").select("doc_id", "h1", "h2", F.col("n").alias("n_shingles"))
     ids = sized.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")).where("rep is not null")
-    met = _meetings(base, ids, k, similar, n_parts)
+    met = _meetings(base, ids, seen.where("shingle is not null").select("shingle", "n", F.col("h1").alias("home")), k, similar, n_parts)
 
-    homes = met.groupBy("home").agg(F.count("*").alias("classes"), F.min("rep").alias("pivot")).where("classes > 1")
-    homes = settle(homes.withColumn("chunks", F.ceil(F.col("classes") / chunk).cast("int")), "homes")
+    parts = lambda: F.ceil(F.greatest(F.count("*") / chunk, F.sum("n_shingles") / chunk_shingles)).cast("int")
+    homes = met.groupBy("home").agg(F.count("*").alias("classes"), F.min("rep").alias("pivot"), parts().alias("chunks")).where("classes > 1")
+    homes = settle(homes, "homes")
     dealt = met.join(homes, "home").withColumn("chunk", F.pmod(F.xxhash64("rep", "home"), F.col("chunks")).cast("int"))
     every = F.when((F.col("chunks") > 1) & (F.col("rep") == F.col("pivot")), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     pivot = F.when(F.col("chunks") > 1, F.col("pivot")).alias("pivot")
@@ -398,12 +404,13 @@ def jaccard_components(docs: DataFrame, k: int = K, similar: int = SIMILAR, chun
 
     apart = first.where("b is null").select("home", F.col("a").alias("rep")).distinct()
     if not apart.isEmpty():
-        blocks = apart.groupBy("home").agg(F.count("*").alias("n")).select("home", F.ceil(F.col("n") / chunk).cast("int").alias("blocks"))
-        plan = dealt.select(*columns[:5], "chunks").join(settle(blocks, "blocks"), "home")
+        asking = dealt.select(*columns[:5], "chunks", "n_shingles").join(apart, ["home", "rep"])
+        blocks = settle(asking.groupBy("home").agg(parts().alias("blocks")), "blocks")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        all_rows = plan.withColumns({"block": spread("blocks"), "asks": F.lit(False)})
-        asking = plan.join(apart, ["home", "rep"]).withColumns({"chunk": spread("chunks"), "block": F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"), "asks": F.lit(True)})
-        cells = all_rows.withColumn("pivot", F.lit(None).cast("long")).select(*columns).unionByName(asking.withColumn("pivot", F.lit(None).cast("long")).select(*columns))
+        nobody = F.lit(None).cast("long")
+        all_rows = dealt.select(*columns[:5]).join(blocks, "home").withColumns({"block": spread("blocks"), "asks": F.lit(False), "pivot": nobody})
+        asking = asking.join(blocks, "home").withColumns({"chunk": spread("chunks"), "block": F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"), "asks": F.lit(True), "pivot": nobody})
+        cells = all_rows.select(*columns).unionByName(asking.select(*columns))
         links = links.unionByName(_links(base, cells, ["home", "chunk", "block"], "second", k, similar, n_parts))
 
     found = components(links.select("a", "b"))
@@ -417,13 +424,18 @@ def jaccard_components(docs: DataFrame, k: int = K, similar: int = SIMILAR, chun
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near copies, its smallest doc_id. Rows without doc_id or words stay."""
+    """docs with one document of each group of near copies, its smallest doc_id. Rows without doc_id or words stay.
+
+    Of rows with the same doc_id and text one stays. Other columns are kept as they are, whatever their names.
+    """
     groups = jaccard_components(docs).where("component_id is not null")
     firsts = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_h1", "text_h2")).alias("first")).select("first.*")
-    h1, h2 = folded_hash(F.coalesce("text", F.lit("")))
+    rows = numbered(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    h1, h2 = folded_digest(F.coalesce(text, F.lit("")))
     key = ["doc_id", "text_h1", "text_h2"]
-    kept = docs.where("doc_id is not null").withColumns({"text_h1": h1, "text_h2": h2}).join(firsts, key, "left_semi").dropDuplicates(key)
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = rows.where(doc_id.isNotNull()).withColumns({"doc_id": doc_id, "text_h1": h1, "text_h2": h2}).join(firsts, key, "left_semi").dropDuplicates(key)
+    return kept.select(rows.columns).unionByName(rows.where(doc_id.isNull())).toDF(*docs.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
