@@ -47,5 +47,34 @@ def test_nulls_repeats_empty(spark):
 
 
 def test_no_python_in_the_plan(spark):
-    plan = op4.fingerprints(frame(spark, ROWS))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    plans = [*op4.digests(frame(spark, ROWS)), op4.fingerprints(frame(spark, ROWS))]
+    text = "".join(df._jdf.queryExecution().toString() for df in plans)
+    assert "Python" not in text and "Arrow" not in text
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 32])
+def test_many_rows_without_or_with_one_doc_id(spark, ranges):
+    rows = [(None, f"no id {i}", None, None, None) for i in range(200)] + [(7, f"seven {i}", None, None, None) for i in range(200)] + [(7, "again", None, None, None)] * 5
+    rows += [((1 << 63) - 1, "last", None, None, None), (-(1 << 63), "first", None, None, None)]
+    got = op4.fingerprints(frame(spark, rows), ranges).collect()
+    assert len(got) == len(rows)
+    halves = {hashlib.sha256((a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2]).encode()).hexdigest() for a in rows for b in rows}
+    assert {r.edited_sha256 for r in got} <= halves
+    assert sum(r.near_next for r in got) == 4  # the equal rows follow each other
+    # after the last id come those without; after them the first of all
+    edited = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    last = next(r for r in got if r.doc_id == (1 << 63) - 1)
+    assert last.edited_sha256 == edited("last", "no")
+    assert sum(r.edited_sha256 in {edited(f"no id {i}", "first") for i in range(200)} for r in got if r.doc_id is None) == 1
+
+
+def test_buckets_of_different_texts_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op4, "wide_hash", lambda c: (F.length(c).cast("long") % 3, F.lit(0).cast("long")))  # nearly all digests collide
+    got = sorted(map(tuple, op4.fingerprints(frame(spark, ROWS), 3).collect()))
+    by_print = {}
+    for g, w in zip(got, brute(ROWS)):
+        assert (g[5], g[6]) == w[3:5]
+        for f, c in ((g[3], w[5]), (g[4], w[6])):
+            assert by_print.setdefault(f, c) == c
