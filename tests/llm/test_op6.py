@@ -24,8 +24,6 @@ def test_permutation_and_shards():
         assert (before == total).all()
         total += mine
     assert (total == counts).all() and [int(m.sum()) for m, _ in rows] == [250] * 6 + [237]
-    big = op6._split(np.array([10**9, 3 * 10**9 + 1]), 10**9, 0)
-    assert big.sum() == 10**9 and abs(big[0] - 25 * 10**7) < 10
 
 
 def test_mix(spark):
@@ -109,3 +107,20 @@ def test_small_sources(spark):
             aim = sum(r.target for r in mine)
             assert abs(sum(r.taken for r in mine) - aim) < 0.05 * aim
             assert all(abs(r.taken - r.target) <= 2 * max(1, n_words // 8) for r in mine)
+
+
+def test_the_same_at_any_number_of_partitions(spark):
+    rows = documents(80)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("4", "8", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(str(tuple(r)) for r in op6.Mix(frame(spark, rows, 3)).taken().select("doc_id", "size", "begin", "taken").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
+
+
+def test_words_of_mixed_texts_of_several_sources(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(30 + 41 * (i % 9))), "en", f"s{i % 5}", None) for i in range(150)] + [(7, "a b c", "en", "s1", None)] * 3
+    taken = sum(r.taken for r in op6.Mix(frame(spark, rows)).taken().collect())
+    out = op6.mix_documents(frame(spark, rows)).collect()
+    assert sum(len(r.text.split()) for r in out) == taken and any(r.target < r.source_size for r in op6.Mix(frame(spark, rows)).taken().collect())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import numbered, settle, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -36,6 +36,7 @@ BLOCK_WORDS = 64
 LEAST_BLOCKS = 8
 SHARD_BLOCKS = 4096
 MAX_SOURCES = 100_000
+SLOTS = 1 << 14  # of each source: fixed, so that places do not depend on the session
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,17 +54,6 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
         capped = [c or o for c, o in zip(capped, over)]
 
 
-def _split(counts: np.ndarray, take: int, seed: int) -> np.ndarray:
-    """How many of each source are among `take` of all draws."""
-    total = int(counts.sum())
-    if total < 10**8:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
-    share = counts * (take / total)  # so many draws that chance no longer shows
-    out = np.floor(share).astype(np.int64)
-    out[np.argsort(out - share, kind="stable")[: take - int(out.sum())]] += 1
-    return out
-
-
 def _distinct(rng: np.random.Generator, n: int, k: int) -> np.ndarray:
     """k different numbers below n, any k as likely as any other."""
     out = np.unique(rng.integers(0, n, k))
@@ -83,17 +73,12 @@ def _thin(counts: np.ndarray, take: int, seed: int) -> np.ndarray:
     return left - moved if over > 0 else left + moved
 
 
-def _chance(counts: np.ndarray, take: int, seed: int) -> np.ndarray:
-    """_split where it draws, _thin for totals at which it would round."""
-    return _split(counts, take, seed) if int(counts.sum()) < 10**8 else _thin(counts, take, seed)
-
-
 def shard_counts(counts: np.ndarray, shard: int, shards: int, per_shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Draws of each source in a shard, and in those before it. The last shard may be shorter."""
     low, high, before = 0, shards, np.zeros_like(counts)
     while high - low > 1:
         middle = (low + high) // 2
-        left = _chance(counts, min((middle - low) * per_shard, int(counts.sum())), zlib.crc32(f"{seed},{low},{high}".encode()))
+        left = _thin(counts, min((middle - low) * per_shard, int(counts.sum())), zlib.crc32(f"{seed},{low},{high}".encode()))
         if shard < middle:
             counts, high = left, middle
         else:
@@ -120,10 +105,12 @@ def permute(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draw(blocks: list[int], quotas: list[int], shards: int, per_shard: int, seed: int):
-    counts = np.array(quotas, np.int64)
+def _draw(sources, shards: int, per_shard: int, seed: int):
+    """sources: a broadcast (blocks, quotas) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, counts = sources.value
+        blocks = blocks.tolist()
         for batch in batches:
             for shard in batch.column("id").to_pylist():
                 mine, before = shard_counts(counts, shard, shards, per_shard, seed)
@@ -149,9 +136,8 @@ class Mix:
     def __init__(self, docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = 0):
         spark = docs.sparkSession
         self.block_words = block_words
-        slots = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
         base = docs.select("doc_id", "source", F.size(F.expr(f"regexp_extract_all(coalesce(text, ''), '{_WORD}', 0)".replace("\\", "\\\\"))).cast("long").alias("size"), F.xxhash64("text").alias("digest"))
-        base = settle(base.withColumn("slot", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(slots)).cast("int")), "sizes")
+        base = settle(base.withColumn("slot", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SLOTS)).cast("int")), "sizes")
         sums = base.groupBy("source", "slot").agg(F.sum("size").alias("words"))
         found = sums.groupBy("source").agg(F.sum("words").alias("size")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
@@ -176,8 +162,10 @@ class Mix:
         self.places = joined.select("p.doc_id", "p.digest", "p.size", "p.begin", "s.source_index", "s.source_size", "s.target", "s.step")
         total = sum(quotas)
         shards = max(1, -(-total // SHARD_BLOCKS))
-        ids = spark.range(0, shards if total else 0, 1, max(1, min(shards, slots)))
-        self.draws = ids.mapInArrow(_draw(blocks, quotas, shards, SHARD_BLOCKS, seed), "shard long, slot long, source_index long, block long")
+        tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ids = spark.range(0, shards if total else 0, 1, max(1, min(shards, tasks)))
+        shared = spark.sparkContext.broadcast((np.array(blocks, np.int64), np.array(quotas, np.int64)))
+        self.draws = ids.mapInArrow(_draw(shared, shards, SHARD_BLOCKS, seed), "shard long, slot long, source_index long, block long")
 
     def parts(self) -> DataFrame:
         """Each document's part of each block, and how often the mix takes that block: ..., block, first, words, times."""
@@ -199,26 +187,29 @@ class Mix:
         return some.unionByName(none)
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
-            words = text.encode().split()
-            if all(p["times"] == 1 for p in parts) and sum(p["words"] for p in parts) == len(words):  # parts taken 0 times are not here
-                texts.append(text)
-                continue
-            parts.sort(key=lambda p: p["first"])
-            rounds = range(1, max(p["times"] for p in parts) + 1)
-            texts.append(b" ".join(w for r in rounds for p in parts if p["times"] >= r for w in words[p["first"] : p["first"] + p["words"]]).decode())
-        at = batch.schema.get_field_index("text")
-        out = batch.set_column(at, "text", pa.array(texts, pa.string()))
-        yield out.select([n for n in out.schema.names if n != "parts"])
+def _assemble(text_name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, parts in zip(batch.column(text_name).to_pylist(), batch.column("parts").to_pylist()):
+                words = text.encode().split()
+                if all(p["times"] == 1 for p in parts) and sum(p["words"] for p in parts) == len(words):  # parts taken 0 times are not here
+                    texts.append(text)
+                    continue
+                parts.sort(key=lambda p: p["first"])
+                rounds = range(1, max(p["times"] for p in parts) + 1)
+                texts.append(b" ".join(w for r in rounds for p in parts if p["times"] >= r for w in words[p["first"] : p["first"] + p["words"]]).decode())
+            out = batch.set_column(batch.schema.get_field_index(text_name), text_name, pa.array(texts, pa.string()))
+            yield out.select([n for n in out.schema.names if n != "parts"])
+
+    return run
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: each text holds its taken words, blocks taken again follow once more.
 
-    Documents of which nothing is taken go. n_chars, if there is one, follows the text.
+    Documents of which nothing is taken go, so those without words too. n_chars, if there is one, follows the text. Other
+    columns are kept as they are, whatever their names. Of rows with the same doc_id and text each holds its own words.
     """
     mix = Mix(docs)
     order = Window.partitionBy("doc_id", "digest")
@@ -226,12 +217,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     twin = mix.places.where("size > 0").select("doc_id", "digest", "begin", F.row_number().over(order.orderBy("begin")).alias("twin"))
     a, b = parts.alias("a"), twin.alias("b")
     parts = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.digest") == F.col("b.digest")) & (F.col("a.begin") == F.col("b.begin"))).select("a.doc_id", "a.digest", "twin", "parts")
-    rows = docs.withColumn("digest", F.xxhash64("text")).where("text is not null")
-    rows = rows.withColumn("twin", F.row_number().over(order.orderBy("digest"))).alias("d")
+
+    rows = numbered(docs)
+    doc_id, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    keyed = rows.where(F.col(text).isNotNull()).withColumns({"doc_id": F.col(doc_id), "digest": F.xxhash64(text)})
+    keyed = keyed.withColumn("twin", F.row_number().over(order.orderBy("digest"))).alias("d")
     p = parts.alias("p")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.digest") == F.col("p.digest")) & (F.col("d.twin") == F.col("p.twin"))
-    joined = rows.join(p, same).select(*[F.col(f"d.`{c}`") for c in docs.columns], "p.parts")
-    out = joined.mapInArrow(_assemble, docs.schema)
+    out = keyed.join(p, same).select(*[f"d.{c}" for c in rows.columns], "p.parts").mapInArrow(_assemble(text), rows.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
