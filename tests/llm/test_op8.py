@@ -25,6 +25,32 @@ def test_base_columns(spark):
     assert op8.license_scan(frame(spark, [], 1)).count() == 0
 
 
+def brute_labels(text):
+    """Labels, tags and score by plain search, for texts whose expressions hold no brackets."""
+    _, n, _, _, base = brute(text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    labels, n_added = set(filter(None, base.split(","))), 0
+    for phrase, label in op8.ADDED.items():
+        p = phrase.split()
+        found = sum(words[i : i + len(p)] == p for i in range(len(words)))
+        n_added += found
+        labels |= {label} if found else set()
+    n_tags = 0
+    for line in re.findall(r"(?i)spdx-license-identifier:[ \t]*([A-Za-z0-9.+-]+(?: +(?:or|and) +[A-Za-z0-9.+-]+)*)", text or ""):
+        n_tags += 1
+        labels |= {op8.family(x.rstrip(".:")) for x in re.split(r" +(?:or|and|OR|AND) +", line)}
+    k = n + n_added + 2 * n_tags
+    return ",".join(sorted(labels)), 1 - 0.5**k
+
+
+def test_labels_as_by_plain_search(spark):
+    texts = [t for t in TEXTS if "(" not in (t or "") and "MIT OR" not in (t or "")]
+    texts += ["SPDX-License-Identifier: GPL-2.0-only OR MIT, see there", "text SPDX-License-Identifier: ISC. More words follow", "BSD 3 clause; CC0 1.0 and GNU LGPL " * 7, 'printf("SPDX-License-Identifier: MIT");']
+    rows = documents() + [(5000 + i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.labels, r.score) for r in op8.license_scan(frame(spark, rows)).collect()}
+    assert got == {(r[0], *brute_labels(r[1])) for r in rows}
+
+
 def test_labels_and_scores():
     m = op8._machine()
     r = op8.scan(m, TEXTS[5])
@@ -32,11 +58,29 @@ def test_labels_and_scores():
     assert [op8.scan(m, t)[7:9] for t in TEXTS[6:8]] == [(0, 1), (0, 1)]
     assert op8.scan(m, TEXTS[9])[5] == "cc-by,cc-by-nc" and op8.scan(m, TEXTS[11])[5] == "bsd" and op8.scan(m, TEXTS[12])[4:6] == ("gpl", "gpl,lgpl")
     assert op8.scan(m, "mit license " * 90)[6] == 1.0 and op8.scan(m, "")[6] == 0.0
+    for text, labels in (
+        ('{"name": "x", "license": "MIT OR Apache-2.0"}', "apache,mit"), ("license = 'BSD-3-Clause'", "bsd"), (" * @license ISC\n", "isc"),
+        ('"license": "SEE LICENSE IN x"', ""), ("license = load(path)", ""), ("the license is good", ""), ("(SPDX-License-Identifier: MIT) and so on", "mit"),
+    ):
+        assert op8.scan(m, text)[5] == labels, text
 
 
 def test_expressions():
     assert op8.postfix("a OR b AND c with d") == ["a", "b", "c", "d", "with", "and", "or"]
-    assert op8.choices("(a or b) and c") == {frozenset("ac"), frozenset("bc")}
-    for bad in ("", "a b", "a )", "(a", "and a", "a (b)", "()", "(a or b) with c", "a ~ b"):
+    assert op8.choices(op8.postfix("(a or b) and c")) == {frozenset("ac"), frozenset("bc")}
+    assert op8.postfix("a b") == ["a"] and op8.postfix("a) x") == ["a"] and op8.postfix("a ~ b") == ["a"] and op8.postfix("MIT.") == ["MIT"]
+    for bad in ("", "(a", "and a", "a (b)", "()", "a or", "a or)", "~"):
         with pytest.raises(ValueError):
-            op8.choices(bad)
+            op8.postfix(bad)
+    with pytest.raises(ValueError):
+        op8.licences(op8.postfix("(a or b) with c"))
+
+
+def test_hostile_texts():
+    m = op8._machine()
+    r = op8.scan(m, "SPDX-License-Identifier: " + " AND ".join(f"(MIT OR x{i})" for i in range(40)))
+    assert r[7:9] == (1, 0) and r[5].startswith("mit,x0,") and r[9].startswith("MIT x0 or")
+    assert op8.scan(m, "SPDX-License-Identifier: " + "(" * 100_000)[7:9] == (0, 1)
+    r = op8.scan(m, "mit license " * 100_000)
+    assert r[:4] == (200_000, 100_000, 0, 199_998)
+    assert op8.scan(m, "license " * 100_000 + " " * 100_000)[:2] == (100_000, 0)

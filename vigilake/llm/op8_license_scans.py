@@ -1,14 +1,20 @@
 """License scans: Aho-Corasick over words finds notice phrases and identifier tags; expressions are evaluated.
 
 Words are runs of a-z, 0-9 and anything above ASCII, after A-Z is lower-cased. The automaton runs over the words joined
-by single spaces, so a phrase matches wherever its words stand consecutively. A tag's expression, the rest of its
-line, goes through a shunting-yard parser for AND, OR, WITH and brackets, and is evaluated to its choices: OR adds
-choices, AND combines them, WITH joins an exception to an identifier. Malformed expressions give no label.
+by single spaces, so a phrase matches wherever its words stand consecutively. What follows a tag goes through a
+shunting-yard parser for AND, OR, WITH and brackets. The expression ends where an identifier follows another one or a
+character that no expression has; it must be whole there, else it is malformed and gives no label. Two kinds of tags:
+SPDX-License-Identifier, which may name any identifier, and the fields of manifests and comments ("license": "MIT",
+license = 'MIT', @license MIT), which count only if every identifier is of a known family.
+
+A whole expression is evaluated to its choices: OR adds choices, AND combines them, WITH joins an exception to an
+identifier. Their number can double with every factor, so an expression of more than MOST_CHOICES choices is kept as it
+stands, in postfix order; labels need only its identifiers and never depend on that.
 
 score = 1 - 2 ** -(places of base phrases + other phrases + 2 * well-formed tags).
 
-Nulls, ties: a null text is empty (n_words 0, no places, empty labels, score 0). Every row gives one row. Other
-columns are ignored.
+Nulls, ties: a null text is empty (n_words 0, no places, empty labels, score 0). Every row gives one row, rows that
+repeat too. Texts of any length are scanned whole, in time linear in their length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,34 +31,34 @@ from .common import slices, table
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Phrases that the method adds, as words.
 ADDED = {
-    "lesser general public license": "lgpl", "affero general public license": "agpl", "mozilla public license": "mpl", "eclipse public license": "epl",
-    "bsd license": "bsd", "2 clause bsd": "bsd", "3 clause bsd": "bsd", "isc license": "isc", "boost software license": "bsl",
+    "lesser general public license": "lgpl", "library general public license": "lgpl", "affero general public license": "agpl", "gnu gpl": "gpl", "gnu lgpl": "lgpl", "gnu agpl": "agpl",
+    "mozilla public license": "mpl", "eclipse public license": "epl", "european union public licence": "eupl", "common development and distribution license": "cddl",
+    "bsd license": "bsd", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "2 clause bsd": "bsd", "3 clause bsd": "bsd", "simplified bsd": "bsd", "isc license": "isc", "zlib license": "zlib",
+    "boost software license": "bsl", "artistic license": "artistic", "python software foundation license": "psf", "this is free and unencumbered software": "unlicense",
     "creative commons": "cc", "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc0 1 0": "cc0", "public domain dedication": "cc0",
 }
-TAG = "spdx license identifier"
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
-_FAMILIES = ("apache", "agpl", "lgpl", "gpl", "mit", "bsd", "mpl", "epl", "isc", "bsl", "cc0", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by")
-_TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
+TAG, FIELD = "spdx license identifier", "license"
+MOST_CHOICES = 64
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*", re.I)
+_FIELD = re.compile(r"""(?:@license[ \t]+|["']licen[sc]e["'][ \t]*:[ \t]*["']|\blicen[sc]e[ \t]*=[ \t]*["'])""", re.I)
+_FAMILIES = ("apache", "agpl", "lgpl", "gpl", "mit", "bsd", "mpl", "epl", "eupl", "cddl", "isc", "zlib", "bsl", "artistic", "psf", "unlicense", "cc0", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by")
+_TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
-_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))  # all else is a space
 
 
 def family(identifier: str) -> str:
     """The label of an identifier: its family's, or itself."""
-    name = identifier.lower().split(" with ")[0]
+    name = identifier.lower()
     return next((f for f in _FAMILIES if name == f or name.startswith(f + "-")), name.rstrip("+"))
 
 
-def postfix(expression: str) -> list[str]:
-    """Shunting-yard: identifiers and operators in postfix order. Raises ValueError if malformed."""
-    out, held, at, operand = [], [], 0, True
-    text = re.sub(r"\s*(\*/|-->|#)?\s*$", "", expression)
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ValueError(text[at:])
-        at, token = m.end(), m[1]
+def postfix(text: str, at: int = 0) -> list[str]:
+    """Shunting-yard: identifiers and operators of the expression from `at` on, in postfix order. Raises ValueError if malformed."""
+    out, held, operand = [], [], True
+    while m := _TOKEN.match(text, at):
+        token = m[1].rstrip(".:")
         rank = _RANK.get(token.lower())
         if token == "(":
             if not operand:
@@ -64,7 +70,7 @@ def postfix(expression: str) -> list[str]:
             while held and held[-1] != "(":
                 out.append(held.pop())
             if not held:
-                raise ValueError("brackets do not match")
+                break  # the bracket is the text's around the expression
             held.pop()
         elif rank:
             if operand:
@@ -73,72 +79,111 @@ def postfix(expression: str) -> list[str]:
                 out.append(held.pop())
             held.append(token.lower())
             operand = True
+        elif not operand:
+            break  # a word of the text after the expression
         else:
-            if not operand:
-                raise ValueError("two identifiers in a row")
             out.append(token)
             operand = False
+        at = m.end()
     if operand or "(" in held:
         raise ValueError("the expression is not complete")
     return out + held[::-1]
 
 
-def choices(expression: str) -> set[frozenset[str]]:
-    """Sets of licences of which any one suffices."""
+def licences(tokens: list[str]) -> set[str]:
+    """The labels of an expression's identifiers, without those of exceptions."""
+    out, stack = set(), []
+    for token in tokens:
+        if token not in _RANK:
+            stack.append(token)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with":
+            if left is None or right is None:
+                raise ValueError("WITH joins one identifier and one exception")
+            out.add(family(left))
+        else:
+            out |= {family(x) for x in (left, right) if x is not None}
+        stack.append(None)  # known already
+    return out | {family(x) for x in stack if x is not None}
+
+
+def choices(tokens: list[str], most: int = MOST_CHOICES) -> set[frozenset[str]] | None:
+    """Sets of licences of which any one suffices; None if there are more than `most` of them on the way."""
     stack: list[set[frozenset[str]]] = []
-    for token in postfix(expression):
+    for token in tokens:
         if token not in _RANK:
             stack.append({frozenset([token])})
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "or":
-            stack.append(left | right)
-        elif token == "and":
-            stack.append({a | b for a in left for b in right})
-        else:
-            if len(left) != 1 or len(right) != 1 or len(next(iter(left))) != 1 or len(next(iter(right))) != 1:
-                raise ValueError("WITH joins one identifier and one exception")
-            stack.append({frozenset([f"{next(iter(next(iter(left))))} WITH {next(iter(next(iter(right))))}"])})
+        if token == "with":
+            (one,), (exception,) = next(iter(left)), next(iter(right))
+            stack.append({frozenset([f"{one} WITH {exception}"])})
+            continue
+        if len(left) * len(right) > most and token == "and" or len(left) + len(right) > most:
+            return None
+        stack.append(left | right if token == "or" else {a | b for a in left for b in right})
     return stack[0]
 
 
+def told(tokens: list[str]) -> str:
+    """Choices as text, in order; the postfix form if they are too many."""
+    found = choices(tokens)
+    return " ".join(tokens) if found is None else " OR ".join(sorted(" AND ".join(sorted(c)) for c in found))
+
+
 def _machine():
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for phrase in (*BASE, *ADDED, TAG):
-        machine.add_word(f" {phrase} ", phrase)
+    for phrase in (*BASE, *ADDED, TAG, FIELD, "licence"):
+        machine.add_word(f" {phrase} ", (phrase, phrase.count(" ") + 1))
     machine.make_automaton()
     return machine
 
 
+def _tags(text: str) -> tuple[list[list[str]], int]:
+    """Well-formed expressions of tags in a text, and the number of malformed ones."""
+    good, bad = [], 0
+    for m in _TAG.finditer(text):
+        try:
+            tokens = postfix(text, m.end())
+            licences(tokens)
+            good.append(tokens)
+        except ValueError:
+            bad += 1
+    for m in _FIELD.finditer(text):
+        try:
+            tokens = postfix(text, m.end())
+            good += [tokens] if licences(tokens) <= set(_FAMILIES) else []
+        except ValueError:
+            pass
+    return good, bad
+
+
 def scan(machine, text: str) -> tuple:
-    words = text.encode().translate(_WORDS).split(b" ")
-    words = [w for w in words if w]
+    words = text.encode().translate(_WORDS).split()
     joined = f" {b' '.join(words).decode()} "
-    base_places, base, labels, n_added, n_tags, n_bad, options = [], set(), set(), 0, 0, 0, []
-    tagged = False
-    for end, phrase in machine.iter(joined):
+    places, base, labels, n_added, tagged = [], set(), set(), 0, False
+    at = before = 0
+    for end, (phrase, length) in machine.iter(joined):
+        before += joined.count(" ", at, end)  # the words before this end
+        at = end
         if phrase in BASE:
-            base_places.append(joined.count(" ", 0, end - len(phrase) - 1))
+            places.append(before - length)
             base.add(BASE[phrase])
-        elif phrase == TAG:
-            tagged = True
-        else:
+        elif phrase in ADDED:
             labels.add(ADDED[phrase])
             n_added += 1
-    for m in _TAG.finditer(text) if tagged else ():
-        try:
-            found = choices(m[1])
-        except ValueError:
-            n_bad += 1
-            continue
-        n_tags += 1
-        labels |= {family(x) for c in found for x in c}
-        options.append(" OR ".join(sorted(" AND ".join(sorted(c)) for c in found)))
-    strength = len(base_places) + n_added + 2 * n_tags
-    first, last = (min(base_places), max(base_places)) if base_places else (None, None)
-    return len(words), len(base_places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 - 0.5**strength if strength < 60 else 1.0, n_tags, n_bad, "; ".join(options)
+        else:
+            tagged = True
+    good, n_bad = _tags(text) if tagged else ([], 0)
+    for tokens in good:
+        labels |= licences(tokens)
+    strength = len(places) + n_added + 2 * len(good)
+    first, last = (min(places), max(places)) if places else (None, None)
+    score = 1.0 - 0.5**strength if strength < 60 else 1.0
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), score, len(good), n_bad, "; ".join(told(t) for t in good)
 
 
 _OUT = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("n_tags", pa.int64()), ("n_bad_tags", pa.int64()), ("choices", pa.string())]
