@@ -57,23 +57,72 @@ def test_a_negative_part_of_the_risk_is_turned_back():
     assert w[0] + b > 0 > w[1] + b
 
 
+def test_gradient_as_by_small_steps():
+    rnd = np.random.default_rng(3)
+    rows = [np.flatnonzero(rnd.random(12) < 0.3) for _ in range(60)]
+    positive = rnd.random(60) < 0.3
+    for prior in (0.05, 0.3):
+        risk = op9.Risk(rows, positive, 12, prior)
+        w = rnd.normal(size=13) * 0.3
+        assert risk.parts(w)[1] > 0
+        small = [(risk.value(w + 1e-6 * e) - risk.value(w - 1e-6 * e)) / 2e-6 for e in np.eye(13)]
+        assert np.abs(risk.gradient(w) - small).max() < 1e-6
+    # where the second part is negative it is turned back: the first part's gradient less the second's
+    risk = op9.Risk(rows, positive, 12, 0.9)
+    w = np.append(np.zeros(12), 5.0)
+    w[list({int(i) for r, p in zip(rows, positive) if not p for i in r})] = -9.0
+    if risk.parts(w)[1] < 0:
+        turned = lambda v: risk.parts(v)[0] - risk.parts(v)[1]
+        small = [(turned(w + 1e-6 * e) - turned(w - 1e-6 * e)) / 2e-6 for e in np.eye(13)]
+        assert np.abs(risk.gradient(w) - small).max() < 1e-5
+    # by hand: one positive with margin 0, one unlabelled row with margin 0
+    one = op9.Risk([np.array([0]), np.array([], int)], np.array([True, False]), 1, 0.5)
+    assert one.parts(np.zeros(2)) == pytest.approx((0.5 * np.log(2), 0.5 * np.log(2)))
+
+
+def test_scores_as_by_hand(spark):
+    docs, labels = corpus(600)
+    rows = [d[:5] for d in docs] + [(9000, None, None, None, None), (9001, "", None, None, None), (None, "Vile! x", None, None, None), (9002, "vile " * 50_000, None, None, None), docs[0][:5]]
+    df = frame(spark, rows)
+    model = op9.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    weight = dict(zip(model.names, model.weights.tolist()))
+    assert weight
+    want = []
+    for doc_id, text, *_ in rows:
+        have = set()
+        for w in (text or "").lower().split():
+            w = w.strip(".,;:!?\"'()[]{}<>-_*")
+            have |= {"=" + w} | {"^" + w[:n] for n in (4, 5) if len(w) > n}
+        z = model.bias + sum(v for x, v in weight.items() if x.decode() in have)
+        want.append((doc_id, round(1 / (1 + np.exp(-z)), 9)))
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in op9.score(df, model).collect()), key=str) == sorted(want, key=str)
+
+
+def test_bounds_of_the_sample_are_parameters(spark):
+    docs, labels = corpus()
+    df = frame(spark, [d[:5] for d in docs])
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert op9.train(df, table, most_positive=3).names == []  # no feature can stand in five of them
+    assert op9.train(df, table, most_unlabelled=200).names
+
+
 def vectors():
     rnd = np.random.default_rng(1)
     rows = [(i, rnd.normal(size=8).astype(np.float32).tolist(), 0) for i in range(400)]
     rows += [(i, rows[i % 50][1], 0) for i in range(400, 460)]  # ties
     rows += [(500, None, 0), (501, [0.0] * 8, 0), (502, [1.0, None] * 4, 0), (503, [float("nan")] * 8, 0), (504, [float("inf")] + [0.0] * 7, 0), (None, [1.0] * 8, 0), (520, [], 0)]
-    return rows + [(540, [2.0] * 3, 0), (541, [1.0] * 3, 0), (3, rows[3][1], 0)]
+    return rows + [(540, [2.0] * 3, 0), (541, [1.0] * 3, 0), (3, rows[3][1], 0), (40, rows[40][1], 0), (40, rows[41][1], 0)]  # repeated rows and ids
 
 
 @pytest.mark.parametrize("blocks", [(2048, 8192), (7, 50), (30, 5)])
 def test_neighbours(spark, blocks):
     df = spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int").repartition(4)
     got = sorted(tuple(r) for r in op10.nearest(df, F.col("vec_id") % 20 == 0, 20, *blocks).collect())
-    ok = {i: np.array(v, np.float64) for i, v, _ in vectors() if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    ok = [(i, np.array(v, np.float64)) for i, v, _ in vectors() if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     want = []
-    for q in sorted(ok):
+    for n, (q, a) in enumerate(ok):
         if q % 20 == 0:
-            every = [(-float(reduce(lambda t, x: t + x, (a * b for a, b in zip(ok[q], ok[c])), 0.0)), c) for c in ok if c != q and len(ok[c]) == len(ok[q])]
+            every = [(-float(reduce(lambda t, x: t + x, (x * y for x, y in zip(a, b)), 0.0)), c) for m, (c, b) in enumerate(ok) if m != n and len(b) == len(a)]
             want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(sorted(every)[:20])]
     assert got == sorted(want)
 

@@ -9,8 +9,9 @@ are recomputed in float64 and the best k by heap. The cells' lists of each query
 Queries are a stated set, against all rows, in blocks. A cell holds QUERY_BLOCK + CANDIDATE_BLOCK vectors.
 
 Nulls, ties: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
-without vec_id. Of rows with one vec_id the smallest vector counts. Vectors of different length are not compared.
-Equal scores go to the smaller vec_id. Other columns are ignored. An empty table gives an empty result.
+without vec_id. Rows that share a vec_id, with equal vectors or others, are rows of their own: each is a candidate, and
+each that is a query has its own list (a rank then stands once for each of them). Vectors of different length are not
+compared. Equal scores go to the smaller vec_id. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -48,18 +49,18 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query, candidate, score) of each query's best k in the cell, its own row left out."""
+def cell(query_ids: np.ndarray, query_twins: np.ndarray, queries: np.ndarray, ids: np.ndarray, twins: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, int, int, float]]:
+    """(query, its twin, candidate, score) of each query's best k in the cell, its own row left out. twins tell rows of one id apart."""
     cq, cs, cn, ce = quantise(vectors)
     tile = cq.astype(np.float32)
     for at in range(0, len(query_ids), _SLAB):
-        part, part_ids = queries[at : at + _SLAB], query_ids[at : at + _SLAB]
+        part, part_ids, part_twins = queries[at : at + _SLAB], query_ids[at : at + _SLAB], query_twins[at : at + _SLAB]
         qq, qs, _, qe = quantise(part)
         norms = np.sqrt((part**2).sum(axis=1))
         near = (qq.astype(np.float32) @ tile.T).astype(np.float64) * qs[:, None] * cs[None, :]
         bound = (norms[:, None] * ce[None, :] + qe[:, None] * cn[None, :]) * (1 + 1e-9) + 1e-12 * (1 + np.abs(near))
         low = near - bound
-        own = part_ids[:, None] == ids[None, :]
+        own = (part_ids[:, None] == ids[None, :]) & (part_twins[:, None] == twins[None, :])
         low[own] = -np.inf
         if len(ids) > k:
             least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -71,7 +72,7 @@ def cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         for i in range(len(part)):
             s = slice(edges[i], edges[i + 1])
             for negative, c in heapq.nsmallest(k, zip((-scores[s]).tolist(), ids[columns[s]].tolist())):
-                yield int(part_ids[i]), c, -negative
+                yield int(part_ids[i]), int(part_twins[i]), c, -negative
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -84,12 +85,12 @@ def _cells(k: int):
     def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(held).combine_chunks()
         is_query = np.asarray(whole["is_query"])
-        ids = np.asarray(whole["vec_id"])
+        ids, twins = np.asarray(whole["vec_id"]), np.asarray(whole["twin"])
         width = len(whole["vector"][0])
         values = whole["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-        found = list(cell(ids[is_query], values[is_query], ids[~is_query], values[~is_query], k)) if is_query.any() and not is_query.all() else []
-        columns = list(zip(*found)) or [()] * 3
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+        found = list(cell(ids[is_query], twins[is_query], values[is_query], ids[~is_query], twins[~is_query], values[~is_query], k)) if is_query.any() and not is_query.all() else []
+        columns = list(zip(*found)) or [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["query_id", "twin", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
@@ -118,17 +119,17 @@ def _merge(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, lists, out = None, {}, []
         for batch in batches:
-            for query, c, part, score in zip(*(batch.column(n).to_pylist() for n in ("query_id", "vec_id", "part", "score"))):
-                if query != current:
+            for query, twin, c, part, score in zip(*(batch.column(n).to_pylist() for n in ("query_id", "twin", "vec_id", "part", "score"))):
+                if (query, twin) != current:
                     if lists:
-                        out += best(current, lists)
-                    current, lists = query, {}
+                        out += best(current[0], lists)
+                    current, lists = (query, twin), {}
                 lists.setdefault(part, []).append((-score, c))
             columns = list(zip(*out)) or [()] * 4
             yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
             out = []
         if lists:
-            columns = zip(*best(current, lists))
+            columns = zip(*best(current[0], lists))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
 
     return run
@@ -140,7 +141,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, query_block:
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     base = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     base = base.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    base = settle(base.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("is_query").alias("is_query")), "vectors")
+    same = Window.partitionBy("vec_id", "digest").orderBy("is_query")
+    base = base.withColumn("digest", F.xxhash64("vector"))
+    base = settle(base.select("vec_id", "vector", "is_query", F.col("digest").bitwiseXOR(F.row_number().over(same).cast("long")).alias("twin")), "vectors")
     sizes = base.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     rows, columns = max(1, -(-sizes.q // query_block)), max(1, -(-sizes.n // candidate_block))
 
@@ -148,12 +151,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, query_block:
     number = lambda r, c: (F.size("vector").cast("long") * rows + r) * columns + c
     dealt = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = base.where("is_query").withColumn("other", spread(columns)).select(number(dealt(rows, 1), F.col("other")).alias("cell"), F.lit(True).alias("is_query"), "vec_id", "vector")
-    candidates = base.withColumn("other", spread(rows)).select(number(F.col("other"), dealt(columns, 2)).alias("cell"), F.lit(False).alias("is_query"), "vec_id", "vector")
+    queries = base.where("is_query").withColumn("other", spread(columns)).select(number(dealt(rows, 1), F.col("other")).alias("cell"), F.lit(True).alias("is_query"), "vec_id", "twin", "vector")
+    candidates = base.withColumn("other", spread(rows)).select(number(F.col("other"), dealt(columns, 2)).alias("cell"), F.lit(False).alias("is_query"), "vec_id", "twin", "vector")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = queries.unionByName(candidates).repartition(max(n, min(rows * columns, 10_000)), "cell").sortWithinPartitions("cell")
-    found = cells.mapInArrow(_cells(k), "query_id long, vec_id long, score double").withColumn("part", dealt(columns, 2))
-    merged = found.repartition(n, "query_id").sortWithinPartitions("query_id", "part", F.desc("score"), "vec_id")
+    found = cells.mapInArrow(_cells(k), "query_id long, twin long, vec_id long, score double").withColumn("part", dealt(columns, 2))
+    merged = found.repartition(n, "query_id").sortWithinPartitions("query_id", "twin", "part", F.desc("score"), "vec_id")
     return merged.mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 

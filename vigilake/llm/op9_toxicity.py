@@ -5,15 +5,19 @@ unlabelled text, whether or not a label says 0. The class prior is the toxic sha
 The risk is prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss; where the second
 term falls below zero its gradient is turned back, as in non-negative PU learning.
 
-Features: presence of words (A-Z lower-cased, ends stripped of punctuation) and of their first 4 and 5 letters, at
-most MOST_FEATURES that positives hold significantly more often than unlabelled text. Prefixes weigh less (a stronger
-decay), they serve inflected and compound words. labels, lang, source and doc_id are
-never features. At most MOST_POSITIVE and MOST_UNLABELLED training rows are used, in hash order of doc_id; that bounds
-what the driver and the broadcasts hold. Every document is scored over its whole text.
+Features: presence of words (A-Z lower-cased, ends stripped of punctuation) and of their first 4 and 5 letters. All
+that the positives of the sample hold significantly more often than text at large are used; how often text at large
+holds them is counted over every training document. A feature must stand in LEAST_POSITIVES documents of the sample, so
+the sample bounds their number. labels, lang, source and doc_id are never features.
+
+Weights are fitted to a sample, the first rows in hash order of doc_id: at most most_positive of the positives and
+most_unlabelled of the others (parameters of train()). That bounds what the driver and the broadcasts hold. Whether
+prefixes are used and how strongly weights decay is chosen among SETTINGS by cross-validation inside that sample, by the
+labels of its own rows; rows held out are never looked at. Every document is scored over its whole text.
 
 Nulls, ties: a null text is empty and gets the score of no features. A null doc_id is held out. A document with
-several labels is positive if any says 1. Every row gives one row. Without positives (or an empty table) all scores
-are the prior, 0 if there are no labels.
+several labels is positive if any says 1. Every row gives one row, rows that repeat too. Without positives (or an empty
+table) all scores are the prior, 0 if there are no labels. Other columns are ignored; keep_clean() keeps them.
 """
 
 from __future__ import annotations
@@ -27,112 +31,227 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _FOLD, settle, slices, table
+from .common import _FOLD, numbered, settle, slices, table
 
 MOST_POSITIVE = 4_000
 MOST_UNLABELLED = 12_000
-MOST_FEATURES = 1_000
+LEAST_POSITIVES = 5
 LEAST_TELLING = 5.0
-DECAY, PREFIX_DECAY = 5e-4, 1e-2
+#: Decay of words and of prefixes (None: no prefixes), of which cross-validation chooses. Prefixes serve inflected and compound words.
+SETTINGS = ((5e-4, 1e-2), (5e-4, None), (5e-3, 5e-2), (5e-3, None))
 PREFIXES = (4, 5)
 FOLDS = 5
+PARTS = 3  # of the cross-validation
 _LOWER = bytes(_FOLD)
 _EDGES = b".,;:!?\"'()[]{}<>-_*"
+_REMEMBERED = 1 << 19
+
+
+def of_word(word: bytes) -> list[bytes]:
+    """Features of one lower-cased word: itself without punctuation at its ends, and its first letters."""
+    word = word.strip(_EDGES)
+    letters = word.decode()
+    return [b"=" + word, *(b"^" + letters[:n].encode() for n in PREFIXES if len(letters) > n)]
 
 
 def features(text: str) -> set[bytes]:
-    words = {w.strip(_EDGES) for w in set(text.encode().translate(_LOWER).split())}
-    out = set()
-    for w in words:
-        letters = w.decode()
-        out.add(b"=" + w)
-        out.update(b"^" + letters[:n].encode() for n in PREFIXES if len(letters) > n)
-    return out
+    return {x for word in set(text.encode().translate(_LOWER).split()) for x in of_word(word)}
+
+
+class Finder:
+    """Which of some features a text has. What a word has is remembered, for so many words that memory stays bounded."""
+
+    def __init__(self, names: list[bytes]):
+        self.place = {x: i for i, x in enumerate(names)}
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def __call__(self, text: str) -> list[int]:
+        found: set[int] = set()
+        known = self.known
+        for word in set(text.encode().translate(_LOWER).split()):
+            at = known.get(word)
+            if at is None:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                at = known[word] = tuple(self.place[x] for x in of_word(word) if x in self.place)
+            if at:
+                found.update(at)
+        return sorted(found)
 
 
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    names: list[bytes]
+    weights: np.ndarray
     bias: float
 
-    def score(self, text: str) -> float:
-        z = self.bias
-        if text:
-            found = self.weights.keys() & features(text)
-            z += sum(self.weights[x] for x in sorted(found))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scorer(self):
+        find, weights = Finder(self.names), self.weights.tolist()
+
+        def score(text: str | None) -> float:
+            z = self.bias + sum(weights[i] for i in find(text or ""))
+            return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+        return score
+
+    def score(self, text: str | None) -> float:
+        return self.scorer()(text)
+
 
+class Risk:
+    """The non-negative risk of a linear classifier over rows of feature indices, and its gradient."""
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, epochs: int = 400, rate: float = 0.05, decay: float | np.ndarray = DECAY) -> tuple[np.ndarray, float]:
+    def __init__(self, rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float):
+        self.flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.positive, self.n_features, self.prior = positive, n_features, prior
+        self.n_p, self.n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        """w: a weight for each feature, then the bias."""
+        return np.bincount(self.owner, w[self.flat], len(self.positive)) + w[-1]
+
+    def parts(self, w: np.ndarray) -> tuple[float, float]:
+        """prior * E_p[l(f)], and E_u[l(-f)] - prior * E_p[l(-f)], which may be negative."""
+        f = self.margins(w)
+        toward = self.prior * np.logaddexp(0, -f)[self.positive].sum() / self.n_p
+        away = np.logaddexp(0, f)
+        return float(toward), float(away[~self.positive].sum() / self.n_u - self.prior * away[self.positive].sum() / self.n_p)
+
+    def value(self, w: np.ndarray) -> float:
+        toward, away = self.parts(w)
+        return toward + max(0.0, away)
+
+    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """Of the risk where its second part is not negative; else the first part's, less the second's (turned back)."""
+        f = self.margins(w)
+        s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+        toward = np.where(self.positive, -self.prior * (1 - s) / self.n_p, 0.0)
+        away = np.where(self.positive, -self.prior * s / self.n_p, s / self.n_u)
+        g = toward + away if self.parts(w)[1] >= 0 else toward - away
+        return np.append(np.bincount(self.flat, g[self.owner], self.n_features), g.sum())
+
+
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, epochs: int = 400, rate: float = 0.05, decay: float | np.ndarray = 5e-4) -> tuple[np.ndarray, float]:
     """rows: feature indices of each document; positive: which of them are confirmed. Adam over the whole sample."""
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, int)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
+    risk = Risk(rows, positive, n_features, prior)
     w, moment, square = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     for step in range(1, epochs + 1):
-        f = np.bincount(owner, w[flat], len(rows)) + w[-1]
-        s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        negative_p = np.where(positive, np.logaddexp(0, f), 0).sum() / n_p
-        negative_u = np.where(positive, 0, np.logaddexp(0, f)).sum() / n_u
-        toward = np.where(positive, -prior * (1 - s) / n_p, 0.0)  # of prior * E_p[l(f)]
-        away = np.where(positive, -prior * s / n_p, s / n_u)  # of E_u[l(-f)] - prior * E_p[l(-f)]
-        g = toward + away if negative_u - prior * negative_p >= 0 else toward - away
-        grad = np.append(np.bincount(flat, g[owner], n_features), g.sum()) + np.append(decay * w[:-1], 0)
+        grad = risk.gradient(w) + np.append(decay * w[:-1], 0)
         moment = 0.9 * moment + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
         w -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
+def _decays(names: list[bytes], setting: tuple[float, float | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The decay of each feature, and which features are used."""
+    prefix = np.array([x[:1] == b"^" for x in names], bool)
+    decay = np.where(prefix, setting[1] or 0.0, setting[0])
+    return decay, np.ones(len(names), bool) if setting[1] is not None else ~prefix
+
+
+def _only(rows: list[np.ndarray], used: np.ndarray) -> list[np.ndarray]:
+    return [r[used[r]] for r in rows]
+
+
+def choose(rows: list[np.ndarray], positive: np.ndarray, label: np.ndarray, names: list[bytes], prior: float) -> tuple[float, float | None]:
+    """The setting with the least balanced error on labelled rows left out of the fit, the first of equal ones.
+
+    label: 1, 0 or -1 (none) of each row. With too few labels of either kind it is the first setting.
+    """
+    part = np.arange(len(rows)) % PARTS
+    if min((label == 1).sum(), (label == 0).sum()) < 4 * PARTS:
+        return SETTINGS[0]
+    errors = []
+    for setting in SETTINGS:
+        decay, used = _decays(names, setting)
+        kept = _only(rows, used)
+        wrong = {0: 0, 1: 0}
+        for p in range(PARTS):
+            fit = np.flatnonzero(part != p)
+            w, bias = fit_nnpu([kept[i] for i in fit], positive[fit], len(names), prior, epochs=120, rate=0.1, decay=decay)
+            for i in np.flatnonzero((part == p) & (label >= 0)):
+                wrong[int(label[i])] += (w[kept[i]].sum() + bias >= 0) != (label[i] == 1)
+        errors.append(wrong[0] / (label == 0).sum() + wrong[1] / (label == 1).sum())
+    return SETTINGS[int(np.argmin(errors))]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _of_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            p, u = Counter(), Counter()
-            for text, positive in zip(part.column("text").to_pylist(), part.column("positive").to_pylist()):
-                (p if positive else u).update(features(text))
-            names = list(p.keys() | u.keys())
-            yield pa.record_batch([pa.array(names, pa.binary()), pa.array([p[x] for x in names], pa.int64()), pa.array([u[x] for x in names], pa.int64())], ["feature", "p", "u"])
+            n = Counter(x for text in part.column("text").to_pylist() for x in features(text))
+            yield pa.record_batch([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
+
+
+def _counted(names):
+    """How many texts hold each feature; one row of sums for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, n = Finder(names.value), np.zeros(len(names.value), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                found = [i for text in part.column("text").to_pylist() for i in find(text)]
+                n += np.bincount(np.array(found, np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at), pa.array(n[at])], ["at", "n"])
 
+    return run
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+def _indexed(names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder(names.value)
+        for batch in batches:
+            for part in slices(batch):
+                rows = [find(t) for t in part.column("text").to_pylist()]
+                yield pa.record_batch([part.column("turn"), part.column("positive"), part.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["turn", "positive", "toxic", "at"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+    """docs (doc_id, text), labels (doc_id, toxic). most_positive and most_unlabelled bound the sample that weights are fitted to."""
+    spark = docs.sparkSession
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = docs.select("doc_id").where(~held_out(F.col("doc_id"))).distinct().join(known, "doc_id", "left")
-    ids = settle(ids.select("doc_id", F.col("toxic"), (F.coalesce("toxic", F.lit(0)) == 1).alias("positive"), F.xxhash64("doc_id").alias("turn")), "labelled")
+    ids = settle(ids.select("doc_id", "toxic", (F.coalesce("toxic", F.lit(0)) == 1).alias("positive"), F.xxhash64("doc_id").alias("turn")), "labelled")
     tally = ids.agg(F.count("toxic").alias("n"), F.count_if("positive").alias("p")).first()
     prior = tally.p / tally.n if tally.n else 0.0
     bias = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     if not tally.p:
-        return Model({}, bias)
+        return Model([], np.zeros(0), bias)
     some = lambda which, n: ids.where(which).orderBy("turn", "doc_id").limit(n)
-    sample = some("positive", MOST_POSITIVE).unionByName(some("not positive", MOST_UNLABELLED)).select("doc_id", "positive")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "positive")
-    texts = settle(texts, "training")
-
-    counts = texts.mapInArrow(_count, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    size = texts.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
-    expected = size.p * (F.col("u") + 1) / (size.u + 1)
-    telling = (F.col("p") - expected) / F.sqrt(expected + 1)
-    best = counts.where(telling >= LEAST_TELLING).orderBy(telling.desc(), "feature").limit(MOST_FEATURES).select("feature").collect()
-    names = sorted(bytes(r.feature) for r in best)
-    place = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                rows = [sorted(place.value[x] for x in place.value.keys() & features(t)) for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("positive"), pa.array(rows, pa.list_(pa.int32()))], ["positive", "at"])
-
-    rows = texts.mapInArrow(index, "positive boolean, at array<int>").collect()
-    rows.sort(key=lambda r: (r.positive, r["at"]))  # the same sums in any order of partitions
-    decay = np.array([PREFIX_DECAY if x[:1] == b"^" else DECAY for x in names])
-    w, bias = fit_nnpu([np.array(r["at"], int) for r in rows], np.array([r.positive for r in rows]), len(names), prior, decay=decay)
-    return Model({x: float(v) for x, v in zip(names, w) if v}, bias)
+    sample = some("positive", most_positive).unionByName(some("not positive", most_unlabelled))
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = settle(whole.join(F.broadcast(sample), "doc_id").select("turn", "text", "positive", "toxic"), "training")
+
+    n_positive = texts.where("positive").count()
+    often = texts.where("positive").select("text").mapInArrow(_of_positives, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    held = sorted((bytes(r.feature), r.n) for r in often.where(F.col("n") >= LEAST_POSITIVES).collect())
+    candidates = spark.sparkContext.broadcast([x for x, _ in held])
+    every = whole.where(~held_out(F.col("doc_id")))
+    counts = every.select("text").mapInArrow(_counted(candidates), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    n_at_large = np.zeros(len(held))
+    for r in counts:
+        n_at_large[r["at"]] = r.n
+    p = np.array([n for _, n in held], float)
+    expected = n_positive * (n_at_large + 1) / (every.count() + 1)
+    telling = (p - expected) / np.sqrt(expected + 1)
+    names = [x for (x, _), t in zip(held, telling) if t >= LEAST_TELLING]
+
+    rows = texts.mapInArrow(_indexed(spark.sparkContext.broadcast(names)), "turn long, positive boolean, toxic int, at array<int>").collect()
+    rows.sort(key=lambda r: (r.turn, r.positive, r["at"]))  # the same sums in any order of partitions
+    at, positive = [np.array(r["at"], np.int64) for r in rows], np.array([r.positive for r in rows], bool)
+    label = np.array([-1 if r.toxic is None else int(r.toxic == 1) for r in rows])
+    decay, used = _decays(names, choose(at, positive, label, names, prior))
+    w, bias = fit_nnpu(_only(at, used), positive, len(names), prior, decay=decay)
+    return Model([x for x, v in zip(names, w) if v], w[w != 0], bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -140,25 +259,26 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value.scorer()
         for batch in batches:
             for part in slices(batch):
-                scores = [shared.value.score(t) for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+                yield pa.record_batch([part.column("doc_id"), pa.array([of(t) for t in part.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
     out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without those that the model rejects. No shuffle."""
+    """docs, all columns, without those that the model rejects. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, text = numbered(docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value.scorer()
         for batch in batches:
-            clean = [shared.value.score(t or "") < 0.5 for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array([of(t) < 0.5 for t in batch.column(text).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
