@@ -1,23 +1,24 @@
 """WARC: write archives, normalise monolithic gzip files to one member per record with an offset index, read back.
 
 1. Payload digests are grouped (pre-aggregated); the smallest page_id of equal payloads is the response, others are
-   revisits of it.
+   revisits of it. Only digests meet by payload, so copies of one page, however many, are not brought together.
 2. Each task writes its records as one gzip stream, a monolithic file, to the shared folder. Names carry the task
    attempt, and only files named in a finished task's row are read, so lost executors leave no half file in use.
 3. The normaliser inflates each file once as a stream, whatever its size, rewrites each record as a gzip member of
    its own and writes a sidecar index (offset, length, type, record id).
-4. Reading back seeks each member by the index and inflates it alone.
+4. Reading back seeks each member by the index and inflates it alone. Small archives share a task.
 
 Nulls, ties: a null html is an empty payload, a null url has no target line. A null page_id comes after all others.
-Rows with the smallest page_id of a payload are all responses if there are several. Other columns are ignored.
+Rows with the smallest page_id of a payload are all responses if there are several; rows that repeat a page_id are records
+of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, shared_folder, table
+from .common import settle, shared_folder, slices, table
 
 LEAST_REVISIT = 0
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 20
+TASK_BYTES = 64 << 20  # of archives that one task normalises or reads
+READ_ROWS = 1_000  # records that a reader holds at once
 
 
 def _store(uri: str):
@@ -74,7 +77,7 @@ class _Inflated:
     """Bytes of a gzip file of one or more members, inflated once, in bounded memory."""
 
     def __init__(self, file):
-        self.file, self.zip, self.held = file, zlib.decompressobj(31), b""
+        self.file, self.zip, self.held, self.at = file, zlib.decompressobj(31), b"", 0
 
     def more(self) -> bool:
         raw = self.zip.unconsumed_tail
@@ -82,26 +85,28 @@ class _Inflated:
             raw, self.zip = self.zip.unused_data, zlib.decompressobj(31)
         raw = raw or self.file.read(_CHUNK)
         data = self.zip.decompress(raw, _CHUNK) if raw else self.zip.flush()
-        self.held += data
+        self.held, self.at = self.held[self.at :] + data, 0
         return bool(raw or data)
 
     def head(self) -> bytes | None:
         """Up to the blank line; None at the end."""
-        while (at := self.held.find(b"\r\n\r\n")) < 0:
+        while (end := self.held.find(b"\r\n\r\n", self.at)) < 0:
             if not self.more():
-                if self.held.strip():
+                if self.held[self.at :].strip():
                     raise ValueError("the archive ends inside a header")
                 return None
-        out, self.held = self.held[: at + 4], self.held[at + 4 :]
+        out, self.at = self.held[self.at : end + 4], end + 4
         return out
 
     def body(self, n: int) -> Iterator[bytes]:
         while n:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise ValueError("the archive ends inside a record")
-            part, self.held = self.held[:n], self.held[n:]
+            part = self.held[self.at : self.at + n]
+            self.at += len(part)
             n -= len(part)
-            yield part
+            if part:
+                yield part
 
 
 def normalise(source, target) -> list[tuple[int, int, str, str]]:
@@ -130,19 +135,20 @@ def _write(folder: str):
         context = TaskContext.get()
         name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         out = zipped = None
-        n = 0
+        n = size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    fs, path = _store(name)
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    out, zipped = fs.open_output_stream(path, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
-                _put(out, zipped.compress(record(row["page_id"], row["url"], row["html"].encode(), row["record_type"], row["refers_to"])))
-                n += 1
+            for part in slices(batch, "html"):
+                for row in part.to_pylist():
+                    if out is None:
+                        fs, path = _store(name)
+                        fs.create_dir(path.rpartition("/")[0], recursive=True)
+                        out, zipped = fs.open_output_stream(path, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
+                    size += _put(out, zipped.compress(record(row["page_id"], row["url"], row["html"].encode(), row["record_type"], row["refers_to"])))
+                    n += 1
         if out is not None:
-            _put(out, zipped.flush())
+            size += _put(out, zipped.flush())
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": [n], "bytes": [size]})
 
     return run
 
@@ -152,14 +158,14 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             name = row["path"].removesuffix(".warc.gz") + f"-n{TaskContext.get().taskAttemptId()}.warc.gz"
             fs, path = _store(row["path"])
-            _, made = _store(name)
+            made = path.removesuffix(row["path"].rpartition("/")[2]) + name.rpartition("/")[2]
             with fs.open_input_stream(path, compression=None) as source, fs.open_output_stream(made, compression=None) as target:
                 index = normalise(source, target)
             if len(index) != row["records"]:
                 raise ValueError(f"{path}: {len(index)} records of {row['records']}")
             with fs.open_output_stream(made + ".idx", compression=None) as side:
                 side.write("".join(f"{o} {n} {kind} {key}\n" for o, n, kind, key in index).encode())
-            yield pa.RecordBatch.from_pydict({"path": [name], "records": [len(index)]})
+            yield pa.RecordBatch.from_pydict({"path": [name], "records": [len(index)], "bytes": [sum(n for _, n, _, _ in index)]})
 
 
 def read_member(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -169,52 +175,67 @@ def read_member(data: bytes) -> tuple[dict[str, str], bytes]:
     return h, rest[: int(h["content-length"])]
 
 
+_RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
+
+def _records(path: str) -> Iterator[tuple]:
+    fs, at = _store(path)
+    with fs.open_input_stream(at + ".idx", compression=None) as side:
+        index = [line.split(" ") for line in side.read().decode().splitlines()]
+    with fs.open_input_file(at) as file:
+        for offset, length, kind, key in index:
+            file.seek(int(offset))
+            h, block = read_member(file.read(int(length)))
+            http, _, payload = block.partition(b"\r\n\r\n")
+            digest = h["warc-payload-digest"].removeprefix("sha1:")
+            size = int(re.search(rb"(?im)^content-length: (\d+)", http)[1])
+            if h["warc-type"] != kind or h["warc-record-id"] != key or kind == "response" and (digest32(payload) != digest or len(payload) != size):
+                raise ValueError(f"{path} at {offset}: the record does not match its index or digest")
+            number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
+            yield number("x-page-id"), size, digest, kind, number("x-refers-to-page"), h.get("warc-target-uri"), path, int(offset), int(length)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            fs, path = _store(row["path"])
-            with fs.open_input_stream(path + ".idx", compression=None) as side:
-                index = [line.split(" ") for line in side.read().decode().splitlines()]
-            out = []
-            with fs.open_input_file(path) as file:
-                for offset, length, kind, key in index:
-                    file.seek(int(offset))
-                    h, block = read_member(file.read(int(length)))
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    digest = h["warc-payload-digest"].removeprefix("sha1:")
-                    size = int(re.search(rb"(?im)^content-length: (\d+)", http)[1])
-                    if h["warc-type"] != kind or h["warc-record-id"] != key or kind == "response" and (digest32(payload) != digest or len(payload) != size):
-                        raise ValueError(f"{path} at {offset}: the record does not match its index or digest")
-                    number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
-                    out.append((number("x-page-id"), size, digest, kind, number("x-refers-to-page"), h.get("warc-target-uri"), row["path"], int(offset), int(length)))
-            kinds = pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "path", "offset", "length"])
+        for path in batch.column("path").to_pylist():
+            found = _records(path)
+            while some := list(itertools.islice(found, READ_ROWS)):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*some), _RECORD.types)], schema=_RECORD)
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """pages with record_type and refers_to."""
+    """pages with record_type and refers_to. A payload's copies meet by digest alone, then each page its own role."""
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumns({"sha": F.sha1("html"), "n": F.octet_length("html")})
-    firsts = base.groupBy("sha", "n").agg(F.min("page_id").alias("first"))
-    joined = base.join(firsts, ["sha", "n"])
+    copies = base.groupBy("page_id", "sha", "n").agg(F.lit(1).alias("one"))
+    firsts = copies.groupBy("sha", "n").agg(F.min("page_id").alias("first"))
     response = F.col("page_id").eqNullSafe(F.col("first")) | (F.col("n") < least)
-    return joined.select("page_id", "url", "html", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("first")).alias("refers_to"))
+    roles = copies.join(firsts, ["sha", "n"]).select(
+        F.col("page_id").alias("of_page"), F.col("sha").alias("of_sha"), F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("first")).alias("refers_to")
+    )
+    mine = F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("sha") == F.col("of_sha"))
+    return base.join(roles.hint("merge"), mine).select("page_id", "url", "html", "record_type", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """Monolithic archives: path and records of each."""
-    return settle(plan_records(pages, least).mapInArrow(_write(folder), "path string, records long"), "archives")
+    """Monolithic archives: path, records and bytes of each."""
+    return settle(plan_records(pages, least).mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
+
+
+def _shared_out(archives: DataFrame) -> DataFrame:
+    """Archives dealt to tasks of about TASK_BYTES, but to as many as can run at once if there are enough archives."""
+    tally = archives.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    wide = max(archives.sparkSession.sparkContext.defaultParallelism, -(-tally["bytes"] // TASK_BYTES))
+    return archives.repartition(max(1, min(tally["n"], wide)))
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:
-    """One member for each record, and a sidecar index, beside each archive: path and records of each."""
-    n = max(1, archives.count())
-    return settle(archives.repartition(n).mapInArrow(_normalise, "path string, records long"), "normalised")
+    """One member for each record, and a sidecar index, beside each archive: path, records and bytes of each."""
+    return settle(_shared_out(archives).mapInArrow(_normalise, "path string, records long, bytes long"), "normalised")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    n = max(1, archives.count())
-    return archives.repartition(n).mapInArrow(
+    return _shared_out(archives).mapInArrow(
         _read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, path string, offset long, length long"
     )
 
