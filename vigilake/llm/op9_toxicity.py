@@ -5,7 +5,7 @@ unlabelled text, whether or not a label says 0. The class prior is the toxic sha
 The risk is prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) with the logistic loss; where the second
 term falls below zero its gradient is turned back, as in non-negative PU learning.
 
-Features: presence of words (A-Z lower-cased, ends stripped of punctuation) and of their first 4 and 5 letters. All
+Features: presence of words (A-Z lower-cased, ends stripped of punctuation) and of their first 4 and 5 bytes. All
 that the positives of the sample hold significantly more often than text at large are used; how often text at large
 holds them is counted over every training document. A feature must stand in LEAST_POSITIVES documents of the sample, so
 the sample bounds their number. labels, lang, source and doc_id are never features.
@@ -44,38 +44,33 @@ FOLDS = 5
 PARTS = 3  # of the cross-validation
 _LOWER = bytes(_FOLD)
 _EDGES = b".,;:!?\"'()[]{}<>-_*"
-_REMEMBERED = 1 << 19
 
 
-def of_word(word: bytes) -> list[bytes]:
-    """Features of one lower-cased word: itself without punctuation at its ends, and its first letters."""
-    word = word.strip(_EDGES)
-    letters = word.decode()
-    return [b"=" + word, *(b"^" + letters[:n].encode() for n in PREFIXES if len(letters) > n)]
+def _words(text: str) -> set[bytes]:
+    """Distinct words, A-Z lower-cased, without punctuation at their ends."""
+    return {w.strip(_EDGES) for w in set(text.encode().translate(_LOWER).split())}
 
 
 def features(text: str) -> set[bytes]:
-    return {x for word in set(text.encode().translate(_LOWER).split()) for x in of_word(word)}
+    """Each word, and its first bytes where it is longer."""
+    words = _words(text)
+    return {b"=" + w for w in words}.union(*({b"^" + w[:n] for w in words if len(w) > n} for n in PREFIXES))
 
 
 class Finder:
-    """Which of some features a text has. What a word has is remembered, for so many words that memory stays bounded."""
+    """Which of some features a text has, by meeting sets of them with sets of the text's."""
 
     def __init__(self, names: list[bytes]):
-        self.place = {x: i for i, x in enumerate(names)}
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.words = {x[1:]: i for i, x in enumerate(names) if x[:1] == b"="}
+        self.prefixes = {n: {x[1:]: i for i, x in enumerate(names) if x[:1] == b"^" and len(x) == n + 1} for n in PREFIXES}
+        self.known = {n: frozenset(p) for n, p in self.prefixes.items() if p}
+        self.known_words = frozenset(self.words)
 
     def __call__(self, text: str) -> list[int]:
-        found: set[int] = set()
-        known = self.known
-        for word in set(text.encode().translate(_LOWER).split()):
-            at = known.get(word)
-            if at is None:
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                at = known[word] = tuple(self.place[x] for x in of_word(word) if x in self.place)
-            if at:
-                found.update(at)
+        words = _words(text)
+        found = [self.words[w] for w in words & self.known_words]
+        for n, known in self.known.items():
+            found += [self.prefixes[n][p] for p in {w[:n] for w in words if len(w) > n} & known]
         return sorted(found)
 
 
