@@ -2,13 +2,13 @@ import duckdb
 import pytest
 
 SF = "/root/testdata/sf0.01"
-TABLES = "customer orders lineitem events documents embeddings pages labels conversations".split()
+TABLES = "customer supplier part orders lineitem events documents embeddings pages labels conversations".split()
 
 
 def _plans():
-    from vigilake.plans import catalog, findings
+    from vigilake.plans import audit, catalog, findings, projects, reporting
 
-    return catalog, findings
+    return catalog, findings, audit, projects, reporting
 
 
 def _names():
@@ -23,6 +23,11 @@ def con():
     return c
 
 
+def test_every_query_has_its_sql():
+    assert all(plan.queries().keys() == plan.oracle_sql().keys() for plan in _plans())
+    assert len(_names()) == len(set(_names()))
+
+
 @pytest.mark.parametrize("name", _names())
 def test_equals_its_sql(spark, con, name):
     plan = next(p for p in _plans() if name in p.queries())

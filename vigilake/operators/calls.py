@@ -1,28 +1,34 @@
-"""Calls and chunks of Python files by parsing, the rules that calls meet, and snippets around a line.
+"""Calls and chunks of source files, the rules that calls meet, hooks of a tree, and snippets around a line.
 
-Parsing is per file, in Arrow batches; all after it is joins with small rule tables and column expressions. Files that
-cannot be parsed, are null or empty give no rows: the line scan is what is left for them.
+Python is parsed with the standard library, other languages are read by a lexer (its docstring says how closely). Files
+are read one by one, in Arrow batches; all after it is joins with small rule tables and column expressions. Files that
+cannot be read that way, are null, empty or of no known language give no rows: errors() names them, and the line scan is
+what is left for them. PHP has no calls here, only chunks: its hooks come from the line scan.
 """
 
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from .hooks import language_of, scan_lines
+from .lexer import LANGUAGES, Call, Chunk, Source
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_DECORATED = (*_FUNCTIONS, ast.ClassDef)
 
 
-def _parsed(content: str | None) -> ast.AST | None:
+def _parsed(content: str) -> ast.AST | str:
+    """The tree, or why there is none."""
     try:
-        return ast.parse(content or "")
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
+        return ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return f"Parse error: {type(e).__name__}"
 
 
 def _callee(node: ast.expr) -> str | None:
@@ -32,67 +38,196 @@ def _callee(node: ast.expr) -> str | None:
     return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
 
 
-def _walk(root: ast.AST) -> Iterator[tuple[ast.AST, str | None, str | None]]:
-    """Nodes with their innermost enclosing function and class, without recursion."""
+def _walk(root: ast.AST) -> Iterator[tuple[ast.AST, ast.AST | None, str | None]]:
+    """Nodes with their innermost enclosing function and class, without recursion. Decorators are outside of what they decorate."""
     todo: list = [(root, None, None)]
     while todo:
         node, func, cls = todo.pop()
         yield node, func, cls
-        inside = (node.name, cls) if isinstance(node, _FUNCTIONS) else (func, node.name) if isinstance(node, ast.ClassDef) else (func, cls)
-        todo += [(child, *inside) for child in reversed(list(ast.iter_child_nodes(node)))]
+        inside = (node, cls) if isinstance(node, _FUNCTIONS) else (func, node.name) if isinstance(node, ast.ClassDef) else (func, cls)
+        outside = {id(x) for x in node.decorator_list} if isinstance(node, _DECORATED) else ()
+        todo += [(child, *((func, cls) if id(child) in outside else inside)) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
-def _mapped(rows_of):
-    """An Arrow function over batches of (path, content) that yields the rows of each file."""
-
-    def with_schema(schema: pa.Schema):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                    tree = _parsed(content)
-                    rows = [(path, *r) for r in rows_of(tree, content or "")] if tree else []
-                    if rows:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-
-        return run
-
-    return with_schema
-
-
-def _calls(tree: ast.AST, _content: str) -> Iterator[tuple]:
+def _python_calls(tree: ast.AST) -> Iterator[Call]:
     for node, func, _ in _walk(tree):
         if isinstance(node, ast.Call) and (name := _callee(node.func)):
-            yield func or name, name, node.lineno, node.end_lineno
-
+            yield Call(name, func.name if func else None, func.lineno if func else 0, node.lineno, node.end_lineno)
 
-def _chunks(tree: ast.AST, content: str) -> Iterator[tuple]:
-    lines = content.split("\n")
-    for node, _, cls in _walk(tree):
-        if isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
-            kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            body = "\n".join(lines[node.body[0].lineno - 1 : node.end_lineno])
-            yield kind, node.name, cls, lines[node.lineno - 1].strip(), node.lineno, node.end_lineno, body
 
+def _python_chunks(tree: ast.AST, content: str) -> Iterator[Chunk]:
+    lines = [line.encode() for line in content.split("\n")]
 
-_CALL = pa.schema([("path", pa.string()), ("func_name", pa.string()), ("called", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32())])
-_CHUNK = pa.schema([("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("parent", pa.string()), ("signature", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()), ("body", pa.string())])
+    def text(line: int, column: int, end_line: int, end_column: int) -> str:
+        part = lines[line - 1 : end_line]
+        part[-1] = part[-1][:end_column]
+        part[0] = part[0][column:]
+        return b"\n".join(part).decode("utf-8", "replace")
 
-
-def python_calls(files: DataFrame) -> DataFrame:
-    """files (path, content): each call; outside functions func_name is the called name."""
-    return files.select("path", "content").mapInArrow(_mapped(_calls)(_CALL), "path string, func_name string, called string, line_start int, line_end int")
-
-
-def python_chunks(files: DataFrame) -> DataFrame:
-    """files (path, content): each function and class, nested ones too, with the class around it."""
-    return files.select("path", "content").mapInArrow(_mapped(_chunks)(_CHUNK), "path string, kind string, name string, parent string, signature string, line_start int, line_end int, body string")
-
-
-def dangerous(calls: DataFrame) -> DataFrame:
-    """calls with a row for each rule that names what is called. The rule table is small and broadcast."""
-    rows = [(name, n, kind, severity, cwe) for n, (kind, severity, cwe, names) in enumerate(R.PYTHON_CALLS) for name in names]
-    table = calls.sparkSession.createDataFrame(rows, "called string, rule int, hook_type string, severity string, cwe string")
-    return calls.join(F.broadcast(table), "called")
+    first = lambda n: min([n, *getattr(n, "decorator_list", ())], key=lambda x: (x.lineno, x.col_offset))
+    for node, _, cls in _walk(tree):
+        if not isinstance(node, _DECORATED):
+            continue
+        ends = node.end_lineno, node.end_col_offset
+        if node.decorator_list:  # a decorated definition is a chunk of its own around the definition
+            at = first(node)
+            whole = text(at.lineno, at.col_offset - 1, *ends)
+            yield Chunk("function", "<unknown>", cls, whole.split("\n")[0].strip(), at.lineno, ends[0], whole)
+        body = first(node.body[0])
+        column = body.col_offset - (body is not node.body[0])
+        signature = text(node.lineno, node.col_offset, *ends).split("\n")[0].strip()
+        yield Chunk("class" if isinstance(node, ast.ClassDef) else "function", node.name, cls, signature, node.lineno, ends[0], text(body.lineno, column, *ends))
+
+
+def _read(content: str | None, language: str | None) -> ast.AST | Source | str:
+    """What a file's rows are made of, or why there are none."""
+    if content is None:
+        return "No content"
+    if language == "python":
+        return _parsed(content.replace("\r\n", "\n"))
+    return Source(content, language) if language in LANGUAGES else "Unsupported file type"
+
+
+def _calls(read: ast.AST | Source, _content: str, language: str) -> Iterator[Call]:
+    return _python_calls(read) if language == "python" else iter(()) if language == "php" else iter(read.calls())
+
+
+def _chunks(read: ast.AST | Source, content: str, language: str) -> Iterator[Chunk]:
+    return _python_chunks(read, content.replace("\r\n", "\n")) if language == "python" else iter(read.chunks())
+
+
+def _errors(read: ast.AST | Source | str, _content: str, _language: str) -> Iterator[tuple[str]]:
+    return iter([(read,)] if isinstance(read, str) else [])
+
+
+def _mapped(files: DataFrame, rows_of: Callable, columns: str) -> DataFrame:
+    """files (path, content, and language if it is known): path, language and the columns of each row that rows_of makes of a file."""
+    language = F.col("language") if "language" in files.columns else language_of(F.col("path"))
+    names = [c.split(" ")[0] for c in columns.split(", ")]
+    types = [{"string": pa.string(), "int": pa.int32()}[c.split(" ")[1]] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, lang, content in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content"))):
+                read = _read(content, lang)
+                rows = list(rows_of(read, content, lang)) if rows_of is _errors or not isinstance(read, str) else []
+                if rows:
+                    same = [pa.array([x] * len(rows), pa.string()) for x in (path, lang)]
+                    yield pa.record_batch([*same, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], ["path", "language", *names])
+
+    return files.select("path", language.alias("language"), "content").mapInArrow(run, f"path string, language string, {columns}")
+
+
+def calls(files: DataFrame) -> DataFrame:
+    """files (path, content): each call: what is called, the function around it (null outside of functions) and its line, first and last line."""
+    return _mapped(files, _calls, "called string, enclosing string, func_line int, line_start int, line_end int")
+
+
+def chunks(files: DataFrame) -> DataFrame:
+    """files (path, content): each function, method and class, nested ones too, with the class around it and an id of path, name and line."""
+    rows = _mapped(files, _chunks, "kind string, name string, parent string, signature string, line_start int, line_end int, body string")
+    key = F.sha2(F.concat_ws(":", F.col("path"), F.col("name"), F.col("line_start").cast("string")), 256)
+    return rows.withColumn("chunk_id", F.substring(key, 1, 12))
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """files (path, content): a row for each file that has neither calls nor chunks because it cannot be read."""
+    return _mapped(files, _errors, "error string")
+
+
+def dangerous(found: DataFrame) -> DataFrame:
+    """calls with a row for each rule of the language that names what is called, and the hook's id. The rule table is small and broadcast."""
+    rows = [(language, name, n, *rule) for language, table in R.CALLS.items() for n, (*rule, names) in enumerate(table) for name in names]
+    table = found.sparkSession.createDataFrame(rows, "language string, called string, rule int, hook_type string, severity string, cwe string, cwe_title string")
+    key = F.concat_ws(":", "path", F.coalesce("enclosing", F.lit("None")), F.col("func_line").cast("string"), "hook_type", "called")
+    return found.join(F.broadcast(table), ["language", "called"]).withColumns({"func": F.coalesce("enclosing", "called"), "hook_id": F.substring(F.sha2(key, 256), 1, 16)})
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """files (path, language, content): hooks of all files, from calls; from lines for files whose calls give none.
+
+    hook_id, path, language, func, hook_type, severity, cwe, cwe_title, line_start, line_end, called, description, snippet.
+    """
+    told = F.col("cwe_title")
+    texts = files.select("path", "content")
+    by_call = dangerous(calls(files)).join(texts, "path")
+    columns = ["hook_id", "path", "language", "func", "hook_type", "severity", "cwe", "cwe_title", "line_start", "line_end", "called", "description", "snippet"]
+    by_call = by_call.withColumns({"description": told, "snippet": context(F.col("content"), F.col("line_start"))}).select(columns)
+    silent = files.join(by_call.select("path").distinct(), "path", "left_anti")
+    by_line = scan_lines(silent.select("path", "language", "content")).withColumns({"func": F.lit(""), "called": F.lit(""), "line_end": F.col("line_start")})
+    return by_call.unionByName(by_line.select(columns))
+
+
+def chunk_summary(files: DataFrame) -> DataFrame:
+    """files (path, content): kind, name, n: files with rows or errors, chunks, errors, chunks by kind (0 where there is none) and by language."""
+    found, bad = chunks(files), errors(files)
+    total = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
+    with_chunks = found.select("path").distinct()
+    out = total(with_chunks.unionByName(bad.select("path")).distinct(), "files_processed").unionByName(total(with_chunks, "files_with_chunks"))
+    out = out.unionByName(total(found, "total_chunks")).unionByName(total(bad, "total_errors"))
+    kinds = found.sparkSession.createDataFrame([("function",), ("method",), ("class",)], "name string")
+    by_kind = kinds.join(found.groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("n")), "name", "left").select(F.lit("type").alias("kind"), "name", F.coalesce("n", F.lit(0)).alias("n"))
+    return out.unionByName(by_kind).unionByName(found.groupBy(F.col("language").alias("name")).agg(F.count("*").alias("n")).select(F.lit("language").alias("kind"), "name", "n"))
+
+
+def import_lines(content: Column, language: Column) -> Column:
+    """Lines of a file that import or include something, trimmed, in order."""
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+    starts = lambda x, *heads: F.lit(False) if not heads else x.startswith(heads[0]) | starts(x, *heads[1:])
+    by = {
+        "python": lambda x: starts(x, "import ", "from "),
+        "javascript": lambda x: starts(x, "import ", "const ", "var ", "let ") & x.contains("require"),
+        "go": lambda x: starts(x, "import ", '"'),
+        "cpp": lambda x: starts(x, "#include"),
+        "java": lambda x: starts(x, "import "),
+    }
+    out = F.array().cast("array<string>")
+    for name, test in by.items():
+        out = F.when(language == name, F.filter(lines, test)).otherwise(out)
+    return out
+
+
+def chunk_contexts(files: DataFrame, with_body: bool = True) -> DataFrame:
+    """files (path, content): path, chunk_id, and each chunk as JSON with the imports of its file."""
+    language = F.col("language") if "language" in files.columns else language_of(F.col("path"))
+    imports = files.select("path", F.to_json(import_lines(F.col("content"), language)).alias("imports"))
+    rows = chunks(files).join(imports, "path")
+    text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x")), {"ignoreNullFields": "false"}), r'(?s)^\{"x":(.*)\}$', 1), F.lit("null"))
+    fields = {
+        "chunk_id": text(F.col("chunk_id")), "file": text(F.col("path")), "language": text(F.col("language")), "name": text(F.col("name")), "signature": text(F.col("signature")), "type": text(F.col("kind")),
+        "lines": text(F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))), "parent": text(F.col("parent")), "imports": F.col("imports"),
+    }
+    fields |= {"body": text(F.col("body"))} if with_body else {}
+    made = F.concat(F.lit("{"), *[x for i, (name, value) in enumerate(fields.items()) for x in (F.lit(f'{"," if i else ""}"{name}":'), value)], F.lit("}"))
+    return rows.select("path", "chunk_id", made.alias("context"))
+
+
+def chunk_of_hook(hooks: DataFrame, found: DataFrame) -> DataFrame:
+    """hooks (hook_id, path, func) with the first chunk of that name in the file: snippet, line_start and line_end; null where there is none."""
+    first = found.groupBy("path", F.col("name").alias("func")).agg(F.min(F.struct("line_start", (-F.col("line_end")).alias("back"), "signature", "body")).alias("c"))
+    rows = hooks.select("hook_id", "path", "func").join(first, ["path", "func"], "left")
+    snippet = F.substring(F.concat("c.signature", F.lit("\n"), "c.body"), 1, 3000)
+    return rows.select("hook_id", "path", "func", F.col("c.line_start").alias("line_start"), (-F.col("c.back")).alias("line_end"), snippet.alias("snippet"))
+
+
+#: How far a nearby chunk may start, how many are named, and how much of a body is shown.
+NEAR_LINES, MOST_NEAR, NEAR_BODY = 50, 3, 600
+
+
+def nearby(of: DataFrame, found: DataFrame) -> DataFrame:
+    """of (hook_id, path, func, line_start) with the first chunks of other names that start within NEAR_LINES of it: place, name, text.
+
+    The band is cut into slots of NEAR_LINES, and a chunk meets only those of its own slot and its two neighbours.
+    """
+    slot = lambda c: F.floor(c / NEAR_LINES)
+    mine = of.where(F.col("line_start").isNotNull()).select("hook_id", "path", "func", F.col("line_start").alias("at"), F.explode(F.array(*[slot(F.col("line_start")) + d for d in (-1, 0, 1)])).alias("slot"))
+    others = found.select("path", "name", "kind", "signature", "body", "line_start", "line_end", slot(F.col("line_start")).alias("slot"))
+    pairs = mine.join(others, ["path", "slot"]).where((F.col("name") != F.col("func")) & (F.abs(F.col("line_start") - F.col("at")) <= NEAR_LINES))
+    lines = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
+    text = F.concat(F.lit("// "), "name", F.lit(" (lines "), lines, F.lit(", type="), "kind", F.lit(")\n"), "signature", F.lit("\n"), F.substring("body", 1, NEAR_BODY))
+    order = F.struct("line_start", -F.col("line_end"), "name", text.alias("text"))
+    best = pairs.groupBy("hook_id", "path").agg(F.slice(F.array_sort(F.collect_list(order)), 1, MOST_NEAR).alias("near"))
+    return best.select("hook_id", "path", F.posexplode("near").alias("place", "n")).select("hook_id", "path", (F.col("place") + 1).alias("place"), "n.name", "n.text")
 
 
 def context(content: Column, line: Column, around: int = 2) -> Column:

@@ -1,41 +1,132 @@
-"""Stored tables: upsert, update, references, usage, budget and the hash-chained log."""
+"""Stored tables: upsert, append with ids, update, lists, counts, references, usage, budget and the hash-chained log."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered, running_sum
+
 
 def upsert(rows: DataFrame, key: list[str], seq: Column) -> DataFrame:
     """The last row of each key. max_by is pre-aggregated: a hot key is no hot task."""
     return rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), seq).alias("_r")).select(*key, "_r.*")
 
 
-def update(rows: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """rows with the values of changes (one row for each key) where they are not null."""
-    new = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+def append(table: DataFrame, rows: DataFrame, order: str, name: str = "id") -> DataFrame:
+    """table with rows behind it, numbered on from its largest id by the numeric column `order`, which goes."""
+    last = table.agg(F.coalesce(F.max(name), F.lit(0)).alias("last")).first()["last"]
+    new = numbered(rows, order, "_place").withColumn(name, F.col("_place") + last).select(table.columns)
+    return table.unionByName(new)
+
+
+def update(rows: DataFrame, changes: DataFrame, key: list[str], columns: list[str], seq: str | None = None) -> DataFrame:
+    """rows with the values of changes where they are not null. Of several changes for a key the last by seq counts.
+
+    Without seq the largest value of each column counts, so that no row is ever doubled. A null key matches nothing.
+    """
+    pick = (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq)))) if seq else F.max
+    new = changes.groupBy(*key).agg(*[pick(c).alias(f"_new_{c}") for c in columns])
     joined = rows.join(new, key, "left")
     return joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(rows.columns)
 
 
+def listed(table: DataFrame, newest: str | None = None, **conditions) -> DataFrame:
+    """Rows that meet every condition whose value is not None; newest first if a column is named."""
+    for column, value in conditions.items():
+        table = table.where(F.col(column) == value) if value is not None else table
+    return table.orderBy(F.col(newest).desc_nulls_last(), *[c for c in table.columns if c.endswith("id")]) if newest else table
+
+
+def recent(table: DataFrame, by: str, n: int = 5) -> DataFrame:
+    """The n newest rows; rows of one time by their other columns."""
+    return table.orderBy(F.col(by).desc_nulls_last(), *[c for c in table.columns if c != by]).limit(n)
+
+
 def dangling(rows: DataFrame, parents: DataFrame, column: str, parent_key: str) -> DataFrame:
     """Rows whose reference has no parent."""
     return rows.where(F.col(column).isNotNull()).join(parents.select(F.col(parent_key).alias(column)).distinct(), column, "left_anti")
 
 
+def stats(hooks: DataFrame, findings: DataFrame, tasks: DataFrame, events: DataFrame) -> DataFrame:
+    """One row of seven counts. Each table is counted in one pass, its filtered counts with it."""
+    n = lambda rows, **counts: rows.agg(*[c.alias(name) for name, c in counts.items()])
+    some = lambda column, value: F.count_if(F.col(column) == value)
+    of_hooks = n(hooks, hooks_total=F.count("*"), hooks_pending=some("status", "pending"))
+    of_findings = n(findings, findings_total=F.count("*"), findings_true_positive=some("verdict", "true_positive"))
+    of_tasks = n(tasks, tasks_queued=some("status", "queued"), tasks_running=some("status", "running"))
+    rows = of_hooks.crossJoin(of_findings).crossJoin(of_tasks).crossJoin(n(events, events_logged=F.count("*")))  # one row each
+    return rows
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """name, n: the rows of each table."""
+    out = None
+    for name, table in tables.items():
+        row = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def usage(tokens: DataFrame) -> DataFrame:
+    """Totals of each agent; order them by total_prompt, largest first, where they are shown."""
     return tokens.groupBy("agent").agg(F.sum("prompt").alias("total_prompt"), F.sum("completion").alias("total_completion"))
 
 
-def budget_gate(calls: DataFrame, owner: str, order: str, cost: Column, budget: int, share: float = 0.9) -> DataFrame:
-    """Running spend of each owner before a call, and whether the call is refused."""
-    before = Window.partitionBy(owner).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(cost).over(before), F.lit(0))
-    return calls.withColumn("spent_before", spent).withColumn("refused", F.col("spent_before") >= int(budget * share))
+def budget_share(tokens: DataFrame, budget: int) -> DataFrame:
+    """One row: all tokens, and what percentage of the budget they are."""
+    total = F.coalesce(F.sum(F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0))), F.lit(0))
+    return tokens.agg(total.alias("total_tokens")).withColumn("pct", F.col("total_tokens") / budget * 100)
+
+
+def budget_gate(calls: DataFrame, owner: str | None, order: str, cost: Column, budget: int, share: float = 0.9) -> DataFrame:
+    """Running spend before a call, of each owner or (None) of all, and whether the call is refused."""
+    spent = running_sum(calls, order, cost, "spent_before", [owner] if owner else [])
+    return spent.withColumn("refused", F.col("spent_before") >= int(budget * share))
+
+
+GENESIS = "0" * 64
+
+
+def link(before: str, action: str | None, entity: str | None, ts: str | None) -> str:
+    """The hash of an event that follows the one with the hash `before`."""
+    return hashlib.sha256(f"{before}|{action or ''}|{entity or ''}|{ts or ''}".encode()).hexdigest()
 
 
 def hash_chain(events: DataFrame, owner: str) -> DataFrame:
-    """events (owner, seq, action, entity, ts text): length and last hash of each owner's chain, from 64 zeros on."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "action", F.coalesce("entity", F.lit("")).alias("entity"), "ts")))
-    fold = lambda h, e: F.sha2(F.concat_ws("|", h, e["action"], e["entity"], e["ts"]), 256)
-    return events.groupBy(owner).agg(F.count("*").alias("n_events"), F.aggregate(steps, F.lit("0" * 64), fold).alias("last_hash"))
+    """events (owner, seq, action, entity, ts text): owner, seq, hash of each, in a chain of each owner from 64 zeros on.
+
+    A chain is one sequence by its nature, but no more of it than a batch is held at once: rows come sorted, and the
+    last hash is carried along. Nulls count as empty texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last, started = None, GENESIS, False
+        for batch in batches:
+            hashes = []
+            for who, action, entity, ts in zip(*(batch.column(c).to_pylist() for c in (owner, "action", "entity", "ts"))):
+                if who != current or not started:
+                    current, last, started = who, GENESIS, True
+                last = link(last, action, entity, ts)
+                hashes.append(last)
+            yield pa.record_batch([batch.column(owner), batch.column("seq"), pa.array(hashes, pa.string())], [owner, "seq", "hash"])
+
+    rows = events.select(owner, "seq", "action", "entity", "ts")
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (owner, "seq"))
+    return rows.repartition(n, owner).sortWithinPartitions(owner, "seq").mapInArrow(run, f"{kinds}, hash string")
+
+
+def chain_ends(chained: DataFrame, owner: str) -> DataFrame:
+    """Length and last hash of each owner's chain."""
+    return chained.groupBy(owner).agg(F.count("*").alias("n_events"), F.max_by("hash", "seq").alias("last_hash"))
+
+
+def broken_links(stored: DataFrame, owner: str) -> DataFrame:
+    """stored (owner, seq, action, entity, ts, hash): events whose hash is not what the chain gives."""
+    right = hash_chain(stored, owner).withColumnRenamed("hash", "_right")
+    return stored.join(right, [owner, "seq"]).where(~F.col("hash").eqNullSafe(F.col("_right"))).drop("_right")

@@ -1,41 +1,132 @@
-"""Captured traffic: logged-in against anonymous answers, and vectors of known patterns."""
+"""Captured traffic: who was signed in, logged-in against anonymous answers, and how to check what differs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from ..functions import rules as R
+from .order import numbered
+
+WIDTH = 50
+PLAIN = 2000  # letters kept of a body that is no JSON
+
+
+def canonical(body: str | None) -> str:
+    """JSON with sorted keys; of anything else the first letters without white space around."""
+    if not body:
+        return ""
+    try:
+        return json.dumps(json.loads(body), sort_keys=True)
+    except (ValueError, RecursionError):
+        return body.strip()[:PLAIN]
+
+
+def pieces(text: str, width: int = WIDTH) -> list[int]:
+    """Hashes of a text's distinct pieces of equal width, which do not overlap."""
+    return sorted({xxhash.xxh64_intdigest(text[i : i + width]) - (1 << 63) for i in range(0, len(text), width)})
+
+
+@F.pandas_udf(StringType())
+def canonical_json(body: pd.Series) -> pd.Series:
+    return body.map(canonical)
+
+
+@F.pandas_udf(StructType([StructField("size", IntegerType()), StructField("pieces", ArrayType(LongType()))]))
+def shape(body: pd.Series) -> pd.DataFrame:
+    """Of a canonical body: its length and its pieces."""
+    texts = body.map(canonical)
+    return pd.DataFrame({"size": texts.map(len), "pieces": texts.map(pieces)})
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two arrays of pieces; 0 if either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def similarity(a: Column, b: Column, width: int = 50) -> Column:
-    """Jaccard likeness of non-overlapping pieces; 0 if either text is empty."""
-    pieces = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / width)), lambda i: F.substring(t, (i * width + 1).cast("int"), F.lit(width))))
-    both = F.size(F.array_intersect(pieces(a), pieces(b)))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(both / F.size(F.array_union(pieces(a), pieces(b))))
+def similarity(a: Column, b: Column) -> Column:
+    """Jaccard likeness of non-overlapping pieces of two bodies, each in canonical form; 0 if either is empty."""
+    return likeness(shape(a)["pieces"], shape(b)["pieces"])
+
+
+def signed_in(headers: Column) -> Column:
+    """Headers (a map) that name an authority or a cookie. A request may be signed in and anonymous, or neither."""
+    return _told(headers).contains(":authority") | _told(headers).contains("cookie")
+
+
+def anonymous(headers: Column) -> Column:
+    return ~_told(headers).contains("cookie") & ~_told(headers).contains("authorization")
+
+
+def _told(headers: Column) -> Column:
+    return F.lower(F.coalesce(F.array_join(F.transform(F.map_entries(headers), lambda e: F.concat_ws(": ", e["key"], e["value"])), ", "), F.lit("")))
 
 
 def diff(logged_in: DataFrame, anonymous: DataFrame) -> DataFrame:
-    """Both (seq, method, path, status, body, cors): findings by the first rule that applies. Of equal anonymous keys the last counts."""
-    last = anonymous.groupBy("method", "path").agg(F.max_by(F.struct("status", "body", "cors"), "seq").alias("an"))
-    pairs = logged_in.join(last, ["method", "path"])
-    leak = (F.col("status") == 200) & (F.col("an.status") == 200) & (F.length("body") > 0) & (F.length("an.body") > 100) & (similarity(F.col("body"), F.col("an.body")) > 0.7)
+    """Both (seq, method, path, status, body, cors): findings by the first rule that applies. Of equal anonymous keys the last counts.
+
+    Bodies become lengths and hashes of their pieces before they meet, so what is shuffled does not grow with a body's JSON form.
+    """
+    shaped = lambda rows: rows.select("seq", "method", "path", "status", "cors", shape("body").alias("shape"))
+    last = shaped(anonymous).groupBy("method", "path").agg(F.max_by(F.struct("status", "shape", "cors"), "seq").alias("an"))
+    pairs = shaped(logged_in).join(last, ["method", "path"])
+    alike = likeness(F.col("shape.pieces"), F.col("an.shape.pieces"))
+    leak = (F.col("status") == 200) & (F.col("an.status") == 200) & (F.col("shape.size") > 0) & (F.col("an.shape.size") > 100) & (alike > 0.7)
     open_ = (F.col("status") == 200) & ~F.col("an.status").isin(401, 403, 302)
     theirs, ours = F.coalesce("an.cors", F.lit("")), F.coalesce("cors", F.lit(""))
     kind = F.when(leak, "BODY_LEAK").when(open_, "STATUS_MISMATCH").when((theirs != ours) & theirs.contains("*"), "HEADER_LEAK")
     found = pairs.withColumn("diff_type", kind).where("diff_type is not null")
-    severity = F.when(F.col("diff_type") == "BODY_LEAK", "HIGH").when(F.col("diff_type") == "STATUS_MISMATCH", "MEDIUM").otherwise("LOW")
-    score = F.when(F.col("diff_type") == "BODY_LEAK", 60).when(F.col("diff_type") == "STATUS_MISMATCH", 80).otherwise(30)
-    return found.select("seq", "method", "path", severity.alias("severity"), "diff_type", F.col("status").alias("status_in"), F.col("an.status").alias("status_anon"), score.alias("guide_score"))
+    by = lambda leak, status, other: F.when(F.col("diff_type") == "BODY_LEAK", leak).when(F.col("diff_type") == "STATUS_MISMATCH", status).otherwise(other)
+    return found.select(
+        "seq", "method", "path", by("HIGH", "MEDIUM", "LOW").alias("severity"), by(0, 1, 2).alias("rank"), "diff_type",
+        F.col("status").alias("status_in"), F.col("an.status").alias("status_anon"), by(80, 60, 30).alias("guide_score"),
+    )
+
+
+#: Steps of a guide; {path} and {method} are the finding's.
+STEPS = {
+    "STATUS_MISMATCH": [
+        "1. Open {path} in a private window", "2. Compare the signed-in answer with the anonymous one", "3. Judge whether user or business data leaks",
+        "4. Sensitive fields leak: high", "5. Public configuration only: normal",
+    ],
+    "BODY_LEAK": ["1. Request {method} {path} without cookies", "2. Look for fields of users in the answer", "3. Check whether other resources answer too", "4. Keep a capture as evidence"],
+    "HEADER_LEAK": ["1. Find out what the endpoint is for", "2. Judge whether its authentication is as intended", "3. Check how it treats its parameters"],
+}
+TITLES = {"STATUS_MISMATCH": "Authentication anomaly: ", "BODY_LEAK": "Unauthenticated access: ", "HEADER_LEAK": "To be verified: "}
+
+
+def guides(findings: DataFrame) -> DataFrame:
+    """Findings of diff() with the id F1, F2, ... in their order by severity and arrival, a title, a score and steps to verify them."""
+    place = numbered(findings.withColumn("_order", F.col("rank") * F.lit(1 << 50) + F.col("seq")), "_order", "_place", ties=["method", "path"])
+    pick = lambda table: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), F.col("diff_type"))
+    filled = lambda step: F.replace(F.replace(F.lit(step), F.lit("{path}"), F.col("path")), F.lit("{method}"), F.col("method"))
+    steps = pick({k: F.array_join(F.array(*map(filled, v)), "\n") for k, v in STEPS.items()})
+    title = F.concat(pick({k: F.lit(v) for k, v in TITLES.items()}), F.col("path"))
+    return place.select(F.concat(F.lit("F"), F.col("_place").cast("string")).alias("finding_id"), "seq", "severity", "diff_type", title.alias("title"), F.col("guide_score").alias("confidence"), F.lit(False).alias("auto_verifiable"), steps.alias("steps"))
+
+
+def api_endpoints(requests: DataFrame) -> DataFrame:
+    """requests (method, path): distinct 'METHOD path' of paths that look like an interface."""
+    is_api = F.exists(F.array(*map(F.lit, R.API_PATHS)), lambda p: F.contains(F.col("path"), p))
+    return requests.where(is_api).select(F.concat_ws(" ", "method", "path").alias("endpoint")).distinct()
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 where a norm is 0 or lengths differ."""
-    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norms = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
-    return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(total(a, b) / norms)
+def first_of_each(requests: DataFrame) -> DataFrame:
+    """requests (seq, method, path with query, ...): the first of each method and path without query."""
+    bare = F.substring_index("path", "?", 1)
+    rows = requests.withColumn("bare", bare)
+    others = [c for c in rows.columns if c not in ("method", "bare")]
+    return rows.groupBy("method", "bare").agg(F.min_by(F.struct(*others), "seq").alias("_f")).select("method", "bare", "_f.*")
 
 
-def best_patterns(snippets: DataFrame, patterns: DataFrame, k: int = 3, least: float = 0.3) -> DataFrame:
-    """snippets (id, v) against a small broadcast table of patterns (pid, v): the k most similar, over `least`."""
-    scored = snippets.crossJoin(F.broadcast(patterns.select("pid", F.col("v").alias("pv")))).select("id", "pid", cosine(F.col("v"), F.col("pv")).alias("score"))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "pid")
-    return scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k} and score > {least}")
+def auth_headers(requests: DataFrame) -> DataFrame:
+    """requests (seq, headers): names of headers that sign in, with how often they occur and a digest of the last value; values are secret and stay out."""
+    rows = requests.select("seq", F.explode("headers").alias("name", "value"))
+    known = F.exists(F.array(*map(F.lit, R.AUTH_HEADERS)), lambda k: F.contains(F.lower("name"), k))
+    return rows.where(known).groupBy("name").agg(F.count("*").alias("n"), F.sha2(F.max_by("value", "seq"), 256).alias("last_sha256"))

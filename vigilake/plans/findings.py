@@ -99,12 +99,18 @@ def _ladder(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", points.cast("int").alias("points"), (points >= 60).alias("submit"))
 
 
-def _report(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("CWE-"), F.col("o_orderkey") % 900)).alias("cwe"), _pick([*R.SEVERITIES, "odd"], F.col("o_orderkey")).alias("severity"),
-        F.col("o_orderpriority").alias("title"), F.lit("a/b.py").alias("path"), F.col("o_custkey").alias("line"),
-    )
-    return C.report_rows(rows).select("seq", F.col("rank").cast("int").alias("rank"), "markdown")
+#: html, base; addresses found, sorted. Derived by hand.
+SCRIPTS = [
+    ('<script src="/a.js"></script><SCRIPT async src=\'b.js\'></script>', "https://h.example:8/x/y.html?q=/z", "https://h.example:8/a.js,https://h.example:8/x/b.js"),
+    ('<script src="//c.example/c.js"></script><script defer src="https://d.example/d.js">', "http://h.example/", "https://c.example/c.js,https://d.example/d.js"),
+    ('<script src="/a.js"></script><script src=\'/a.js\'></script><script>x()</script>', "http://h.example", "http://h.example/a.js"),
+    ("<p>no scripts</p>", "http://h.example", ""),
+    ("", "http://h.example/a/", ""),
+]
+
+
+def _scripts(spark: SparkSession, sf: str) -> DataFrame:
+    return _paired(_t(spark, sf, "pages"), "page_id", [s[:2] for s in SCRIPTS], "html base")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -117,12 +123,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cors_check": lambda s, d: _captured(s, d).select("id", P.cors_severity(F.col("origin"), F.col("credentials")).alias("severity")),
         "vendor_filter": _vendor,
         "reject_category": _kept,
+        "script_urls": lambda s, d: _scripts(s, d).select("id", F.array_join(P.script_urls(F.col("html"), F.col("base")), ",").alias("found")),
         "host_roots": lambda s, d: _t(s, d, "pages").select("page_id", P.root_of(F.regexp_extract("url", "^https?://([^/?#]*)", 1)).alias("root")),
         "confidence_ladder": _ladder,
-        "report_markdown": _report,
         "context_snippet": lambda s, d: _sources(s, d).select("id", K.context(F.col("content"), (F.col("id") % 6 + 1).cast("int")).alias("snippet")).where("snippet <> ''"),
-        "dangerous_calls": lambda s, d: K.dangerous(K.python_calls(_sources(s, d))),
-        "chunk_python": lambda s, d: K.python_chunks(_sources(s, d)),
     }
 
 
@@ -150,8 +154,9 @@ def oracle_sql() -> dict[str, str]:
         "cors_check": f"{_CAPTURED} select id, case when origin = '*' and credentials = 'true' then 'medium' when origin = '*' then 'low' end as severity from f",
         "vendor_filter": f"with e as (select event_id, {_CHOSEN} as category, {_list(_LEVELS)}[event_id // 7 % {len(_LEVELS)} + 1] as severity, {_list(_TIERS)}[event_id // 3 % {len(_TIERS)} + 1] as tier from events), m as (select *, {_MAPPED} as vendor_category from e) select *, exists (select 1 from {_ACCEPTS} where a.t = case when tier like 'else%' then 'default' else tier end and a.s = severity and a.c = vendor_category) as accepted from m",
         "reject_category": f"with e as (select event_id, {_CHOSEN} as category from events), m as (select *, {_MAPPED} as vendor_category from e) select * from m where vendor_category in (select c from {_ACCEPTS} where a.t = 'default' and a.s = 'low')",
+        "script_urls": lambda s, d: _scripts(s, d).select("id", F.array_join(P.script_urls(F.col("html"), F.col("base")), ",").alias("found")),
+        "script_urls": f"select page_id as id, v.found from pages join {_values([(s[2],) for s in SCRIPTS])} v(k, found) on page_id % {len(SCRIPTS)} = v.k",
         "host_roots": "with h as (select page_id, string_split(regexp_extract(url, '^https?://([^/?#]*)', 1), '.') as p from pages) select page_id, array_to_string(p[-2:], '.') as root from h",
         "confidence_ladder": "with p as (select d.doc_id, cast(coalesce(15 * cast(quality = 1 as int), 0) + coalesce(25 * cast(toxic = 0 as int), 0) + coalesce(10 * cast(lang = 'en' as int), 0) + coalesce(50 * cast(n_chars > 500 as int), 0) as int) as points from documents d left join labels l on d.doc_id = l.doc_id) select doc_id, points, points >= 60 as submit from p",
         "context_snippet": f"with f as (select doc_id as id, string_split(v.content, chr(10)) as ls, doc_id % 6 + 1 as ln from documents join {_values(SOURCES)} v(k, path, content) on doc_id % {len(SOURCES)} = v.k), n as (select id, array_to_string([case when i = ln then '>>>' else '   ' end || lpad(cast(i as varchar), 4, ' ') || '  ' || ls[i] for i in generate_series(greatest(ln - 2, 1), least(ln + 2, len(ls)))], chr(10)) as snippet from f) select id, snippet from n where snippet <> ''",
-        "report_markdown": f"with r as (select o_orderkey as seq, case when o_orderkey % 3 > 0 then 'CWE-' || cast(o_orderkey % 900 as varchar) else 'CWE-0' end as cwe, {_list([*R.SEVERITIES, 'odd'])}[o_orderkey % {len(R.SEVERITIES) + 1} + 1] as s, o_orderpriority as title, o_custkey from orders) select seq, cast(list_position({_list(R.SEVERITIES)}, s) as int) as rank, '- **' || upper(s) || '** ' || cwe || ': ' || title || ' (`a/b.py:' || o_custkey || '`)' as markdown from r where s in ('critical', 'high', 'medium', 'low')",
     }
