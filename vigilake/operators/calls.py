@@ -19,6 +19,7 @@ from ..functions import rules as R
 from .hooks import language_of, scan_lines
 from .lexer import LANGUAGES, Call, Chunk, Source
 
+AROUND = 2
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _DECORATED = (*_FUNCTIONS, ast.ClassDef)
 
@@ -88,10 +89,28 @@ def _read(content: str | None, language: str | None) -> ast.AST | Source | str:
     return Source(content, language) if language in LANGUAGES else "Unsupported file type"
 
 
-def _calls(read: ast.AST | Source, _content: str, language: str) -> Iterator[Call]:
+def _named(language: str) -> frozenset[str]:
+    """Names that a rule of the language names."""
+    return frozenset(name for *_, names in R.CALLS.get(language, ()) for name in names)
+
+
+def _found_calls(read: ast.AST | Source, language: str) -> Iterator[Call]:
     return _python_calls(read) if language == "python" else iter(()) if language == "php" else iter(read.calls())
 
 
+def _calls(read: ast.AST | Source, content: str, language: str) -> Iterator[tuple]:
+    """Each call; with the lines around it where a rule names what is called."""
+    named, lines = _named(language), content.split("\n")
+    for call in _found_calls(read, language):
+        yield *call, snippet(lines, call.line_start, call.line_end) if call.called in named else None
+
+
+def snippet(lines: list[str], first: int, last: int, around: int = AROUND) -> str:
+    """Lines around a place (from 1), numbered, its first line marked."""
+    begin, end = max(first - around, 1), min(last + around, len(lines))
+    return "\n".join(f"{'>>>' if n == first else '   '}{n:4d}  {lines[n - 1]}" for n in range(begin, end + 1))
+
+
 def _chunks(read: ast.AST | Source, content: str, language: str) -> Iterator[Chunk]:
     return _python_chunks(read, content.replace("\r\n", "\n")) if language == "python" else iter(read.chunks())
 
@@ -119,8 +138,11 @@ def _mapped(files: DataFrame, rows_of: Callable, columns: str) -> DataFrame:
 
 
 def calls(files: DataFrame) -> DataFrame:
-    """files (path, content): each call: what is called, the function around it (null outside of functions) and its line, first and last line."""
-    return _mapped(files, _calls, "called string, enclosing string, func_line int, line_start int, line_end int")
+    """files (path, content): each call: what is called, the function around it (null outside of functions) and its line, first and last line.
+
+    snippet is the lines around it where a rule of the language names what is called, else null.
+    """
+    return _mapped(files, _calls, "called string, enclosing string, func_line int, line_start int, line_end int, snippet string")
 
 
 def chunks(files: DataFrame) -> DataFrame:
@@ -143,18 +165,30 @@ def dangerous(found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(table), ["language", "called"]).withColumns({"func": F.coalesce("enclosing", "called"), "hook_id": F.substring(F.sha2(key, 256), 1, 16)})
 
 
+def silent(files: DataFrame) -> DataFrame:
+    """files (path, language, content) of languages with line rules in which no call meets a rule. Files are read again, not shuffled."""
+    scanned = files.where(F.col("language").isin(list(R.GREP_RULES))).select("path", "language", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for lang, content in zip(batch.column("language").to_pylist(), batch.column("content").to_pylist()):
+                read = _read(content, lang)
+                keep.append(isinstance(read, str) or not any(c.called in _named(lang) for c in _found_calls(read, lang)))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return scanned.mapInArrow(run, scanned.schema)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """files (path, language, content): hooks of all files, from calls; from lines for files whose calls give none.
 
     hook_id, path, language, func, hook_type, severity, cwe, cwe_title, line_start, line_end, called, description, snippet.
+    No file moves: what a hook shows is cut where the file is read.
     """
-    told = F.col("cwe_title")
-    texts = files.select("path", "content")
-    by_call = dangerous(calls(files)).join(texts, "path")
     columns = ["hook_id", "path", "language", "func", "hook_type", "severity", "cwe", "cwe_title", "line_start", "line_end", "called", "description", "snippet"]
-    by_call = by_call.withColumns({"description": told, "snippet": context(F.col("content"), F.col("line_start"))}).select(columns)
-    silent = files.join(by_call.select("path").distinct(), "path", "left_anti")
-    by_line = scan_lines(silent.select("path", "language", "content")).withColumns({"func": F.lit(""), "called": F.lit(""), "line_end": F.col("line_start")})
+    by_call = dangerous(calls(files)).withColumn("description", F.col("cwe_title")).select(columns)
+    by_line = scan_lines(silent(files)).withColumns({"func": F.lit(""), "called": F.lit(""), "line_end": F.col("line_start")})
     return by_call.unionByName(by_line.select(columns))
 
 
@@ -230,11 +264,11 @@ def nearby(of: DataFrame, found: DataFrame) -> DataFrame:
     return best.select("hook_id", "path", F.posexplode("near").alias("place", "n")).select("hook_id", "path", (F.col("place") + 1).alias("place"), "n.name", "n.text")
 
 
-def context(content: Column, line: Column, around: int = 2) -> Column:
-    """Lines around a line (from 1), numbered, the line itself marked."""
+def context(content: Column, line: Column, around: int = AROUND, last: Column | None = None) -> Column:
+    """Lines around a line, or from it to another (from 1), numbered, the first of them marked: snippet() as an expression."""
     lines = F.split(content, "\n")
     first = F.greatest(line - around, F.lit(1))
-    shown = F.slice(lines, first, F.greatest(F.least(line + around, F.size(lines)) - first + 1, F.lit(0)))
+    shown = F.slice(lines, first, F.greatest(F.least((line if last is None else last) + around, F.size(lines)) - first + 1, F.lit(0)))
     # numbers over 9,999 are wider than the column, as %4d has them
     number = lambda n: F.when(n > 9999, n.cast("string")).otherwise(F.lpad(n.cast("string"), 4, " "))
     told = lambda text, i: F.concat(F.when(first + i == line, ">>>").otherwise("   "), number(first + i), F.lit("  "), text)
