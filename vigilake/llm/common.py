@@ -58,9 +58,9 @@ def wide_hash(col: Column) -> tuple[Column, Column]:
 
 
 def text_digest(col: Column) -> tuple[Column, Column]:
-    """The first 128 bits of a text's SHA-256 as two longs, null for null."""
+    """The first 128 bits of a text's SHA-256 as two longs, never null, so that no join on them filters; 0 for null."""
     code = F.sha2(col, 256)
-    part = lambda at: F.conv(F.substring(code, at, 16), 16, -10).cast("long")
+    part = lambda at: F.coalesce(F.conv(F.substring(code, at, 16), 16, -10).cast("long"), F.lit(0))
     return part(1), part(17)
 
 
