@@ -142,6 +142,20 @@ def _polynomials(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, prime:
     return (total[ends] - total[begins]) % np.uint64(prime) * down[begins] % np.uint64(prime)
 
 
+def word_counts(text: pa.Array) -> np.ndarray:
+    """How many words each row has; none in null."""
+    offsets = _offsets(text)
+    first, last = int(offsets[0]), int(offsets[-1])
+    if last == first:
+        return np.zeros(len(text), np.int64)
+    offsets = offsets - first
+    begins = ~_IS_SPACE[np.frombuffer(text.buffers()[2], np.uint8)[first:last]]
+    edge = np.zeros(last - first + 1, bool)
+    edge[offsets] = True
+    begins[1:] &= ~begins[:-1] | edge[1:-1]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+
+
 class Words:
     """The words of a column of texts: hash (uint64) of each, and bounds: row i has words bounds[i]:bounds[i+1]."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, settle, table
+from .common import numbered, settle, slices, table, word_counts
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -37,7 +37,6 @@ LEAST_BLOCKS = 8
 SHARD_BLOCKS = 4096
 MAX_SOURCES = 100_000
 SLOTS = 1 << 14  # of each source: fixed, so that places do not depend on the session
-_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -105,6 +104,12 @@ def permute(index: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            yield pa.record_batch([*(part.column(c) for c in ("doc_id", "source", "digest")), pa.array(word_counts(part.column("text")))], ["doc_id", "source", "digest", "size"])
+
+
 def _draw(sources, shards: int, per_shard: int, seed: int):
     """sources: a broadcast (blocks, quotas) of each."""
 
@@ -136,7 +141,7 @@ class Mix:
     def __init__(self, docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, seed: int = 0):
         spark = docs.sparkSession
         self.block_words = block_words
-        base = docs.select("doc_id", "source", F.size(F.expr(f"regexp_extract_all(coalesce(text, ''), '{_WORD}', 0)".replace("\\", "\\\\"))).cast("long").alias("size"), F.xxhash64("text").alias("digest"))
+        base = docs.select("doc_id", F.col("source").cast("string"), F.xxhash64("text").alias("digest"), "text").mapInArrow(_sizes, "doc_id long, source string, digest long, size long")
         base = settle(base.withColumn("slot", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SLOTS)).cast("int")), "sizes")
         sums = base.groupBy("source", "slot").agg(F.sum("size").alias("words"))
         found = sums.groupBy("source").agg(F.sum("words").alias("size")).limit(MAX_SOURCES + 1).collect()
@@ -190,21 +195,24 @@ class Mix:
 def _assemble(text_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, parts in zip(batch.column(text_name).to_pylist(), batch.column("parts").to_pylist()):
-                words = text.encode().split()
-                if all(p["times"] == 1 for p in parts) and sum(p["words"] for p in parts) == len(words):  # parts taken 0 times are not here
-                    texts.append(text)
-                    continue
-                parts.sort(key=lambda p: p["first"])
-                rounds = range(1, max(p["times"] for p in parts) + 1)
-                texts.append(b" ".join(w for r in rounds for p in parts if p["times"] >= r for w in words[p["first"] : p["first"] + p["words"]]).decode())
-            out = batch.set_column(batch.schema.get_field_index(text_name), text_name, pa.array(texts, pa.string()))
-            yield out.select([n for n in out.schema.names if n != "parts"])
+            for part in slices(batch, text_name):
+                texts = [_taken(text, parts) for text, parts in zip(part.column(text_name).to_pylist(), part.column("parts").to_pylist())]
+                out = part.set_column(part.schema.get_field_index(text_name), text_name, pa.array(texts, pa.string()))
+                yield out.select([n for n in out.schema.names if n != "parts"])
 
     return run
 
 
+def _taken(text: str, parts: list[dict]) -> str:
+    """The words of a text that its taken parts hold, in rounds."""
+    words = text.encode().split()
+    if all(p["times"] == 1 for p in parts) and sum(p["words"] for p in parts) == len(words):  # parts taken 0 times are not here
+        return text
+    parts.sort(key=lambda p: p["first"])
+    rounds = range(1, max(p["times"] for p in parts) + 1)
+    return b" ".join(w for r in rounds for p in parts if p["times"] >= r for w in words[p["first"] : p["first"] + p["words"]]).decode()
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: each text holds its taken words, blocks taken again follow once more.
 
