@@ -95,3 +95,12 @@ def test_packing_round_trip(spark, coder):
     assert op2.pack(frame(spark, [], 1)).count() == 0
     with pytest.raises(ValueError):
         op2.pack(frame(spark, [], 1), longest=1000)
+
+
+def test_sequences_are_the_same_in_any_session(spark):
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in ("4", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(str(tuple(r)) for r in op2.pack(frame(spark, documents(40), 3), with_ids=False).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]

@@ -4,8 +4,8 @@ A document of n ids (its text's, then the end id) gives n // 2048 pieces of 2048
 the rest. Each piece is a sequence of its own, so no sequence crosses documents and none is padded: lengths are
 powers of two. Sequences of one length have consecutive ids (a bucket), in an order that reruns repeat.
 
-Numbering takes no global sort: counts for (length, slot) are added up, and rows are numbered inside a slot, of
-which there are several for each shuffle partition.
+Numbering takes no global sort: counts for (length, slot) are added up, and rows are numbered inside a slot. There are
+SLOTS of each length whatever the session, so the numbers are the same in any.
 
 Nulls, ties: a null text is empty and gives the end id alone. Rows that repeat, or share a doc_id or have none, are
 packed each for itself. Other columns are ignored. An empty table gives none.
@@ -25,6 +25,7 @@ from .tokens import WORD_BPE, encoder
 
 LONGEST = 2048
 END_ID = 1
+SLOTS = 4_096
 
 
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -72,11 +73,10 @@ def pack(docs: DataFrame, vocabulary: str = WORD_BPE, longest: int = LONGEST, en
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", h1.alias("h1"))
     schema = "doc_id long, h1 long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if with_ids else "")
     pieces = base.mapInArrow(_emit(vocabulary, longest, end_id, with_ids), schema)
-    slots = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = settle(pieces.withColumn("slot", F.pmod(F.xxhash64("doc_id", "h1", "start"), F.lit(slots)).cast("int")), "pieces")
+    pieces = settle(pieces.withColumn("slot", F.pmod(F.xxhash64("doc_id", "h1", "start"), F.lit(SLOTS)).cast("int")), "pieces")
 
     counts = pieces.groupBy("length", "slot").agg(F.count("*").alias("n"))
-    before = Window.orderBy("length", "slot").rowsBetween(Window.unboundedPreceding, -1)  # 12 lengths x slots rows
+    before = Window.orderBy("length", "slot").rowsBetween(Window.unboundedPreceding, -1)  # a row for each length and slot: 12 x SLOTS
     bases = counts.select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "slot").orderBy("doc_id", "h1", "start", "ids_crc32")
     numbered = pieces.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(bases), ["length", "slot"])
