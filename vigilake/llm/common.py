@@ -10,6 +10,7 @@ runs of a text of 100,000 words. Texts are told apart by 128 bits of SHA-256.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised code; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,7 +32,14 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, which has no malloc_trim
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,9 +52,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/vigilake-shared"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB between the JVM and Python, where the session leaves Spark's 64: a task holds several at once on either side."""
+    if spark.conf.get(_BATCH_BYTES) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH_BYTES, "8m")
+
+
 def settle(df: DataFrame, keep: str = "table") -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{keep}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -77,8 +95,20 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Python workers wait between tasks, and would keep it all that time."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about SLICE_BYTES of text."""
+    """The batch in runs of rows with about SLICE_BYTES of text; memory is given back after it."""
+    yield from _slices(batch, column)
+    release()
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     text = batch.column(column)
     if not batch.num_rows:
         return

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .automaton import SuffixAutomaton, matching_statistics, repeated_spans
-from .common import Words, mixed, quoted, settle, signed, slices, table, text_digest
+from .common import Words, mixed, quoted, release, settle, signed, slices, table, text_digest
 
 WINDOW = 20
 GRAM = 6
@@ -158,6 +158,7 @@ def _stream_shards(window: int):
                 out += [(h1, h2, start + a, start + b) for a, b in repeated_spans(automaton, text.split(b" "), window)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["h1", "h2", "begin", "stop"])
+        release()
 
     return run
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, numbered, settle, shingle_sets, signed, slices, table, text_digest
+from .common import LOWER, UPPER, numbered, release, settle, shingle_sets, signed, slices, table, text_digest
 from .components import components
 
 K = 5
@@ -46,7 +46,7 @@ MOST_FREQUENT = 100_000
 SURE = 12  # of 100: shingles shared in the prefixes beyond the first
 CHUNK = 1_000
 CHUNK_SHINGLES = 1_000_000  # of a chunk's classes together
-HELD = 4_000_000  # entries that a task packs at once
+HELD = 1_500_000  # entries that a task packs at once
 _PIVOT_FROM = 64
 
 
@@ -154,6 +154,7 @@ def _emit_entries(k: int, similar: int, frequent, buckets: int):
                     yield packed()
         if held:
             yield packed()
+        release()
 
     return run
 
@@ -189,6 +190,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 into.append(value)
     if held[0]:
         yield met(*held)
+    release()
 
 
 def _sets(k: int):
@@ -338,6 +340,7 @@ def _groups(key: list[str], similar: int, rounds: str):
                 held.append(row)
         if held:
             yield one(held)
+        release()
 
     return run
 

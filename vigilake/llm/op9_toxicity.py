@@ -63,14 +63,13 @@ class Finder:
     def __init__(self, names: list[bytes]):
         self.words = {x[1:]: i for i, x in enumerate(names) if x[:1] == b"="}
         self.prefixes = {n: {x[1:]: i for i, x in enumerate(names) if x[:1] == b"^" and len(x) == n + 1} for n in PREFIXES}
-        self.known = {n: frozenset(p) for n, p in self.prefixes.items() if p}
-        self.known_words = frozenset(self.words)
+        self.prefixes = {n: p for n, p in self.prefixes.items() if p}
 
     def __call__(self, text: str) -> list[int]:
         words = _words(text)
-        found = [self.words[w] for w in words & self.known_words]
-        for n, known in self.known.items():
-            found += [self.prefixes[n][p] for p in {w[:n] for w in words if len(w) > n} & known]
+        found = [self.words[w] for w in words & self.words.keys()]
+        for n, known in self.prefixes.items():
+            found += [known[p] for p in {w[:n] for w in words if len(w) > n} & known.keys()]
         return sorted(found)
 
 
@@ -266,12 +265,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """docs, all columns, without those that the model rejects. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows, text = numbered(docs), docs.columns.index("text")
+    rows, text = numbered(docs), f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([of(t) < 0.5 for t in batch.column(text).to_pylist()], pa.bool_()))
+            for part in slices(batch, text):
+                yield part.filter(pa.array([of(t) < 0.5 for t in part.column(text).to_pylist()], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
