@@ -146,6 +146,12 @@ def trials(transcript: DataFrame) -> DataFrame:
     )
 
 
+def class_reference() -> str:
+    """What a prompt says of the classes: name, what it looks like in code, and advice."""
+    told = (f"- **{cwe}** {name}\n  Code signals: {', '.join(signals)}\n  Fix: {fix}" for cwe, (name, signals, fix) in R.CLASSES.items())
+    return "\n".join([f"## CWE Quick Reference (Top {len(R.CLASSES)})", "", *told])
+
+
 def charge(finding: dict[str, Column], code: Column) -> Column:
     """The text that a trial begins with. finding: id, title, severity, cwe, confidence, description, path, func, language."""
     told = lambda name, other: F.coalesce(finding[name].cast("string"), F.lit(other))

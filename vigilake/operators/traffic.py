@@ -117,12 +117,13 @@ def api_endpoints(requests: DataFrame) -> DataFrame:
     return requests.where(is_api).select(F.concat_ws(" ", "method", "path").alias("endpoint")).distinct()
 
 
-def first_of_each(requests: DataFrame) -> DataFrame:
-    """requests (seq, method, path with query, ...): the first of each method and path without query."""
+def first_of_each(requests: DataFrame, most: int | None = None) -> DataFrame:
+    """requests (seq, method, path with query, ...): the first of each method and path without query; of these the first `most` by seq, if it is given."""
     bare = F.substring_index("path", "?", 1)
     rows = requests.withColumn("bare", bare)
     others = [c for c in rows.columns if c not in ("method", "bare")]
-    return rows.groupBy("method", "bare").agg(F.min_by(F.struct(*others), "seq").alias("_f")).select("method", "bare", "_f.*")
+    first = rows.groupBy("method", "bare").agg(F.min_by(F.struct(*others), "seq").alias("_f")).select("method", "bare", "_f.*")
+    return first if most is None else first.orderBy("seq", "method", "bare").limit(most)
 
 
 def auth_headers(requests: DataFrame) -> DataFrame:

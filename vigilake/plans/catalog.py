@@ -200,6 +200,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verification_guides": lambda s, d: T.guides(T.diff(*_traffic(s, d))),
         "api_endpoints": lambda s, d: T.api_endpoints(_endpoints(s, d).select("method", F.col("bare").alias("path"))),
         "first_endpoints": lambda s, d: T.first_of_each(_endpoints(s, d).drop("bare")).select("method", "bare", "seq"),
+        "first_fifty_endpoints": lambda s, d: T.first_of_each(_endpoints(s, d).drop("bare"), 50).select("method", "bare", "seq"),
         "finding_dedup": _dedup,
         "link_extract": _links,
         "semantic_topk": _topk,
@@ -254,6 +255,7 @@ select id, case when status = 200 and length(body) > 1000 then array_to_string([
         "verification_guides": f"{_TRAFFIC} select 'F' || cast(row_number() over (order by rank, seq) as varchar) as finding_id, seq, severity, diff_type, case diff_type when 'STATUS_MISMATCH' then 'Authentication anomaly: ' when 'BODY_LEAK' then 'Unauthenticated access: ' else 'To be verified: ' end || path as title, cast(guide_score as int) as confidence, false as auto_verifiable, case diff_type {steps} end as steps from found",
         "api_endpoints": f"select distinct method || ' ' || bare as endpoint from {_ENDPOINTS} where contains(bare, '/api/') or contains(bare, '/v2/')",
         "first_endpoints": f"select method, bare, cast(min(event_id) as bigint) as seq from {_ENDPOINTS} group by 1, 2",
+        "first_fifty_endpoints": f"select method, bare, cast(min(event_id) as bigint) as seq from {_ENDPOINTS} group by 1, 2 order by 3 limit 50",
         "finding_dedup": "select min(event_id) as event_id, event_type as category from events group by event_type, user_id % 7",
         "link_extract": "with l as (select page_id, list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) as x from pages) select page_id, cast(len(x) as bigint) as n_links, array_to_string(x, ',') as links from l",
         "semantic_topk": f"with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings), s as (select a.vec_id as id, b.vec_id as pid, {_COS.format('a.e', 'b.e')} as score from v a join v b on a.vec_id % 20 = 0), r as (select id, pid, cast(row_number() over (partition by id order by score desc, pid) as int) as rank, score from s) select id, pid, rank, round(score, 6) as score from r where rank <= 3 and score > 0.1",

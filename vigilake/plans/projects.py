@@ -195,6 +195,19 @@ def _nearby(spark: SparkSession, sf: str) -> DataFrame:
     return K.nearby(K.chunk_of_hook(hooks, chunks), chunks).select("hook_id", F.col("place").cast("int").alias("place"), "text")
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """What an auditor is asked about each order as a hook."""
+    hooks, chunks = _near(spark, sf)
+    of = K.chunk_of_hook(hooks, chunks)
+    k = F.col("o_orderkey")
+    told = read(spark, sf, "orders").select(
+        k.cast("string").alias("hook_id"), k.cast("string").alias("path"), F.lit(1).cast("long").alias("line_start"), F.lit(2).cast("long").alias("line_end"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("risk_reason"),
+        F.when(k % 3 == 0, F.format_string('{"description":"d%d"}', F.col("o_custkey"))).when(k % 3 == 1, "no object").alias("metadata"), F.when(k % 5 > 0, F.col("o_orderstatus")).otherwise("").alias("snippet"),
+    )
+    files = read(spark, sf, "orders").where("o_orderkey % 4 > 0").select(k.cast("string").alias("path"), F.concat(F.lit("file "), k.cast("string")).alias("content"))
+    return A.audit_context(told, of, K.nearby(of, chunks), files)
+
+
 def _subdomains(spark: SparkSession, sf: str) -> DataFrame:
     page = read(spark, sf, "pages")
     host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
@@ -232,6 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "project_files": lambda s, d: trees.file_list(_files(s, d).where("content is not null").withColumn("length", F.length("content"))).select("line"),
         "chunk_of_hook": lambda s, d: K.chunk_of_hook(*_near(s, d)).select("hook_id", "func", "line_start", "line_end", "snippet"),
         "nearby_chunks": _nearby,
+        "audit_context": _asked,
         "sast_ingest": _sast,
         "traffic_split": _split,
         "auth_headers": _auth,
@@ -247,6 +261,9 @@ def _rows(of: Callable[[tuple], list[tuple]]) -> list[tuple]:
     return [(k, f[0], *row) for k, f in enumerate(FILES) for row in of(f)]
 
 
+_NEAR = "'// ' || c.name || ' (lines ' || cast(c.a as varchar) || '-' || cast(c.b as varchar) || ', type=function)' || chr(10) || c.sig || chr(10) || c.body"
+
+
 def _expected(of: Callable[[tuple], list[tuple]], columns: str) -> str:
     """FROM: each document with the rows of its file; p is the file's path."""
     return keyed("documents", "doc_id", len(FILES), _rows(of), "p, " + columns)
@@ -294,6 +311,11 @@ r as (select bucket, row_number() over (partition by bucket order by path, line,
         "project_files": f"select '  ' || path || ' (' || cast(size as varchar) || ' bytes)' as line from (select {_PATH} as path, size from {files}) order by path limit 50",
         "chunk_of_hook": f"{of_hook} select * from m",
         "nearby_chunks": f"{of_hook}, n as (select hook_id, cast(row_number() over (partition by hook_id order by c.a, -c.b, c.name, '// ' || c.name || ' (lines ' || cast(c.a as varchar) || '-' || cast(c.b as varchar) || ', type=function)' || chr(10) || c.sig || chr(10) || c.body) as int) as place, '// ' || c.name || ' (lines ' || cast(c.a as varchar) || '-' || cast(c.b as varchar) || ', type=function)' || chr(10) || c.sig || chr(10) || c.body as text from m join c on c.path = hook_id and c.name <> func and abs(c.a - line_start) <= 50 where line_start is not null) select * from n where place <= 3",
+        "audit_context": f"""{of_hook}, n as (select hook_id, row_number() over (partition by hook_id order by c.a, -c.b, c.name, {_NEAR}) as place, {_NEAR} as text from m join c on c.path = hook_id and c.name <> func and abs(c.a - line_start) <= 50 where line_start is not null),
+x as (select hook_id, string_agg(text, chr(10) || chr(10) order by place) as around from n where place <= 3 group by 1)
+select m.hook_id, coalesce(line_start, 1) as line_start, coalesce(line_end, 2) as line_end, case when o_orderkey % 3 = 0 then 'd' || cast(o_custkey as varchar) when o_orderkey % 2 = 0 then o_orderpriority else 'Suspicious call detected' end as risk_reason,
+  coalesce(m.snippet, case when o_orderkey % 4 > 0 then 'file ' || cast(o_orderkey as varchar) end, case when o_orderkey % 5 > 0 then o_orderstatus end, case when o_orderkey % 2 = 0 then o_orderpriority end, '(unable to extract code)') as snippet,
+  coalesce(around, '(no additional context available)') as context from m join orders on m.hook_id = cast(o_orderkey as varchar) left join x on x.hook_id = m.hook_id""",
         "sast_ingest": f"select substr(sha256('p' || cast(doc_id as varchar) || '.py:' || func_name || ':' || cast(a as varchar)), 1, 16) as hook_id, 'p' || cast(doc_id as varchar) || '.py' as path, cast(a as int) as line_start, cast(b as int) as line_end, check_id, func_name, severity, snippet, cast(30.0 as double) as confidence from documents, (values (3, 4, 'a.b.sql', 'sql', 'high', 'q(x)'), (9, 9, 'xss', 'xss', 'medium', 'only a message'), (1, null, 'unknown', 'unknown', 'info', '')) v(a, b, check_id, func_name, severity, snippet)",
         "traffic_split": f"select event_id as id, signed_in, anonymous from {keyed('events', 'event_id', len(HEADERS), [(k, *h[1:]) for k, h in enumerate(HEADERS)], 'signed_in, anonymous')}",
         "auth_headers": "select 'X-Token-' || cast(user_id % 9 as varchar) as name, count(*) as n, sha256(cast(max(event_id) as varchar)) as last_sha256 from events group by user_id % 9",

@@ -115,13 +115,13 @@ def sast_rows(raw: DataFrame) -> DataFrame:
     message = F.coalesce(extra["message"], F.lit(""))
     none = F.array().cast("array<string>")
     told = F.struct(
-        check.alias("check_id"), message.alias("risk_reason"), F.coalesce(extra["severity"], F.lit("")).alias("severity"), F.coalesce(extra["metadata"]["cwe"], none).alias("cwe"),
+        check.alias("check_id"), message.alias("risk_reason"), F.coalesce(extra["severity"], F.lit("")).alias("semgrep_severity"), F.coalesce(extra["metadata"]["cwe"], none).alias("cwe"),
         F.coalesce(extra["metadata"]["owasp"], none).alias("owasp"), F.coalesce(extra["metadata"]["source"], F.lit("")).alias("source_rule"),
     )
     path, func, line = F.coalesce("r.path", F.lit("")), F.substring_index(check, ".", -1), F.col("r.start.line")
     flat = rows.select(
         "seq", hook_id(path, func, line).alias("hook_id"), path.alias("path"), line.alias("line_start"), F.col("r.end.line").alias("line_end"), check.alias("check_id"), func.alias("func_name"),
-        F.lit("sast").alias("hook_type"), F.lit("python").alias("language"), F.coalesce(F.try_element_at(level, F.upper(extra["severity"])), F.lit("info")).alias("severity"),
+        F.lit("semgrep").alias("hook_type"), F.lit("python").alias("language"), F.coalesce(F.try_element_at(level, F.upper(extra["severity"])), F.lit("info")).alias("severity"),
         F.when(F.coalesce(extra["lines"], F.lit("")) != "", extra["lines"]).otherwise(F.substring(message, 1, 500)).alias("snippet"), F.to_json(told).alias("metadata"),
         F.lit("pending").alias("status"), F.lit(30.0).alias("confidence"),
     )
