@@ -17,12 +17,15 @@ from vigilake.llm import op7_warc as op7
 from vigilake.llm import op8_license_scans as op8
 from vigilake.llm import op9_toxicity as op9
 from vigilake.llm import op10_neighbours as op10
+from vigilake.llm import op11_periodic_runs as op11
+from vigilake.llm import op12_fill_in_middle as op12
+from vigilake.llm import op13_quality as op13
 from vigilake.llm.common import Words, shared_folder
 
 #: Names that operators use inside.
 NAMES = (
     "h1 h2 text_h1 text_h2 digest twin parts key range copy own slot rank base begin block step source_index times component component_id node home chunk rep members n shingle bucket place spans "
-    "is_first carried runs hot anchor canon tie sha start length ids sequence_id offset n_words labels score predicted held_out turn positive toxic at cell part is_query vector query_id c0 c1 c2 a.b"
+    "is_first carried runs hot anchor canon tie sha start length ids sequence_id offset n_words labels score predicted held_out turn positive toxic at cell part is_query vector query_id runs collapsed best start period h0 h3 form output value quality c0 c1 c2 a.b"
 ).split()
 LONG = " ".join(f"long{i % 977}x{i % 1013}" for i in range(60_000))
 
@@ -40,6 +43,11 @@ def model(spark):
     return op9.train(frame(spark, rows()), clashing(labels))
 
 
+def quality_model(spark):
+    labels = spark.createDataFrame([(r[0], int(i % 4 > 0), 0) for i, r in enumerate(documents(40)) if r[0] is not None], "doc_id long, quality int, toxic int")
+    return op13.train(clashing(frame(spark, rows())), clashing(labels))
+
+
 OPERATORS = {
     "op1": lambda d, s: op1.remove_repeats(d),
     "op2": lambda d, s: op2.pack(d).drop("ids"),
@@ -49,6 +57,9 @@ OPERATORS = {
     "op6": lambda d, s: op6.Mix(d).taken(),
     "op8": lambda d, s: op8.license_scan(d),
     "op9": lambda d, s: op9.score(d, model(s)),
+    "op11": lambda d, s: op11.find_runs(d, change=op11.made_periodic),
+    "op12": lambda d, s: op12.fill_in_middle(d),
+    "op13": lambda d, s: op13.score(d, quality_model(s)),
 }
 
 

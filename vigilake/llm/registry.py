@@ -1,4 +1,4 @@
-"""Queries of the ten operators and the pipeline, and SQL where it can express them."""
+"""Queries of the thirteen operators and the pipeline, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op1_substring_dedup as op1
 from . import op7_warc as op7
 from . import op10_neighbours as op10
+from . import op12_fill_in_middle as op12
 from .op2_packing import op2_packing
 from .op3_token_counts import op3_token_counts
 from .op4_fingerprints import op4_fingerprints
@@ -16,6 +17,8 @@ from .op5_ngram_join import op5_ngram_join
 from .op6_mixing import op6_mixing
 from .op8_license_scans import op8_license_scans
 from .op9_toxicity import op9_toxicity
+from .op11_periodic_runs import op11_periodic_runs
+from .op13_quality import op13_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scans": op8_license_scans,
         "op9_toxicity": op9_toxicity,
         "op10_neighbours": op10.op10_neighbours,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_fill_in_middle": op12.op12_fill_in_middle,
+        "op13_quality": op13_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": op1.ORACLE_SQL, "op7_warc": op7.ORACLE_SQL, "op10_neighbours": op10.ORACLE_SQL}
+    return {"op1_substring_dedup": op1.ORACLE_SQL, "op7_warc": op7.ORACLE_SQL, "op10_neighbours": op10.ORACLE_SQL, "op12_fill_in_middle": op12.ORACLE_SQL}
