@@ -1,4 +1,7 @@
+import random
 import re
+import time
+import tracemalloc
 
 import pytest
 from data import documents, frame
@@ -84,3 +87,62 @@ def test_hostile_texts():
     r = op8.scan(m, "mit license " * 100_000)
     assert r[:4] == (200_000, 100_000, 0, 199_998)
     assert op8.scan(m, "license " * 100_000 + " " * 100_000)[:2] == (100_000, 0)
+
+
+@pytest.mark.parametrize(
+    "text,tags",
+    [
+        ("SPDX-License-Identifier:" * 44_000, (0, 44_000)),
+        ("SPDX-License-Identifier: MIT AND " * 30_000, (0, 30_000)),
+        ("SPDX-License-Identifier:MIT " * 35_000, (35_000, 0)),
+        ("SPDX-License-Identifier: " + "x" * 1_000_000, (0, 1)),
+        ("SPDX-License-Identifier: " + " AND ".join(f"x{i}" for i in range(90_000)), (1, 0)),
+        ("SPDX-License-Identifier: " + " OR ".join(f"x{i}" for i in range(90_000)), (1, 0)),
+        ("SPDX-License-Identifier: " + "(" * 90_000 + "MIT" + ")" * 90_000, (1, 0)),
+        ("license = '" * 90_000, (0, 0)),
+        ("@license " * 100_000, (0, 0)),
+    ],
+)
+def test_a_megabyte_of_tags_takes_time_and_memory_in_line(text, tags):
+    m = op8._machine()
+    start = time.time()
+    r = op8.scan(m, text)
+    assert time.time() - start < 4 and r[7:9] == tags and len(r[9]) < 4 * len(text)
+    tracemalloc.start()
+    op8._tags(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
+def test_identifiers_have_a_length():
+    m = op8._machine()
+    assert op8.scan(m, f"SPDX-License-Identifier: {'a' * 128}")[5:9] == ("a" * 128, 0.75, 1, 0)
+    assert op8.scan(m, f"SPDX-License-Identifier: {'a' * 129}")[7:9] == (0, 1)
+    assert op8.scan(m, f"SPDX-License-Identifier: MIT OR {'a' * 129}")[7:9] == (0, 1)
+    assert op8.postfix("DocumentRef-x.1:LicenseRef-y OR MIT: see") == ["DocumentRef-x.1:LicenseRef-y", "MIT", "or"]
+    assert op8.scan(m, "SPDX-License-Identifier:SPDX-License-Identifier: MIT")[5:9] == ("mit", 0.75, 1, 1)
+    assert op8.scan(m, "SPDX-License-Identifier: MIT OR SPDX-License-Identifier: ISC")[5:9] == ("isc", 0.75, 1, 1)
+
+
+def random_expression(rnd, depth=0):
+    if depth > 3 or rnd.random() < 0.3:
+        name = rnd.choice(["MIT", "Apache-2.0", "GPL-2.0-only", "ISC", "0BSD", "LicenseRef-x"])
+        return (f"{name} WITH exc-{rnd.randrange(3)}", [[f"{name} WITH exc"]]) if rnd.random() < 0.2 else (name, [[name]])
+    (a, x), (b, y) = random_expression(rnd, depth + 1), random_expression(rnd, depth + 1)
+    if rnd.random() < 0.5:
+        return f"({a} OR {b})", x + y
+    return f"({a} and {b})", [p + q for p in x for q in y]
+
+
+def test_expressions_with_brackets_against_their_own_making():
+    rnd = random.Random(6)
+    some = 0
+    for _ in range(300):
+        text, made = random_expression(rnd)
+        found = op8.choices(op8.postfix(text), 10**6, 10**9)
+        assert {frozenset(re.sub(r"exc-\d", "exc", x) for x in c) for c in found} == {frozenset(c) for c in made}
+        labels = {op8.family(x.split(" WITH ")[0]) for c in made for x in c}
+        assert op8.licences(op8.postfix(text)) == labels
+        some += len(made) > 2
+    assert some > 60

@@ -3,13 +3,16 @@
 Words are runs of a-z, 0-9 and anything above ASCII, after A-Z is lower-cased. The automaton runs over the words joined
 by single spaces, so a phrase matches wherever its words stand consecutively. What follows a tag goes through a
 shunting-yard parser for AND, OR, WITH and brackets. The expression ends where an identifier follows another one or a
-character that no expression has; it must be whole there, else it is malformed and gives no label. Two kinds of tags:
+character that no expression has, at the next tag at the latest; it must be whole there, else it is malformed and gives
+no label. An identifier has at most 128 characters (a longer one is malformed), and a tag's own name is none. So each
+character is read for one tag only. Two kinds of tags:
 SPDX-License-Identifier, which may name any identifier, and the fields of manifests and comments ("license": "MIT",
 license = 'MIT', @license MIT), which count only if every identifier is of a known family.
 
 A whole expression is evaluated to its choices: OR adds choices, AND combines them, WITH joins an exception to an
-identifier. Their number can double with every factor, so an expression of more than MOST_CHOICES choices is kept as it
-stands, in postfix order; labels need only its identifiers and never depend on that.
+identifier. Their number can double with every factor (30 factors `(A OR B)` make 10^9), so an expression of more than
+MOST_CHOICES choices, or whose choices name more than MOST_NAMED identifiers in all, is kept as it stands, in postfix order,
+which loses nothing; labels need only its identifiers and never depend on that.
 
 score = 1 - 2 ** -(places of base phrases + other phrases + 2 * well-formed tags).
 
@@ -38,11 +41,12 @@ ADDED = {
     "creative commons": "cc", "cc by": "cc-by", "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc0 1 0": "cc0", "public domain dedication": "cc0",
 }
 TAG, FIELD = "spdx license identifier", "license"
-MOST_CHOICES = 64
+MOST_CHOICES, MOST_NAMED = 64, 256
 _TAG = re.compile(r"spdx-license-identifier:[ \t]*", re.I)
 _FIELD = re.compile(r"""(?:@license[ \t]+|["']licen[sc]e["'][ \t]*:[ \t]*["']|\blicen[sc]e[ \t]*=[ \t]*["'])""", re.I)
 _FAMILIES = ("apache", "agpl", "lgpl", "gpl", "mit", "bsd", "mpl", "epl", "eupl", "cddl", "isc", "zlib", "bsl", "artistic", "psf", "unlicense", "cc0", "cc-by-nc", "cc-by-sa", "cc-by-nd", "cc-by")
-_TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
+_TOKEN = re.compile(r"[ \t]*([()]|(?:DocumentRef-[A-Za-z0-9.-]{1,128}:)?[A-Za-z0-9][A-Za-z0-9.+-]{0,127}(?![A-Za-z0-9.+-]))")
+_LONG = re.compile(r"[ \t]*[A-Za-z0-9]")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))  # all else is a space
@@ -54,11 +58,12 @@ def family(identifier: str) -> str:
     return next((f for f in _FAMILIES if name == f or name.startswith(f + "-")), name.rstrip("+"))
 
 
-def postfix(text: str, at: int = 0) -> list[str]:
+def postfix(text: str, at: int = 0, end: int | None = None) -> list[str]:
     """Shunting-yard: identifiers and operators of the expression from `at` on, in postfix order. Raises ValueError if malformed."""
     out, held, operand = [], [], True
-    while m := _TOKEN.match(text, at):
-        token = m[1].rstrip(".:")
+    end = len(text) if end is None else end
+    while m := _TOKEN.match(text, at, end):
+        token = m[1].rstrip(".")
         rank = _RANK.get(token.lower())
         if token == "(":
             if not operand:
@@ -86,7 +91,7 @@ def postfix(text: str, at: int = 0) -> list[str]:
             operand = False
         at = m.end()
     if operand or "(" in held:
-        raise ValueError("the expression is not complete")
+        raise ValueError("an identifier is too long" if _LONG.match(text, at, end) else "the expression is not complete")
     return out + held[::-1]
 
 
@@ -108,9 +113,11 @@ def licences(tokens: list[str]) -> set[str]:
     return out | {family(x) for x in stack if x is not None}
 
 
-def choices(tokens: list[str], most: int = MOST_CHOICES) -> set[frozenset[str]] | None:
-    """Sets of licences of which any one suffices; None if there are more than `most` of them on the way."""
+def choices(tokens: list[str], most: int = MOST_CHOICES, named: int = MOST_NAMED) -> set[frozenset[str]] | None:
+    """Sets of licences of which any one suffices; None if there are more than `most` of them on the way, or `named` identifiers in them."""
     stack: list[set[frozenset[str]]] = []
+    if len(tokens) > 2 * most + named:
+        return None
     for token in tokens:
         if token not in _RANK:
             stack.append({frozenset([token])})
@@ -123,6 +130,8 @@ def choices(tokens: list[str], most: int = MOST_CHOICES) -> set[frozenset[str]]
         if len(left) * len(right) > most and token == "and" or len(left) + len(right) > most:
             return None
         stack.append(left | right if token == "or" else {a | b for a in left for b in right})
+        if sum(map(len, stack[-1])) > named:
+            return None
     return stack[0]
 
 
@@ -145,9 +154,10 @@ def _machine():
 def _tags(text: str) -> tuple[list[list[str]], int]:
     """Well-formed expressions of tags in a text, and the number of malformed ones."""
     good, bad = [], 0
-    for m in _TAG.finditer(text):
+    tags = list(_TAG.finditer(text))
+    for m, end in zip(tags, [m.start() for m in tags[1:]] + [len(text)]):
         try:
-            tokens = postfix(text, m.end())
+            tokens = postfix(text, m.end(), end)
             licences(tokens)
             good.append(tokens)
         except ValueError:
