@@ -139,3 +139,53 @@ def test_bounds_hold():
     near = (qa.astype(int) @ qb.astype(int).T) * sa[:, None] * sb[None]
     bound = np.linalg.norm(a, axis=1)[:, None] * eb[None] + ea[:, None] * nb[None]
     assert (np.abs(a @ b.T - near) <= bound + 1e-12).all() and quantised_a[0].dtype == np.int8
+
+
+def fair(a, b):
+    """The score as the docstring has it."""
+    from fractions import Fraction
+
+    plain = 0.0
+    with np.errstate(all="ignore"):
+        for x, y in zip(a, b):
+            plain = plain + np.float64(x) * np.float64(y)
+    if np.isfinite(plain):
+        return float(plain)
+    whole = sum((Fraction(float(x)) * Fraction(float(y)) for x, y in zip(a, b)), Fraction(0))
+    try:
+        return float(whole)
+    except OverflowError:
+        return np.inf if whole > 0 else -np.inf
+
+
+@pytest.mark.parametrize("kind", ["large", "tiny", "wide", "cancel"])
+def test_any_magnitude(spark, kind):
+    rnd = np.random.default_rng(7)
+    base = rnd.normal(size=(130, 6))
+    if kind == "large":
+        base *= 1e200
+    elif kind == "tiny":
+        base *= 1e-300
+    elif kind == "wide":
+        base *= 10.0 ** rnd.integers(-300, 300, size=(130, 1))
+    else:
+        base = np.sign(base) * 2.0**700
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>").repartition(3)
+    for blocks in ((2048, 8192), (4, 30)):
+        got = sorted(tuple(r) for r in op10.nearest(df, F.col("vec_id") % 20 == 0, 20, *blocks).collect())
+        want = []
+        for q in range(0, 130, 20):
+            every = sorted((-fair(base[q], base[c]), c) for c in range(130) if c != q)
+            want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(every[:20])]
+        assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)], rel=1e-12)
+
+
+def test_a_merge_holds_k_rows():
+    import pyarrow as pa
+
+    rows = [(q, 0, c, float(c * 7 % 101)) for q in (1, 2) for c in range(5_000)]
+    batches = [pa.record_batch([pa.array(x) for x in zip(*rows[i : i + 700])], ["query_id", "twin", "vec_id", "score"]) for i in range(0, len(rows), 700)]
+    got = [tuple(r.values()) for b in op10._merge(20)(iter(batches)) for r in b.to_pylist()]
+    best = sorted(((-float(c * 7 % 101), c) for c in range(5_000)))[:20]
+    assert got == [(q, i + 1, c, -s) for q in (1, 2) for i, (s, c) in enumerate(best)]

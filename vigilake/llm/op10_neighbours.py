@@ -1,12 +1,18 @@
 """Nearest neighbours by largest inner product: a block matrix join over int8 tiles, exact by error bounds.
 
-Vectors are quantised to int8 with a scale of their own. Queries and candidates are dealt into blocks, and each pair
-of blocks is a cell of the matrix. A cell multiplies int8 tiles (in float32, where sums of so many products of small
-integers are exact), and |true - approximate| <= |q| * |residual of c| + |residual of q| * |quantised c| bounds each
-distance. A query keeps the candidates whose upper bound reaches its k-th best lower bound in the cell; these pairs
-are recomputed in float64 and the best k by heap. The cells' lists of each query are merged by heap.
+Vectors are scaled by a power of two each, so that their largest component lies in [0.5, 1), and quantised to int8 with
+a scale of their own. Queries and candidates are dealt into blocks, and each pair of blocks is a cell of the matrix. A cell
+multiplies int8 tiles (in float32, where sums of so many products of small integers are exact), and |true - approximate|
+<= |q| * |residual of c| + |residual of q| * |quantised c| bounds each distance. A query keeps the candidates whose upper bound
+reaches its k-th best lower bound in the cell; these pairs are recomputed in float64 and the best k kept by heap. The cells'
+lists of each query are merged by a heap of k as they stream in.
 
-Queries are a stated set, against all rows, in blocks. A cell holds QUERY_BLOCK + CANDIDATE_BLOCK vectors.
+Queries are a stated set, against all rows, in blocks. A cell holds QUERY_BLOCK + CANDIDATE_BLOCK vectors, a merge k rows.
+
+Magnitudes: any finite doubles take part. A score is the sum of products in float64; where that overflows on the way, it is
+the sum over the scaled vectors, scaled back, so it is infinite only if the sum itself is out of a double's range, and never
+NaN. Scores that come out equal, infinite ones and those that vanish below the least double too, are ties. Bounds allow for
+both: what can reach the least infinite value is kept, and so is what the least double can hide.
 
 Nulls, ties: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 without vec_id. Rows that share a vec_id, with equal vectors or others, are rows of their own: each is a candidate, and
@@ -41,24 +47,53 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q, scale, np.sqrt((near**2).sum(axis=1)), np.sqrt(((x - near) ** 2).sum(axis=1))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row over a power of two, so that its largest component lies in [0.5, 1), and that power."""
+    power = np.frexp(np.abs(x).max(axis=1))[1]
+    return np.ldexp(np.ldexp(x, -(power // 2)[:, None]), (power // 2 - power)[:, None]), power
+
+
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in float64, summed from the first component on."""
+    """Row-wise inner products in float64, summed from the first component on; of scaled rows where that overflows."""
+    out = _summed(a, b)
+    bad = np.flatnonzero(~np.isfinite(out))
+    if len(bad):
+        (x, p), (y, q) = scaled(a[bad]), scaled(b[bad])
+        out[bad] = _raised(_summed(x, y), p + q)
+    return out
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j] * b[:, j]
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        for j in range(a.shape[1]):
+            out += a[:, j] * b[:, j]
     return out
 
 
+def _raised(x: np.ndarray, power: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", under="ignore"):
+        return np.ldexp(x, power)
+
+
 def cell(query_ids: np.ndarray, query_twins: np.ndarray, queries: np.ndarray, ids: np.ndarray, twins: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, int, int, float]]:
     """(query, its twin, candidate, score) of each query's best k in the cell, its own row left out. twins tell rows of one id apart."""
-    cq, cs, cn, ce = quantise(vectors)
+    lowered, powers = scaled(vectors)
+    cq, cs, cn, ce = quantise(lowered)
+    size = cn + ce
+    top = powers.max()
+    weight = _raised(np.ones(len(powers)), powers - top)  # of each candidate, the largest as 1
     tile = cq.astype(np.float32)
+    width = vectors.shape[1]
     for at in range(0, len(query_ids), _SLAB):
         part, part_ids, part_twins = queries[at : at + _SLAB], query_ids[at : at + _SLAB], query_twins[at : at + _SLAB]
-        qq, qs, _, qe = quantise(part)
-        norms = np.sqrt((part**2).sum(axis=1))
-        near = (qq.astype(np.float32) @ tile.T).astype(np.float64) * qs[:, None] * cs[None, :]
-        bound = (norms[:, None] * ce[None, :] + qe[:, None] * cn[None, :]) * (1 + 1e-9) + 1e-12 * (1 + np.abs(near))
+        small, power = scaled(part)
+        qq, qs, _, qe = quantise(small)
+        norms = np.sqrt((small**2).sum(axis=1))
+        near = (qq.astype(np.float32) @ tile.T).astype(np.float64) * qs[:, None] * (cs * weight)[None, :]
+        bound = norms[:, None] * (ce * weight)[None, :] + qe[:, None] * (cn * weight)[None, :]
+        hidden = _raised(np.full(len(part), 2.0 * width), -1074 - power - top)  # what rounding to the least double can hide
+        bound = bound * (1 + 1e-9) + 1e-12 * norms[:, None] * (size * weight)[None, :] + 1e-300 + hidden[:, None]
         low = near - bound
         own = (part_ids[:, None] == ids[None, :]) & (part_twins[:, None] == twins[None, :])
         low[own] = -np.inf
@@ -66,17 +101,14 @@ def cell(query_ids: np.ndarray, query_twins: np.ndarray, queries: np.ndarray, id
             least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
         else:
             least = np.full(len(part), -np.inf)
+        least = np.minimum(least, _raised(np.full(len(part), 0.999), 1024 - power - top))  # from here on scores are infinite, so ties
         rows, columns = np.nonzero((near + bound >= least[:, None]) & ~own)
-        scores = exact(part[rows], vectors[columns])
         edges = np.searchsorted(rows, np.arange(len(part) + 1))
         for i in range(len(part)):
-            s = slice(edges[i], edges[i + 1])
-            for negative, c in heapq.nsmallest(k, zip((-scores[s]).tolist(), ids[columns[s]].tolist())):
-                yield int(part_ids[i]), int(part_twins[i]), c, -negative
-
-
-def _matrix(rows: list) -> np.ndarray:
-    return np.array(rows, np.float64)
+            c = columns[edges[i] : edges[i + 1]]
+            scores = exact(np.broadcast_to(part[i], (len(c), width)), vectors[c])
+            for negative, vec_id in heapq.nsmallest(k, zip((-scores).tolist(), ids[c].tolist())):
+                yield int(part_ids[i]), int(part_twins[i]), vec_id, -negative
 
 
 def _cells(k: int):
@@ -110,27 +142,30 @@ def _cells(k: int):
 
 
 def _merge(k: int):
-    """Rows sorted by query, best first inside each cell's list: the best k of each query."""
-
-    def best(query: int, lists: dict) -> list[tuple[int, int, int, float]]:
-        merged = heapq.merge(*lists.values())
-        return [(query, rank, c, -negative) for rank, (negative, c) in zip(range(1, k + 1), merged)]
+    """Rows sorted by query: the best k of each, of which no more than k are held."""
+    out_types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, lists, out = None, {}, []
+        current, heap, out = None, [], []
+
+        def close() -> None:
+            out.extend((current[0], rank, -negative_id, score) for rank, (score, negative_id) in enumerate(sorted(heap, reverse=True), 1))
+
         for batch in batches:
-            for query, twin, c, part, score in zip(*(batch.column(n).to_pylist() for n in ("query_id", "twin", "vec_id", "part", "score"))):
+            for query, twin, c, score in zip(*(batch.column(n).to_pylist() for n in ("query_id", "twin", "vec_id", "score"))):
                 if (query, twin) != current:
-                    if lists:
-                        out += best(current[0], lists)
-                    current, lists = (query, twin), {}
-                lists.setdefault(part, []).append((-score, c))
+                    close()
+                    current, heap = (query, twin), []
+                if len(heap) < k:
+                    heapq.heappush(heap, (score, -c))
+                else:
+                    heapq.heappushpop(heap, (score, -c))
             columns = list(zip(*out)) or [()] * 4
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
-            out = []
-        if lists:
-            columns = zip(*best(current[0], lists))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, out_types)], ["query_id", "rank", "vec_id", "score"])
+            out.clear()
+        close()
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, out_types)], ["query_id", "rank", "vec_id", "score"])
 
     return run
 
@@ -155,8 +190,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, query_block:
     candidates = base.withColumn("other", spread(rows)).select(number(F.col("other"), dealt(columns, 2)).alias("cell"), F.lit(False).alias("is_query"), "vec_id", "twin", "vector")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = queries.unionByName(candidates).repartition(max(n, min(rows * columns, 10_000)), "cell").sortWithinPartitions("cell")
-    found = cells.mapInArrow(_cells(k), "query_id long, twin long, vec_id long, score double").withColumn("part", dealt(columns, 2))
-    merged = found.repartition(n, "query_id").sortWithinPartitions("query_id", "twin", "part", F.desc("score"), "vec_id")
+    found = cells.mapInArrow(_cells(k), "query_id long, twin long, vec_id long, score double")
+    merged = found.repartition(n, "query_id").sortWithinPartitions("query_id", "twin")
     return merged.mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
