@@ -51,33 +51,103 @@ def test_toxicity_degenerate(spark):
     assert op9.score(empty, op9.train(empty, odd)).count() == 0
 
 
+def models(n_features, prior, left=(-1,), decay=0.0):
+    shape = (n_features, len(left))
+    return op9.Models(n_features, prior, np.full(shape, decay), np.ones(shape, bool), np.array(left))
+
+
+def grouped(rows, positive, part=None, n=None):
+    part = np.zeros(len(rows), np.int64) if part is None else np.array(part)
+    return op9.chunks(np.array(positive, bool), part, [np.array(r, np.int32).tobytes() for r in rows], np.ones(len(rows), np.int64) if n is None else np.array(n))
+
+
 def test_a_negative_part_of_the_risk_is_turned_back():
-    rows = [np.array([0])] * 5 + [np.array([1])] * 20 + [np.array([0])] * 2
-    w, b = op9.fit_nnpu(rows, np.array([True] * 5 + [False] * 22), 2, 2 / 22)
-    assert w[0] + b > 0 > w[1] + b
+    rows = grouped([[0], [1], [0], []], [True, False, False, False], n=[5, 20, 2, 0])
+    m = models(2, 2 / 22, decay=5e-4)
+    m.fit(lambda w: m.sums(rows, w))
+    w = m.weights[:, 0]
+    assert w[0] + w[2] > 0 > w[1] + w[2]
+
+
+def plain_parts(rows, positive, n, w, prior):
+    f = np.array([sum(w[i] for i in r) + w[-1] for r in rows])
+    p = np.array(positive)
+    n = np.array(n, float)
+    toward = prior * (n * np.log1p(np.exp(-f)))[p].sum() / n[p].sum()
+    away = n * np.log1p(np.exp(f))
+    return toward, away[~p].sum() / n[~p].sum() - prior * away[p].sum() / n[p].sum()
 
 
 def test_gradient_as_by_small_steps():
     rnd = np.random.default_rng(3)
     rows = [np.flatnonzero(rnd.random(12) < 0.3) for _ in range(60)]
-    positive = rnd.random(60) < 0.3
-    for prior in (0.05, 0.3):
-        risk = op9.Risk(rows, positive, 12, prior)
-        w = rnd.normal(size=13) * 0.3
-        assert risk.parts(w)[1] > 0
-        small = [(risk.value(w + 1e-6 * e) - risk.value(w - 1e-6 * e)) / 2e-6 for e in np.eye(13)]
-        assert np.abs(risk.gradient(w) - small).max() < 1e-6
-    # where the second part is negative it is turned back: the first part's gradient less the second's
-    risk = op9.Risk(rows, positive, 12, 0.9)
-    w = np.append(np.zeros(12), 5.0)
-    w[list({int(i) for r, p in zip(rows, positive) if not p for i in r})] = -9.0
-    if risk.parts(w)[1] < 0:
-        turned = lambda v: risk.parts(v)[0] - risk.parts(v)[1]
+    positive, n = rnd.random(60) < 0.3, rnd.integers(1, 5, 60)
+    for prior, bias, sign in ((0.05, 0.0, 1), (0.3, 0.0, 1), (0.9, -4.0, -1)):
+        m = models(12, prior)
+        w = np.append(rnd.normal(size=12) * 0.3, bias)
+        if sign < 0:  # positives far above, unlabelled rows far below
+            rows = [np.append(r[r < 11], [11] * int(p)).astype(int) for r, p in zip(rows, positive)]
+            w[11] = 7.0
+        parts = plain_parts(rows, positive, n, w, prior)
+        sums = m.sums(grouped(rows, positive, n=n), w[:, None])
+        assert np.allclose([x[0] for x in m.parts(sums)], parts) and (parts[1] >= 0) == (sign > 0)
+        assert m.risk(sums)[0] == pytest.approx(parts[0] + max(0, parts[1]))
+        turned = lambda v: (lambda t: t[0] + sign * t[1])(plain_parts(rows, positive, n, v, prior))
         small = [(turned(w + 1e-6 * e) - turned(w - 1e-6 * e)) / 2e-6 for e in np.eye(13)]
-        assert np.abs(risk.gradient(w) - small).max() < 1e-5
-    # by hand: one positive with margin 0, one unlabelled row with margin 0
-    one = op9.Risk([np.array([0]), np.array([], int)], np.array([True, False]), 1, 0.5)
-    assert one.parts(np.zeros(2)) == pytest.approx((0.5 * np.log(2), 0.5 * np.log(2)))
+        assert np.abs(m.gradient(sums)[:, 0] - small).max() < 1e-5
+
+
+def test_chunks_and_parts_left_out(monkeypatch):
+    rnd = np.random.default_rng(5)
+    rows = [np.flatnonzero(rnd.random(9) < 0.2) for _ in range(200)]
+    positive, part = rnd.random(200) < 0.2, rnd.integers(0, 3, 200)
+    m = models(9, 0.2, (0, 1, 2, -1))
+    w = rnd.normal(size=(10, 4))
+    whole = m.sums(grouped(rows, positive, part), w)
+    monkeypatch.setattr(op9, "_ENTRIES", 7)
+    assert np.allclose(m.sums(grouped(rows, positive, part), w), whole)
+    for i, left in enumerate((0, 1, 2, -1)):
+        kept = [j for j in range(200) if part[j] != left]
+        want = plain_parts([rows[j] for j in kept], positive[kept], np.ones(len(kept)), w[:, i], 0.2)
+        assert np.allclose([x[i] for x in m.parts(whole)], want)
+        if left >= 0:
+            out = [j for j in range(200) if part[j] == left]
+            want = plain_parts([rows[j] for j in out], positive[out], np.ones(len(out)), w[:, i], 0.2)
+            assert np.allclose([x[i] for x in m.parts(whole, True)], want)
+
+
+def test_the_setting_is_chosen_by_the_risk_left_out():
+    # words 0..3 tell; prefixes 4..9 are noise that only memory can use
+    rnd = np.random.default_rng(8)
+    rows, positive = [], []
+    for i in range(900):
+        bad = i % 6 == 0
+        rows.append(sorted({*([rnd.integers(0, 4)] if bad or rnd.random() < 0.02 else []), *(rnd.choice(np.arange(4, 60), 6).tolist())}))
+        positive.append(bad and rnd.random() < 0.5)
+    names = [b"=w%d" % i for i in range(4)] + [b"^p%d" % i for i in range(56)]
+    m = op9.compared(names, 1 / 6)
+    table = grouped(rows, positive, np.arange(900) % op9.PARTS)
+    sums = m.fit(lambda w: m.sums(table, w), 200)
+    risks = np.where(m.left >= 0, m.risk(sums, True), 0).reshape(-1, op9.PARTS + 1).sum(axis=1)
+    assert op9.choose(m, sums) == np.argmin(risks) and risks[1] < risks[0]
+    few = grouped(rows[:12], positive[:12], np.arange(12) % op9.PARTS)
+    assert op9.choose(m, m.sums(few)) == 0
+
+
+def test_passes_as_jobs_and_on_the_driver(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    rows = [(bool(rnd.random() < 0.3), int(rnd.integers(0, 3)), bytearray(np.flatnonzero(rnd.random(20) < 0.2).astype(np.int32).tobytes()), int(rnd.integers(1, 9))) for _ in range(300)]
+    table = spark.createDataFrame(rows, "positive boolean, part int, at binary, n long").repartition(5)
+    m = models(20, 0.2, (0, 1, 2, -1), 1e-3)
+    here, there = op9.passes(table, m), op9.passes(table, m, held=0)
+    for w in (m.weights, rnd.normal(size=(21, 4))):
+        assert np.allclose(here(w), there(w))
+    docs, labels = corpus(400)
+    monkeypatch.setattr(op9, "EPOCHS", 3)
+    monkeypatch.setattr(op9.Models.fit, "__defaults__", (3, 0.1))
+    df, table = frame(spark, [d[:5] for d in docs]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, two = op9.train(df, table), op9.train(df, table, held=0)
+    assert one.names == two.names and np.allclose(one.weights, two.weights)
 
 
 def test_scores_as_by_hand(spark):
@@ -103,7 +173,6 @@ def test_bounds_of_the_sample_are_parameters(spark):
     df = frame(spark, [d[:5] for d in docs])
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert op9.train(df, table, most_positive=3).names == []  # no feature can stand in five of them
-    assert op9.train(df, table, most_unlabelled=200).names
 
 
 def vectors():

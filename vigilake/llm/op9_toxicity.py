@@ -10,10 +10,14 @@ that the positives of the sample hold significantly more often than text at larg
 holds them is counted over every training document. A feature must stand in LEAST_POSITIVES documents of the sample, so
 the sample bounds their number. labels, lang, source and doc_id are never features.
 
-Weights are fitted to a sample, the first rows in hash order of doc_id: at most most_positive of the positives and
-most_unlabelled of the others (parameters of train()). That bounds what the driver and the broadcasts hold. Whether
-prefixes are used and how strongly weights decay is chosen among SETTINGS by cross-validation inside that sample, by the
-labels of its own rows; rows held out are never looked at. Every document is scored over its whole text.
+Confirmed positives are a sample, the first most_positive in hash order of doc_id (a parameter of train()); unlabelled rows
+are all there are. What a row is to the risk is the set of features it has, so rows are grouped by that set and counted: the
+risk is a sum over these groups. All models that are compared are fitted side by side, full batch, so an epoch is one pass
+over the groups. Where they hold at most HELD entries they lie in the driver's arrays, beyond that each pass is a Spark job
+over the table, whose tasks' sums are added up by SUMMERS tasks before they come to the driver; both compute the same.
+Whether prefixes are used and how strongly weights decay is chosen among SETTINGS by the non-negative risk itself on a third
+of the groups' documents that a fit left out, so from positives and unlabelled text alone; rows held out are never looked
+at. Every document is scored over its whole text.
 
 Nulls, ties: a null text is empty and gets the score of no features. A null doc_id is held out. A document with
 several labels is positive if any says 1. Every row gives one row, rows that repeat too. Without positives (or an empty
@@ -23,7 +27,7 @@ table) all scores are the prior, 0 if there are no labels. Other columns are ign
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,14 +38,16 @@ from pyspark.sql import functions as F
 from .common import _FOLD, numbered, settle, slices, table
 
 MOST_POSITIVE = 4_000
-MOST_UNLABELLED = 12_000
+HELD = 2_000_000
+SUMMERS = 32
 LEAST_POSITIVES = 5
 LEAST_TELLING = 5.0
 #: Decay of words and of prefixes (None: no prefixes), of which cross-validation chooses. Prefixes serve inflected and compound words.
-SETTINGS = ((5e-4, 1e-2), (5e-4, None), (5e-3, 5e-2), (5e-3, None))
+SETTINGS = ((5e-4, 1e-2), (5e-4, None), (5e-3, 5e-2))
 PREFIXES = (4, 5)
 FOLDS = 5
 PARTS = 3  # of the cross-validation
+EPOCHS, RATE = 250, 0.1
 _LOWER = bytes(_FOLD)
 _EDGES = b".,;:!?\"'()[]{}<>-_*"
 
@@ -92,84 +98,124 @@ class Model:
         return self.scorer()(text)
 
 
-class Risk:
-    """The non-negative risk of a linear classifier over rows of feature indices, and its gradient."""
+class Chunk:
+    """Groups of rows of one kind that have the same features: which, the part that they are left out with, how many rows each."""
 
-    def __init__(self, rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float):
-        self.flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.positive, self.n_features, self.prior = positive, n_features, prior
-        self.n_p, self.n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
+    def __init__(self, at: list[np.ndarray], positive: bool, part: np.ndarray, n: np.ndarray):
+        self.positive, self.part, self.n = positive, part[:, None], n[:, None].astype(float)
+        self.flat = np.concatenate(at).astype(np.int64)
+        sizes = np.array([len(x) for x in at])
+        self.some = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.some]
+        order = np.argsort(self.flat, kind="stable")  # by feature, for the gradient
+        self.owner = np.repeat(np.arange(len(at)), sizes)[order]
+        self.features, self.feature_starts = np.unique(self.flat[order], return_index=True)
 
     def margins(self, w: np.ndarray) -> np.ndarray:
-        """w: a weight for each feature, then the bias."""
-        return np.bincount(self.owner, w[self.flat], len(self.positive)) + w[-1]
-
-    def parts(self, w: np.ndarray) -> tuple[float, float]:
-        """prior * E_p[l(f)], and E_u[l(-f)] - prior * E_p[l(-f)], which may be negative."""
-        f = self.margins(w)
-        toward = self.prior * np.logaddexp(0, -f)[self.positive].sum() / self.n_p
-        away = np.logaddexp(0, f)
-        return float(toward), float(away[~self.positive].sum() / self.n_u - self.prior * away[self.positive].sum() / self.n_p)
-
-    def value(self, w: np.ndarray) -> float:
-        toward, away = self.parts(w)
-        return toward + max(0.0, away)
-
-    def gradient(self, w: np.ndarray) -> np.ndarray:
+        """w: features and the bias, for each model a column."""
+        out = np.zeros((len(self.part), w.shape[1]))
+        if len(self.some):
+            for i, column in enumerate(np.ascontiguousarray(w.T)):  # one at a time: several times faster than rows of them
+                out[self.some, i] = np.add.reduceat(column[self.flat], self.starts)
+        return out + w[-1]
+
+    def add_by_feature(self, value: np.ndarray, out: np.ndarray) -> None:
+        """Adds the groups' values to their features' rows, and all of them to the bias's."""
+        out[-1] += value.sum(axis=0)
+        if len(self.features):
+            for i, column in enumerate(np.ascontiguousarray(value.T)):
+                out[self.features, i] += np.add.reduceat(column[self.owner], self.feature_starts)
+
+
+_ENTRIES = 200_000  # of a chunk
+
+
+def chunks(positive: np.ndarray, part: np.ndarray, at: list[bytes], n: np.ndarray) -> list[Chunk]:
+    out = []
+    for kind in (True, False):
+        rows = np.flatnonzero(positive == kind)
+        size = np.cumsum([len(at[i]) // 4 + 1 for i in rows])
+        for share in np.split(rows, np.searchsorted(size, np.arange(_ENTRIES, size[-1], _ENTRIES))) if len(rows) else []:
+            if len(share):
+                out.append(Chunk([np.frombuffer(at[i], np.int32) for i in share], kind, part[share], n[share]))
+    return out
+
+
+class Models:
+    """Linear models that are fitted side by side by the non-negative risk; model m leaves the rows of part left[m] out (-1: none)."""
+
+    def __init__(self, n_features: int, prior: float, decay: np.ndarray, used: np.ndarray, left: np.ndarray):
+        """decay, used: of each feature (rows) and model (columns)."""
+        self.n_features, self.prior, self.left = n_features, prior, left
+        self.decay, self.used = np.vstack([decay, np.zeros(len(left))]), np.vstack([used, np.ones(len(left), bool)])
+        self.weights = np.zeros((n_features + 1, len(left)))
+        self.weights[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+
+    def sums(self, groups: list[Chunk], weights: np.ndarray | None = None) -> np.ndarray:
+        """What a pass adds up, one vector: for each model inside (0) and outside (1) its fit the numbers and losses of both kinds, and the gradients' sums."""
+        w = self.weights if weights is None else weights
+        totals, gradients = np.zeros((2, 5, len(self.left))), np.zeros((3, self.n_features + 1, len(self.left)))
+        for c in groups:
+            margin = c.margins(w)
+            inside = c.part != self.left
+            away = np.logaddexp(0, margin)
+            values = ((0, 1.0), (2, away - margin), (3, away)) if c.positive else ((1, 1.0), (4, away))
+            for at, here in ((0, inside), (1, ~inside)):
+                for row, value in values:
+                    totals[at, row] += (c.n * value * here).sum(axis=0)
+            s = c.n * inside / (1 + np.exp(-np.clip(margin, -30, 30)))
+            c.add_by_feature(s, gradients[1 if c.positive else 2])
+            if c.positive:
+                c.add_by_feature(c.n * inside, gradients[0])
+        return np.concatenate([totals.ravel(), gradients.ravel()])
+
+    def _split(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = len(self.left)
+        return sums[: 10 * m].reshape(2, 5, m), sums[10 * m :].reshape(3, self.n_features + 1, m)
+
+    def risk(self, sums: np.ndarray, outside: bool = False) -> np.ndarray:
+        """Of each model, over the rows of its fit or those left out of it: prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])."""
+        toward, away = self.parts(sums, outside)
+        return toward + np.maximum(0, away)
+
+    def parts(self, sums: np.ndarray, outside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The two parts of the risk; the second may be negative."""
+        n_p, n_u, toward, away_p, away_u = self._split(sums)[0][int(outside)]
+        n_p, n_u = np.maximum(n_p, 1), np.maximum(n_u, 1)
+        return self.prior * toward / n_p, away_u / n_u - self.prior * away_p / n_p
+
+    def gradient(self, sums: np.ndarray) -> np.ndarray:
         """Of the risk where its second part is not negative; else the first part's, less the second's (turned back)."""
-        f = self.margins(w)
-        s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        toward = np.where(self.positive, -self.prior * (1 - s) / self.n_p, 0.0)
-        away = np.where(self.positive, -self.prior * s / self.n_p, s / self.n_u)
-        g = toward + away if self.parts(w)[1] >= 0 else toward - away
-        return np.append(np.bincount(self.flat, g[self.owner], self.n_features), g.sum())
-
-
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, epochs: int = 400, rate: float = 0.05, decay: float | np.ndarray = 5e-4) -> tuple[np.ndarray, float]:
-    """rows: feature indices of each document; positive: which of them are confirmed. Adam over the whole sample."""
-    risk = Risk(rows, positive, n_features, prior)
-    w, moment, square = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
-    w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    for step in range(1, epochs + 1):
-        grad = risk.gradient(w) + np.append(decay * w[:-1], 0)
-        moment = 0.9 * moment + 0.1 * grad
-        square = 0.999 * square + 0.001 * grad**2
-        w -= rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def _decays(names: list[bytes], setting: tuple[float, float | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The decay of each feature, and which features are used."""
+        totals, (held, p, u) = self._split(sums)
+        n_p, n_u = np.maximum(totals[0][0], 1), np.maximum(totals[0][1], 1)
+        toward, away = self.prior * (p - held) / n_p, u / n_u - self.prior * p / n_p
+        return np.where(self.parts(sums)[1] >= 0, toward + away, toward - away)
+
+    def fit(self, sums_of: Callable[[np.ndarray], np.ndarray], epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
+        """Adam; sums_of gives the sums of a whole pass for some weights. The sums for the weights that it ends with."""
+        moment, square = np.zeros_like(self.weights), np.zeros_like(self.weights)
+        for step in range(1, epochs + 1):
+            grad = np.where(self.used, self.gradient(sums_of(self.weights)) + self.decay * self.weights, 0.0)
+            moment = 0.9 * moment + 0.1 * grad
+            square = 0.999 * square + 0.001 * grad**2
+            self.weights = self.weights - rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        return sums_of(self.weights)
+
+
+def compared(names: list[bytes], prior: float) -> Models:
+    """For each of SETTINGS a model that leaves out each part, then one that leaves out none."""
     prefix = np.array([x[:1] == b"^" for x in names], bool)
-    decay = np.where(prefix, setting[1] or 0.0, setting[0])
-    return decay, np.ones(len(names), bool) if setting[1] is not None else ~prefix
-
-
-def _only(rows: list[np.ndarray], used: np.ndarray) -> list[np.ndarray]:
-    return [r[used[r]] for r in rows]
+    each = [(np.where(prefix, b or 0.0, a), np.ones(len(names), bool) if b is not None else ~prefix) for a, b in SETTINGS for _ in range(PARTS + 1)]
+    return Models(len(names), prior, np.stack([d for d, _ in each], axis=1), np.stack([u for _, u in each], axis=1), np.array([*range(PARTS), -1] * len(SETTINGS)))
 
 
-def choose(rows: list[np.ndarray], positive: np.ndarray, label: np.ndarray, names: list[bytes], prior: float) -> tuple[float, float | None]:
-    """The setting with the least balanced error on labelled rows left out of the fit, the first of equal ones.
-
-    label: 1, 0 or -1 (none) of each row. With too few labels of either kind it is the first setting.
-    """
-    part = np.arange(len(rows)) % PARTS
-    if min((label == 1).sum(), (label == 0).sum()) < 4 * PARTS:
-        return SETTINGS[0]
-    errors = []
-    for setting in SETTINGS:
-        decay, used = _decays(names, setting)
-        kept = _only(rows, used)
-        wrong = {0: 0, 1: 0}
-        for p in range(PARTS):
-            fit = np.flatnonzero(part != p)
-            w, bias = fit_nnpu([kept[i] for i in fit], positive[fit], len(names), prior, epochs=120, rate=0.1, decay=decay)
-            for i in np.flatnonzero((part == p) & (label >= 0)):
-                wrong[int(label[i])] += (w[kept[i]].sum() + bias >= 0) != (label[i] == 1)
-        errors.append(wrong[0] / (label == 0).sum() + wrong[1] / (label == 1).sum())
-    return SETTINGS[int(np.argmin(errors))]
+def choose(models: Models, sums: np.ndarray) -> int:
+    """The place in SETTINGS with the least risk on the rows left out, the first of equal ones; the first too if a part lacks positives."""
+    outside = models._split(sums)[0][1]
+    cross = models.left >= 0
+    if outside[0][cross].min() < 4:
+        return 0
+    return int(np.argmin(np.where(cross, models.risk(sums, True), 0.0).reshape(-1, PARTS + 1).sum(axis=1)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -199,18 +245,55 @@ def _counted(names):
 
 
 def _indexed(names):
+    """The features of each row, as bytes of 32-bit numbers in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(names.value)
         for batch in batches:
             for part in slices(batch):
-                rows = [find(t) for t in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("turn"), part.column("positive"), part.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["turn", "positive", "toxic", "at"])
+                at = [np.array(find(t), np.int32).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.record_batch([part.column("doc_id"), pa.array(at, pa.binary())], ["doc_id", "at"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
-    """docs (doc_id, text), labels (doc_id, toxic). most_positive and most_unlabelled bound the sample that weights are fitted to."""
+def _added(vectors: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for v in vectors:
+        v = np.frombuffer(v, np.float64)
+        total = v.copy() if total is None else total + v
+    if total is not None:
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def passes(table: DataFrame, models: Models, held: int = HELD) -> Callable[[np.ndarray], np.ndarray]:
+    """table (positive, part, at, n): the function that gives the sums of a pass over it."""
+    size = table.agg(F.coalesce(F.sum(F.length("at") / 4 + 1), F.lit(0)).alias("n")).first().n
+    if size <= held:
+        rows = sorted(table.collect(), key=lambda r: (r.positive, r.part, bytes(r["at"])))  # the same sums in any order of partitions
+        groups = chunks(np.array([r.positive for r in rows], bool), np.array([r.part for r in rows], np.int64), [bytes(r["at"]) for r in rows], np.array([r.n for r in rows], np.int64))
+        return lambda weights: models.sums(groups, weights)
+    context = table.sparkSession.sparkContext
+
+    def run(weights: np.ndarray) -> np.ndarray:
+        shared = context.broadcast(weights)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns = lambda b: (np.array(b.column("positive").to_pylist(), bool), np.array(b.column("part"), np.int64), b.column("at").to_pylist(), np.array(b.column("n"), np.int64))
+            yield from _added(models.sums(chunks(*columns(b)), shared.value).tobytes() for b in batches)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _added(v for b in batches for v in b.column("sums").to_pylist())
+
+        rows = table.mapInArrow(partial, "sums binary").repartition(SUMMERS).mapInArrow(whole, "sums binary").collect()
+        shared.destroy()
+        return np.sum([np.frombuffer(r.sums, np.float64) for r in rows], axis=0)
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, held: int = HELD) -> Model:
+    """docs (doc_id, text), labels (doc_id, toxic). most_positive bounds the positives that features and weights are fitted to."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = docs.select("doc_id").where(~held_out(F.col("doc_id"))).distinct().join(known, "doc_id", "left")
@@ -220,32 +303,35 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     bias = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     if not tally.p:
         return Model([], np.zeros(0), bias)
-    some = lambda which, n: ids.where(which).orderBy("turn", "doc_id").limit(n)
-    sample = some("positive", most_positive).unionByName(some("not positive", most_unlabelled))
+    sample = settle(ids.where("positive").orderBy("turn", "doc_id").limit(most_positive).select("doc_id"), "positives")
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = settle(whole.join(F.broadcast(sample), "doc_id").select("turn", "text", "positive", "toxic"), "training")
+    texts = settle(whole.join(F.broadcast(sample), "doc_id").select("text"), "training")  # most_positive numbers
 
-    n_positive = texts.where("positive").count()
-    often = texts.where("positive").select("text").mapInArrow(_of_positives, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    held = sorted((bytes(r.feature), r.n) for r in often.where(F.col("n") >= LEAST_POSITIVES).collect())
-    candidates = spark.sparkContext.broadcast([x for x, _ in held])
+    n_positive = texts.count()
+    often = texts.mapInArrow(_of_positives, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = sorted((bytes(r.feature), r.n) for r in often.where(F.col("n") >= LEAST_POSITIVES).collect())
+    candidates = spark.sparkContext.broadcast([x for x, _ in found])
     every = whole.where(~held_out(F.col("doc_id")))
     counts = every.select("text").mapInArrow(_counted(candidates), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    n_at_large = np.zeros(len(held))
+    n_at_large = np.zeros(len(found))
     for r in counts:
         n_at_large[r["at"]] = r.n
-    p = np.array([n for _, n in held], float)
+    p = np.array([n for _, n in found], float)
     expected = n_positive * (n_at_large + 1) / (every.count() + 1)
     telling = (p - expected) / np.sqrt(expected + 1)
-    names = [x for (x, _), t in zip(held, telling) if t >= LEAST_TELLING]
-
-    rows = texts.mapInArrow(_indexed(spark.sparkContext.broadcast(names)), "turn long, positive boolean, toxic int, at array<int>").collect()
-    rows.sort(key=lambda r: (r.turn, r.positive, r["at"]))  # the same sums in any order of partitions
-    at, positive = [np.array(r["at"], np.int64) for r in rows], np.array([r.positive for r in rows], bool)
-    label = np.array([-1 if r.toxic is None else int(r.toxic == 1) for r in rows])
-    decay, used = _decays(names, choose(at, positive, label, names, prior))
-    w, bias = fit_nnpu(_only(at, used), positive, len(names), prior, decay=decay)
-    return Model([x for x, v in zip(names, w) if v], w[w != 0], bias)
+    names = [x for (x, _), t in zip(found, telling) if t >= LEAST_TELLING]
+    if not names:
+        return Model([], np.zeros(0), bias)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = every.mapInArrow(_indexed(spark.sparkContext.broadcast(names)), f"doc_id {kind}, at binary")  # features only: no text is shuffled
+    roles = ids.join(F.broadcast(sample.withColumn("sampled", F.lit(True))), "doc_id", "left").where("sampled or not positive")
+    rows = rows.join(roles.select("doc_id", "positive", F.pmod("turn", F.lit(PARTS)).cast("int").alias("part")), "doc_id")
+    groups = settle(rows.groupBy("positive", "part", "at").agg(F.count("*").alias("n")), "groups")
+    models = compared(names, prior)
+    chosen = choose(models, models.fit(passes(groups, models, held)))
+    w = models.weights[:, chosen * (PARTS + 1) + PARTS]
+    return Model([x for x, v in zip(names, w[:-1]) if v], w[:-1][w[:-1] != 0], float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
