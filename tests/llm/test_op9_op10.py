@@ -126,7 +126,7 @@ def test_the_setting_is_chosen_by_the_risk_left_out():
         positive.append(bad and rnd.random() < 0.5)
     names = [b"=w%d" % i for i in range(4)] + [b"^p%d" % i for i in range(56)]
     m = op9.compared(names, 1 / 6)
-    table = grouped(rows, positive, np.arange(900) % op9.PARTS)
+    table = grouped(rows, positive, np.arange(900) // 6 % op9.PARTS)
     sums = m.fit(lambda w: m.sums(table, w), 200)
     risks = np.where(m.left >= 0, m.risk(sums, True), 0).reshape(-1, op9.PARTS + 1).sum(axis=1)
     assert op9.choose(m, sums) == np.argmin(risks) and risks[1] < risks[0]
