@@ -127,27 +127,39 @@ def test_the_setting_is_chosen_by_the_risk_left_out():
     names = [b"=w%d" % i for i in range(4)] + [b"^p%d" % i for i in range(56)]
     m = op9.compared(names, 1 / 6)
     table = grouped(rows, positive, np.arange(900) // 6 % op9.PARTS)
-    sums = m.fit(lambda w: m.sums(table, w), 200)
+    m.fit(lambda w: m.sums(table, w), 200)
+    sums = m.sums(table)
     risks = np.where(m.left >= 0, m.risk(sums, True), 0).reshape(-1, op9.PARTS + 1).sum(axis=1)
     assert op9.choose(m, sums) == np.argmin(risks) and risks[1] < risks[0]
     few = grouped(rows[:12], positive[:12], np.arange(12) % op9.PARTS)
     assert op9.choose(m, m.sums(few)) == 0
 
 
-def test_passes_as_jobs_and_on_the_driver(spark, monkeypatch):
+def test_shards(spark, monkeypatch):
     rnd = np.random.default_rng(9)
-    rows = [(bool(rnd.random() < 0.3), int(rnd.integers(0, 3)), bytearray(np.flatnonzero(rnd.random(20) < 0.2).astype(np.int32).tobytes()), int(rnd.integers(1, 9))) for _ in range(300)]
+    rows = [(bool(rnd.random() < 0.2), int(rnd.integers(0, 3)), bytearray(np.flatnonzero(rnd.random(20) < 0.2).astype(np.int32).tobytes()), int(rnd.integers(1, 40))) for _ in range(400)]
     table = spark.createDataFrame(rows, "positive boolean, part int, at binary, n long").repartition(5)
-    m = models(20, 0.2, (0, 1, 2, -1), 1e-3)
-    here, there = op9.passes(table, m), op9.passes(table, m, held=0)
-    for w in (m.weights, rnd.normal(size=(21, 4))):
-        assert np.allclose(here(w), there(w))
-    docs, labels = corpus(400)
-    monkeypatch.setattr(op9, "EPOCHS", 3)
-    monkeypatch.setattr(op9.Models.fit, "__defaults__", (3, 0.1))
-    df, table = frame(spark, [d[:5] for d in docs]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    one, two = op9.train(df, table), op9.train(df, table, held=0)
-    assert one.names == two.names and np.allclose(one.weights, two.weights)
+    # each group's rows go to the shards in equal numbers
+    back = {}
+    for r in op9.dealt(table, 7).groupBy("part", "at").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("n").alias("least"), F.count("*").alias("shares")).collect():
+        back[r.part, bytes(r["at"])] = r.n
+        assert r.most - r.least <= 1 or r.shares > 7  # groups that stand twice in the table add up
+    want = {}
+    for positive, part, at, n in rows:
+        if not positive:
+            want[part, bytes(at)] = want.get((part, bytes(at)), 0) + n
+    assert back == want
+    # one shard is the plain fit, several are near it
+    monkeypatch.setattr(op9, "EPOCHS", 60)
+    plain = models(20, 0.2, (0, 1, 2, -1), 1e-2)
+    ordered = sorted(rows, key=lambda r: (r[0], r[1], bytes(r[2])))
+    groups = op9.chunks(*(np.array(x) if i != 2 else [bytes(v) for v in x] for i, x in enumerate(zip(*ordered))))
+    plain.fit(lambda w: plain.sums(groups, w), 60)
+    one, many = models(20, 0.2, (0, 1, 2, -1), 1e-2), models(20, 0.2, (0, 1, 2, -1), 1e-2)
+    sums = op9.fit_all(table, one)
+    op9.fit_all(table, many, shard=500)
+    assert np.allclose(one.weights, plain.weights) and np.allclose(sums, plain.sums(groups))
+    assert np.corrcoef(many.weights.ravel(), plain.weights.ravel())[0, 1] > 0.95
 
 
 def test_scores_as_by_hand(spark):

@@ -12,9 +12,10 @@ the sample bounds their number. labels, lang, source and doc_id are never featur
 
 Confirmed positives are a sample, the first most_positive in hash order of doc_id (a parameter of train()); unlabelled rows
 are all there are. What a row is to the risk is the set of features it has, so rows are grouped by that set and counted: the
-risk is a sum over these groups. All models that are compared are fitted side by side, full batch, so an epoch is one pass
-over the groups. Where they hold at most HELD entries they lie in the driver's arrays, beyond that each pass is a Spark job
-over the table, whose tasks' sums are added up by SUMMERS tasks before they come to the driver; both compute the same.
+risk is a sum over these groups. They are dealt into shards of about SHARD entries, a group of many rows into equal shares, so
+each shard is the whole in small. A shard's models, all that are compared side by side, are fitted full batch to its unlabelled
+rows and all sampled positives, and the shards' weights are averaged by their rows; one shard is the plain fit. A task holds one
+shard; sums of weights are added up by SUMMERS tasks before they come to the driver.
 Whether prefixes are used and how strongly weights decay is chosen among SETTINGS by the non-negative risk itself on a third
 of the groups' documents that a fit left out, so from positives and unlabelled text alone; rows held out are never looked
 at. Every document is scored over its whole text.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import _FOLD, numbered, settle, slices, table
 
 MOST_POSITIVE = 4_000
-HELD = 2_000_000
+SHARD = 1_000_000
 SUMMERS = 32
 LEAST_POSITIVES = 5
 LEAST_TELLING = 5.0
@@ -191,15 +192,14 @@ class Models:
         toward, away = self.prior * (p - held) / n_p, u / n_u - self.prior * p / n_p
         return np.where(self.parts(sums)[1] >= 0, toward + away, toward - away)
 
-    def fit(self, sums_of: Callable[[np.ndarray], np.ndarray], epochs: int = EPOCHS, rate: float = RATE) -> np.ndarray:
-        """Adam; sums_of gives the sums of a whole pass for some weights. The sums for the weights that it ends with."""
+    def fit(self, sums_of: Callable[[np.ndarray], np.ndarray], epochs: int = EPOCHS, rate: float = RATE) -> None:
+        """Adam; sums_of gives the sums of a whole pass for some weights."""
         moment, square = np.zeros_like(self.weights), np.zeros_like(self.weights)
         for step in range(1, epochs + 1):
             grad = np.where(self.used, self.gradient(sums_of(self.weights)) + self.decay * self.weights, 0.0)
             moment = 0.9 * moment + 0.1 * grad
             square = 0.999 * square + 0.001 * grad**2
             self.weights = self.weights - rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        return sums_of(self.weights)
 
 
 def compared(names: list[bytes], prior: float) -> Models:
@@ -266,33 +266,71 @@ def _added(vectors: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
 
-def passes(table: DataFrame, models: Models, held: int = HELD) -> Callable[[np.ndarray], np.ndarray]:
-    """table (positive, part, at, n): the function that gives the sums of a pass over it."""
-    size = table.agg(F.coalesce(F.sum(F.length("at") / 4 + 1), F.lit(0)).alias("n")).first().n
-    if size <= held:
-        rows = sorted(table.collect(), key=lambda r: (r.positive, r.part, bytes(r["at"])))  # the same sums in any order of partitions
-        groups = chunks(np.array([r.positive for r in rows], bool), np.array([r.part for r in rows], np.int64), [bytes(r["at"]) for r in rows], np.array([r.n for r in rows], np.int64))
-        return lambda weights: models.sums(groups, weights)
-    context = table.sparkSession.sparkContext
+def _total(rows: DataFrame, run) -> np.ndarray:
+    """What run's vectors of all tasks add up to, by way of SUMMERS tasks."""
+    whole = lambda batches: _added(v for b in batches for v in b.column("sums").to_pylist())
+    parts = rows.mapInArrow(run, "sums binary").repartition(SUMMERS).mapInArrow(whole, "sums binary").collect()
+    return np.sum([np.frombuffer(v, np.float64) for v in sorted(bytes(r.sums) for r in parts)], axis=0)
 
-    def run(weights: np.ndarray) -> np.ndarray:
-        shared = context.broadcast(weights)
 
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            columns = lambda b: (np.array(b.column("positive").to_pylist(), bool), np.array(b.column("part"), np.int64), b.column("at").to_pylist(), np.array(b.column("n"), np.int64))
-            yield from _added(models.sums(chunks(*columns(b)), shared.value).tobytes() for b in batches)
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    return np.array(batch.column("positive").to_pylist(), bool), np.array(batch.column("part"), np.int64), batch.column("at").to_pylist(), np.array(batch.column("n"), np.int64)
 
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _added(v for b in batches for v in b.column("sums").to_pylist())
 
-        rows = table.mapInArrow(partial, "sums binary").repartition(SUMMERS).mapInArrow(whole, "sums binary").collect()
-        shared.destroy()
-        return np.sum([np.frombuffer(r.sums, np.float64) for r in rows], axis=0)
+def dealt(groups: DataFrame, shards: int) -> DataFrame:
+    """The unlabelled groups with the shard of each share: the rows of a group go to all shards in equal numbers, what is over to some."""
+    unlabelled = groups.where("not positive").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", F.lit(shards)) - 1)))
+    share = F.expr(f"n div {shards}") + (F.col("_j") < F.col("n") % shards).cast("long")
+    return unlabelled.select("positive", "part", "at", share.alias("n"), F.pmod(F.xxhash64("at", "part") + F.col("_j"), F.lit(shards)).alias("shard"))
 
-    return run
+
+def fit_all(groups: DataFrame, models: Models, shard: int = SHARD) -> np.ndarray:
+    """groups (positive, part, at, n): fits the models, and gives the sums of a last pass over all groups."""
+    context = groups.sparkSession.sparkContext
+    size = groups.agg(F.coalesce(F.sum(F.length("at") / 4 + 1), F.lit(0)).alias("n")).first().n
+    shards = max(1, int(-(-size // shard)))
+    held = groups.where("positive").orderBy("part", "at").collect()  # at most most_positive groups
+    positives = context.broadcast((np.array([r.part for r in held], np.int64), [bytes(r["at"]) for r in held], np.array([r.n for r in held], np.int64)))
+
+    def one(batches: list[pa.RecordBatch]) -> bytes:
+        _, part, at, n = (np.concatenate(x) if isinstance(x[0], np.ndarray) else sum(x, []) for x in zip(*map(_columns, batches)))
+        more_part, more_at, more_n = positives.value
+        kind = np.repeat([False, True], [len(at), len(more_at)])
+        order = sorted(range(len(at)), key=lambda i: (part[i], at[i]))  # the same sums in any order of rows
+        rows = chunks(kind, np.append(part[order], more_part), [at[i] for i in order] + more_at, np.append(n[order], more_n))
+        mine = Models(models.n_features, models.prior, models.decay[:-1], models.used[:-1], models.left)
+        mine.fit(lambda w: mine.sums(rows, w), EPOCHS, RATE)
+        return np.append(mine.weights.ravel() * n.sum(), float(n.sum())).tobytes()
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors() -> Iterator[bytes]:
+            held, current = [], None
+            for batch in batches:
+                shard = np.asarray(batch.column("shard"))
+                edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else [0]
+                for a, b in zip(edges, edges[1:]):
+                    if held and shard[a] != current:
+                        yield one(held)
+                        held = []
+                    current = shard[a]
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield one(held)
+
+        yield from _added(vectors())
+
+    total = _total(dealt(groups, shards).repartition(max(1, min(shards, 10_000)), "shard").sortWithinPartitions("shard"), fitted)
+    if np.ndim(total):
+        models.weights = total[:-1].reshape(models.weights.shape) / total[-1]
+    weights = context.broadcast(models.weights)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _added(models.sums(chunks(*_columns(b)), weights.value).tobytes() for b in batches)
+
+    return _total(groups, summed)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, held: int = HELD) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, shard: int = SHARD) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic). most_positive bounds the positives that features and weights are fitted to."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -329,7 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     rows = rows.join(roles.select("doc_id", "positive", F.pmod("turn", F.lit(PARTS)).cast("int").alias("part")), "doc_id")
     groups = settle(rows.groupBy("positive", "part", "at").agg(F.count("*").alias("n")), "groups")
     models = compared(names, prior)
-    chosen = choose(models, models.fit(passes(groups, models, held)))
+    chosen = choose(models, fit_all(groups, models, shard))
     w = models.weights[:, chosen * (PARTS + 1) + PARTS]
     return Model([x for x, v in zip(names, w[:-1]) if v], w[:-1][w[:-1] != 0], float(w[-1]))
 
