@@ -147,16 +147,14 @@ def test_answers_of_agents(spark):
     assert "## Charge: T\n" in hook.select(agents.charge(finding, F.col("snippet")).alias("c")).first().c
 
 
-def test_knowledge_in_blocks(spark, monkeypatch):
+def test_patterns_are_described(spark):
     rows = [(i, "CWE-89" if i % 2 else "CWE-78", None, "cursor execute", "execute" if i % 3 else "(", i % 4, [float(i % 5), 1.0]) for i in range(23)]
     patterns = spark.createDataFrame(rows, "pid long, cwe_id string, code_signature string, vulnerable_snippet string, detection_rule string, seen long, v array<double>")
     snippets = spark.createDataFrame([(1, "cursor.execute(x)", "injection", [3.0, 1.0]), (2, None, None, None), (3, "plain words only", "injection", [0.0, 0.0])], "id long, snippet string, hook_type string, v array<double>")
-    whole = [sorted(map(tuple, f.collect())) for f in (knowledge.listed(knowledge.matched(snippets, patterns)), knowledge.listed(knowledge.similar(snippets, patterns)), knowledge.retrieve(snippets, patterns))]
-    monkeypatch.setattr(knowledge, "BLOCK", 5)
-    parts = [sorted(map(tuple, f.collect())) for f in (knowledge.listed(knowledge.matched(snippets, patterns)), knowledge.listed(knowledge.similar(snippets, patterns)), knowledge.retrieve(snippets, patterns))]
-    assert whole == parts and [r[2] for r in whole[0] if r[0] == 1] == [7, 11, 19] and len(whole[2]) == 6
+    found = knowledge.retrieve(snippets, patterns)
+    assert [r.pid for r in found.where("id = 1").orderBy("rank").collect()] == [7, 11, 19] and found.count() == 6
     assert knowledge.retrieve(snippets, patterns.limit(0)).count() == 0
-    told = knowledge.described(knowledge.retrieve(snippets, patterns), patterns.withColumns({"pattern_type": F.lit("t"), "fix_snippet": F.lit("")})).collect()
+    told = knowledge.described(found, patterns.withColumns({"pattern_type": F.lit("t"), "fix_snippet": F.lit("")})).collect()
     assert all(r.text.startswith("### Pattern 1: t (CWE-") for r in told)
 
 

@@ -1,22 +1,27 @@
 """Patterns of known vulnerabilities: made of confirmed findings, and retrieved for snippets by rules and by vectors.
 
-Patterns are dimension data and usually few. They are collected in blocks of at most BLOCK, each block is broadcast,
-and a snippet's best ones of all blocks are merged, so a knowledge base of any size is searched whole.
+Neither side is collected. A rule meets the snippets that hold a letter triple of each literal that it requires (factors.py), by
+a join on the triple's number; only what then matches is scored. What needs no rule, the class and the words, depends on few
+values: patterns of one class and the same words compete by age alone, so the best of each such kind stand for all. Vectors go
+through a partitioned index (vectors.py). Of every kind of candidates at most k reach the merge for a snippet.
+
+Rows may repeat, ids and pids be null or shared: equal snippets are searched once and each gets its own answer; equal patterns are
+found as often as they stand in the table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from . import factors, vectors
+from .tables import settle
 
-BLOCK = 5_000
+FREE = 500  # rules without a literal that meet the snippets at once
 BEST = 3
 LEAST_TEXT = 10
 
@@ -77,113 +82,166 @@ def bulk_patterns(findings: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(patterns: DataFrame, key: str) -> Iterator[list]:
-    """The patterns in blocks by their key, each collected when it is needed."""
-    last = None
-    while True:
-        rows = (patterns if last is None else patterns.where(F.col(key) > last)).orderBy(key).limit(BLOCK).collect()
-        if rows:
-            yield rows
-        if len(rows) < BLOCK:
-            return
-        last = rows[-1][key]
-
-
-def _compiled(rule: str | None) -> re.Pattern | None:
-    try:
-        return re.compile(rule, re.I) if rule else None
-    except re.error:
-        return None
-
-
-def score(rules: tuple, snippet: str, suspected: str | None) -> int:
-    """rules: class, detection rule and signature (compiled, or none), words of its snippet."""
-    cwe, detection, signature, words = rules
-    low = snippet.lower()
-    shared = sum(w in low for w in words)
-    return 3 * (suspected is not None and cwe == suspected) + 5 * bool(detection and detection.search(snippet)) + 4 * bool(signature and signature.search(snippet)) + min(3, shared)
-
-
 _FOUND = "array<struct<negative:double,place:long,pid:long>>"
-_FOUND_TYPE = pa.list_(pa.struct([("negative", pa.float64()), ("place", pa.int64()), ("pid", pa.int64())]))
-
-
-def _merged(parts: list[DataFrame], k: int) -> DataFrame:
-    """id and the best k of all blocks."""
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
+_WORDS = [w.lower() for w in R.RETRIEVAL_WORDS]
 
 
-def _none(snippets: DataFrame) -> DataFrame:
-    return snippets.select("id", F.array().cast(_FOUND).alias("found"))
+def _words(text: Column) -> Column:
+    """Which of the retrieval words a text holds, as bits."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    bits = F.lit(0)
+    for i, w in enumerate(_WORDS):
+        bits = bits + F.when(F.contains(low, F.lit(w)), F.lit(1 << i)).otherwise(0)
+    return bits.cast("int")
+
+
+def _digest(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def _keyed(snippets: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct rows of snippets by some columns, with their number `copies` and a key."""
+    rows = snippets.groupBy("id", *columns).agg(F.count("*").alias("copies"))
+    return rows.withColumn("key", _digest("id", *columns))
+
+
+def _answers(keyed: DataFrame, found: DataFrame, column: str = "found") -> DataFrame:
+    """id and what was found for its key, an empty list if nothing, for each copy."""
+    rows = keyed.select("id", "key", "copies").join(found, "key", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("id", F.coalesce(column, F.array().cast(found.schema[column].dataType)).alias(column))
+
+
+def _first(found: DataFrame, k: int, by: list[str]) -> DataFrame:
+    """The first k patterns of each group; cut within each partition before rows are shuffled."""
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "place", F.col("pid").asc_nulls_last(), "rid")
+    return found.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k)
+
+
+def _lists(found: DataFrame, k: int) -> DataFrame:
+    """key, negative, place, pid, n, _at of at most k patterns a key: one list each, equal patterns as often as they stand."""
+    one = F.struct("_at", F.struct(F.col("negative").cast("double"), F.col("place").cast("long"), F.col("pid").cast("long")).alias("p"), F.least("n", F.lit(k)).cast("int").alias("n"))
+    each = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.array_repeat(x["p"], x["n"]))
+    return found.groupBy("key").agg(F.slice(F.flatten(each), 1, k).cast(_FOUND).alias("found"))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rid, place of each triple by which a pattern's rules are looked up; place -1 where one must be tried on every snippet."""
+    for batch in batches:
+        rids, places = [], []
+        for rid, *of_pattern in zip(*(batch.column(c).to_pylist() for c in ("rid", "rule", "signature"))):
+            asked = [factors.key_places(r) for r in of_pattern if factors.compiled(r)]
+            every = [-1] if None in asked else sorted({p for ps in asked for p in ps})
+            rids += [rid] * len(every)
+            places += every
+        yield pa.record_batch([pa.array(rids, pa.string()), pa.array(places, pa.int32())], ["rid", "at"])
+
+
+def _looked_up(known):
+    """key, place of each triple of a snippet that some rule is looked up by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("folded").to_pylist()):
+                places = factors.places_in(text, known.value)
+                if places:
+                    yield pa.record_batch([pa.array([key] * len(places), pa.string()), pa.array(places, pa.int32())], ["key", "at"])
+
+    return run
+
+
+def hits(rule: str | None, signature: str | None, text: str, low: str) -> int:
+    """5 if the rule is found in a text, 4 more if the signature is; low: the folded text."""
+    points = 0
+    for worth, r in ((5, rule), (4, signature)):
+        needed = factors.required(r) if r else None
+        if factors.compiled(r) and (needed is None or any(x in low for x in needed)) and factors.compiled(r).search(text):
+            points += worth
+    return points
+
+
+def _tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a snippet and a pattern whose rule or signature is found, with the points for it."""
+    for batch in batches:
+        points = [hits(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("rule", "signature", "snippet", "folded")))]
+        met = [i for i, p in enumerate(points) if p]
+        keep = [c for c in batch.schema.names if c not in ("rule", "signature", "snippet", "folded")]
+        yield pa.record_batch([*(batch.column(c).take(pa.array(met, pa.int64())) for c in keep), pa.array([points[i] for i in met], pa.int32())], [*keep, "points"])
+
+
+def _matched(rows: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
+    """rows (key, snippet, suspected): key, found."""
+    spark = rows.sparkSession
+    fields = ["pid", "cwe_id", "code_signature", "vulnerable_snippet", "detection_rule", "seen"]
+    whole = settle(patterns.groupBy(*fields).agg(F.count("*").alias("n")).select(
+        _digest(*fields).alias("rid"), F.col("pid").cast("long").alias("pid"), (-F.coalesce("seen", F.lit(0))).cast("long").alias("place"), "n", F.col("cwe_id").alias("cwe"), _words(F.col("vulnerable_snippet")).alias("words"),
+        F.col("detection_rule").alias("rule"), F.col("code_signature").alias("signature"),
+    ), "patterns")
+    asked = rows.select("key", F.coalesce("snippet", F.lit("")).alias("snippet"), "suspected").withColumn("mine", _words(F.col("snippet"))).withColumn("folded", factors.folded(F.col("snippet")))
+    score = lambda points: 3 * F.coalesce(F.col("cwe") == F.col("suspected"), F.lit(False)).cast("int") + points + F.least(F.lit(3), F.bit_count(F.col("words").bitwiseAND(F.col("mine"))))
+
+    # by class and words alone: kinds of patterns against kinds of snippets, met by a class or a word that they share
+    kinds = whole.withColumn("score", F.lit(0)).transform(lambda d: _first(d, k, ["cwe", "words"])).select("rid", "pid", "place", "n", "cwe", "words")
+    shared = lambda cwe, words: F.concat(F.filter(F.array(cwe), lambda c: c.isNotNull()), F.filter(F.array(*[F.when(words.bitwiseAND(1 << i) > 0, F.lit(str(i))) for i in range(len(_WORDS))]), lambda w: w.isNotNull()))
+    profiles = asked.select("suspected", "mine").distinct().withColumn("meets", F.explode(shared(F.col("suspected"), F.col("mine"))))
+    kinds = kinds.withColumn("meets", F.explode(shared(F.col("cwe"), F.col("words"))))
+    plain = profiles.join(kinds, "meets").drop("meets").distinct().withColumn("score", score(F.lit(0)))
+    plain = _first(plain, k, ["suspected", "mine"]).drop("_at", "cwe", "words")
+    same = F.col("a.suspected").eqNullSafe(F.col("p.suspected")) & (F.col("a.mine") == F.col("p.mine"))
+    by_kind = asked.select("key", "suspected", "mine").alias("a").join(plain.alias("p"), same).select("a.key", "p.rid", "p.pid", "p.place", "p.n", "p.score")
+
+    # by rules: triples that both sides hold
+    told = ["rid", "pid", "place", "n", "cwe", "words", "rule", "signature"]
+    ruled = whole.where((F.coalesce("rule", F.lit("")) != "") | (F.coalesce("signature", F.lit("")) != ""))
+    at = settle(ruled.select("rid", "rule", "signature").mapInArrow(_places, "rid string, at int"), "places")
+    known = spark.sparkContext.broadcast(factors.bitmap([r["at"] for r in at.where("at >= 0").select("at").distinct().collect()]))  # at most factors.PLACES numbers
+    looked_up = asked.select("key", "folded").mapInArrow(_looked_up(known), "key string, at int")
+    pairs = looked_up.join(at.where("at >= 0"), "at").select("key", "rid").distinct()
+    pairs = pairs.join(ruled.select(*told), "rid").join(asked, "key")
+    # rules that require no literal meet every snippet, in blocks of FREE, with the snippets dealt over all tasks
+    free = ruled.join(at.where("at = -1").select("rid"), "rid")
+    blocks, tasks = max(1, -(-free.count() // FREE)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    number = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    listed = free.select(number("rid", blocks).alias("block"), F.struct(*told).alias("r")).groupBy("block").agg(F.collect_list("r").alias("rules")).withColumn("task", every(tasks))
+    met = asked.withColumn("block", every(blocks)).withColumn("task", number("key", tasks)).join(listed, ["block", "task"])
+    free_pairs = met.select(*asked.columns, F.explode("rules").alias("r")).select(*asked.columns, "r.*")
+    columns = ["key", "rid", "pid", "place", "n", "cwe", "words", "suspected", "mine", "rule", "signature", "snippet", "folded"]
+    kept = "key string, rid string, pid long, place long, n long, cwe string, words int, suspected string, mine int, points int"
+    tried = pairs.select(columns).unionByName(free_pairs.select(columns)).mapInArrow(_tried, kept)
+    by_rule = _first(tried.withColumn("score", score(F.col("points"))).select("key", "rid", "pid", "place", "n", "score"), k, ["key"]).drop("_at")
+
+    both = by_kind.unionByName(by_rule).groupBy("key", "rid", "pid", "place", "n").agg(F.max("score").alias("score")).where("score > 0")
+    return _lists(_first(both, k, ["key"]).withColumn("negative", -F.col("score")), k)
 
 
 def matched(snippets: DataFrame, patterns: DataFrame, k: int = BEST) -> DataFrame:
     """snippets (id, snippet, hook_type) and patterns (pid, cwe_id, code_signature, vulnerable_snippet, detection_rule, seen): id, found.
 
     found is the best k patterns with any score, as (negative score, place, pid): best first, of equal scores the newest
-    (largest `seen`, a number), then the smaller pid. Rules are searched as Python's regular expressions, without regard
-    to case; one that does not compile counts as absent. Nulls count as empty texts.
+    (largest `seen`, a number), then the smaller pid, null last. A score is 3 for the suspected class, 5 for the rule, 4 for the
+    signature, and 1 for each retrieval word that both hold, up to 3. Rules are searched as Python's regular expressions, without
+    regard to case; one that does not compile counts as absent. Nulls count as empty texts.
     """
-    spark = snippets.sparkSession
-    rows = snippets.select("id", F.coalesce("snippet", F.lit("")).alias("snippet"), _mapped(R.HOOK_TYPE_CWE, F.col("hook_type")).alias("suspected"))
-    parts = []
-    for block in _blocks(patterns, "pid"):
-        words = lambda text: [w.lower() for w in R.RETRIEVAL_WORDS if w.lower() in (text or "").lower()]
-        shared = spark.sparkContext.broadcast([(-(p.seen or 0), p.pid, p.cwe_id, p.detection_rule, p.code_signature, words(p.vulnerable_snippet)) for p in block])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = [(place, pid, (cwe, _compiled(rule), _compiled(signature), words)) for place, pid, cwe, rule, signature, words in shared.value]
-            for batch in batches:
-                out = []
-                for snippet, suspected in zip(batch.column("snippet").to_pylist(), batch.column("suspected").to_pylist()):
-                    scored = ((-float(score(rules, snippet, suspected)), place, pid) for place, pid, rules in known)
-                    out.append([dict(zip(("negative", "place", "pid"), x)) for x in sorted(x for x in scored if x[0] < 0)[:k]])
-                yield pa.record_batch([batch.column("id"), pa.array(out, _FOUND_TYPE)], ["id", "found"])
-
-        parts.append(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, found {_FOUND}"))
-    return _merged(parts, k) if parts else _none(snippets)
+    keyed = _keyed(snippets, ["snippet", "hook_type"])
+    return _answers(keyed, _matched(keyed.select("key", "snippet", _mapped(R.HOOK_TYPE_CWE, F.col("hook_type")).alias("suspected")), patterns, k))
+
+
+def _similar(rows: DataFrame, patterns: DataFrame, k: int, least: float) -> DataFrame:
+    """rows (key, v): key, found."""
+    points = patterns.select(F.col("pid").cast("long").alias("pid"), F.col("v").cast("array<double>").alias("v"))
+    found = vectors.search(rows, points, k, least)
+    order = Window.partitionBy("key").orderBy("negative", F.col("pid").asc_nulls_last(), "twin")
+    return _lists(found.withColumn("_at", F.row_number().over(order)).withColumn("place", F.lit(0)), k)
 
 
 def similar(snippets: DataFrame, patterns: DataFrame, k: int = BEST, least: float = 0.3) -> DataFrame:
-    """snippets (id, v) and patterns (pid, v): id, found: the k most similar by cosine, then those over `least` of them.
+    """snippets (id, v) and patterns (pid, v): id, found: the k most similar by cosine, of those over `least` (0 or more).
 
-    found is (negative likeness, place, pid), best first, of equal ones the smaller pid. Likeness is 0 where a vector is
-    null, empty, zero, holds a null or has another length.
+    found is (negative likeness, place, pid), best first, of equal ones the smaller pid, null last. Likeness is 0 where a vector is
+    null, empty, zero, holds a null or an infinite number or has another length.
     """
-    spark = snippets.sparkSession
-    rows = snippets.select("id", F.col("v").cast("array<double>").alias("v"))
-    parts = []
-    for block in _blocks(patterns.select("pid", F.col("v").cast("array<double>").alias("v")), "pid"):
-        shared = spark.sparkContext.broadcast([(p.pid, p.v) for p in block])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids = np.array([pid for pid, _ in shared.value])
-            sound = lambda v: v is not None and len(v) > 0 and None not in v and any(v)
-            by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for length in {len(v) for _, v in shared.value if sound(v)}:
-                at = np.array([i for i, (_, v) in enumerate(shared.value) if sound(v) and len(v) == length])
-                matrix = np.array([shared.value[i][1] for i in at])
-                by_length[length] = at, matrix / np.sqrt((matrix**2).sum(axis=1))[:, None]
-            for batch in batches:
-                out = []
-                for v in batch.column("v").to_pylist():
-                    likeness = np.zeros(len(ids))
-                    if sound(v) and len(v) in by_length:
-                        at, matrix = by_length[len(v)]
-                        a = np.array(v)
-                        likeness[at] = matrix @ (a / np.sqrt((a**2).sum()))
-                    best = np.lexsort((ids, -likeness))[:k]
-                    out.append([{"negative": -float(likeness[i]), "place": 0, "pid": int(ids[i])} for i in best])
-                yield pa.record_batch([batch.column("id"), pa.array(out, _FOUND_TYPE)], ["id", "found"])
-
-        parts.append(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, found {_FOUND}"))
-    best = _merged(parts, k) if parts else _none(snippets)
-    return best.select("id", F.filter("found", lambda f: f["negative"] < -least).alias("found"))
+    keyed = _keyed(snippets.select("id", F.col("v").cast("array<double>").alias("v")), ["v"])
+    return _answers(keyed, _similar(keyed.select("key", "v"), patterns, k, least))
 
 
 def listed(found: DataFrame) -> DataFrame:
@@ -198,15 +256,24 @@ def retrieve(snippets: DataFrame, patterns: DataFrame, k: int = BEST, semantic:
     snippet without a vector is matched by rules again, of no suspected class. Texts of under LEAST_TEXT letters have none.
     """
     asked = snippets.where(F.length(stripped(F.coalesce("snippet", F.lit("")))) >= LEAST_TEXT)
-    pids = lambda found: found.select("id", F.transform("found", lambda f: f["pid"]).alias("pids"))
-    by_rule = pids(matched(asked, patterns, k))
+    asked = asked.select("id", "snippet", "hook_type", *([F.col("v").cast("array<double>").alias("v")] if semantic else []))
+    keyed = _keyed(asked, [c for c in asked.columns if c != "id"])
+    suspected = _mapped(R.HOOK_TYPE_CWE, F.col("hook_type"))
+    rows = keyed.select(F.concat(F.lit("r"), "key").alias("key"), "snippet", suspected.alias("suspected"))
+    if semantic:  # a snippet without a vector is looked up twice, in the same pass
+        without = keyed.where(F.coalesce(F.size("v"), F.lit(0)) <= 0)
+        rows = rows.unionByName(without.select(F.concat(F.lit("a"), "key").alias("key"), "snippet", F.lit(None).cast("string").alias("suspected")))
+    pids = lambda found: found.select("key", F.transform("found", lambda f: f["pid"]).alias("pids"))
+    by_rule = pids(_matched(rows, patterns, k)).select(F.substring("key", 1, 1).alias("way"), F.expr("substring(key, 2)").alias("key"), "pids")
+    lists = by_rule.where("way = 'r'").select("key", "pids", F.lit(0).alias("turn"))
     if semantic:
-        with_vector = asked.where(F.coalesce(F.size("v"), F.lit(0)) > 0)
-        without = asked.where(F.coalesce(F.size("v"), F.lit(0)) <= 0).withColumn("hook_type", F.lit("unknown"))
-        more = pids(similar(with_vector, patterns)).unionByName(pids(matched(without, patterns, k))).withColumnRenamed("pids", "more")
-        joined = by_rule.join(more, "id")
-        by_rule = joined.select("id", F.slice(F.concat("pids", F.filter("more", lambda p: ~F.array_contains("pids", p))), 1, k).alias("pids"))
-    return by_rule.select("id", F.posexplode("pids").alias("rank", "pid")).select("id", (F.col("rank") + 1).alias("rank"), "pid")
+        more = pids(_similar(keyed.where(F.coalesce(F.size("v"), F.lit(0)) > 0).select("key", "v"), patterns, BEST, 0.3))
+        lists = lists.unionByName(more.select("key", "pids", F.lit(1).alias("turn"))).unionByName(by_rule.where("way = 'a'").select("key", "pids", F.lit(1).alias("turn")))
+    none = F.array().cast("array<bigint>")
+    both = lists.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("turn") == 0, F.col("pids"))), none).alias("pids"), F.coalesce(F.max(F.when(F.col("turn") == 1, F.col("pids"))), none).alias("more"))
+    new = F.filter("more", lambda p: ~F.exists("pids", lambda q: q.eqNullSafe(p)))
+    found = _answers(keyed, both.select("key", F.slice(F.concat("pids", new), 1, k).alias("pids")), "pids")
+    return found.select("id", F.posexplode("pids").alias("rank", "pid")).select("id", (F.col("rank") + 1).alias("rank"), "pid")
 
 
 def described(found: DataFrame, patterns: DataFrame) -> DataFrame:
