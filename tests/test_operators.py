@@ -55,23 +55,6 @@ def test_updates_never_double_rows(spark):
     assert [tuple(r) for r in store.append(table.limit(0), spark.createDataFrame([(30, "r")], "at long, name string"), "at").collect()] == [(1, "r")]
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 64])
-def test_places_and_sums_in_an_order(spark, monkeypatch, ranges):
-    monkeypatch.setattr(order.ranged, "__defaults__", (ranges,))
-    rows = [(i % 3, (i * 37) % 101 if i % 10 else 5, i) for i in range(200)] + [(1, None, 900)]
-    df = spark.createDataFrame(rows, "g int, at long, v long").repartition(5)
-    key = lambda r: (r[1] is None, r[1] or 0, r[2])
-    want, total = [], 0
-    for place, r in enumerate(sorted(rows, key=key), 1):
-        want.append((*r, place, total))
-        total += r[2]
-    both = order.running_sum(order.numbered(df, "at", ties=["v"]), "at", F.col("v"), "before", ties=["v"])
-    assert sorted(map(str, map(tuple, both.collect()))) == sorted(map(str, want))
-    by_group = [(r.g, r.at, r.v, r.p) for r in order.numbered(df, "at", "p", ["g"], ["v"]).collect()]
-    assert sorted(map(str, by_group)) == sorted(str((*r, 1 + sum(key(x) < key(r) for x in rows if x[0] == r[0]))) for r in rows)
-    assert order.numbered(df.limit(0), "at").count() == 0
-
-
 @pytest.mark.parametrize("a,b,want", [("", "x", 0.0), (None, "x", 0.0), ("a" * 100, "a" * 100, 1.0), ("a" * 50 + "b" * 50, "a" * 50 + "c" * 50, 1 / 3), ('{"b":1,"a":2}', '{"a": 2, "b": 1}', 1.0)])
 def test_similarity(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a string, b string")

@@ -67,7 +67,7 @@ def in_order(findings: DataFrame, seq: str, place: str = "_place") -> DataFrame:
     """Findings of shown severities (none counts as medium) with their place by severity, then arrival."""
     rank = severity_rank(F.coalesce("severity", F.lit("medium")))
     rows = findings.withColumn("_rank", rank).where(F.col("_rank") <= len(SHOWN))
-    return numbered(rows.withColumn("_order", F.col("_rank") * F.lit(1 << 50) + F.col(seq)), "_order", place).drop("_order", "_rank")
+    return numbered(rows, ["_rank", seq], place).drop("_rank")
 
 
 def markdown_report(findings: DataFrame, seq: str, platform: str = "butian", target: str = "", generated: str = "") -> DataFrame:

@@ -103,7 +103,7 @@ TITLES = {"STATUS_MISMATCH": "Authentication anomaly: ", "BODY_LEAK": "Unauthent
 
 def guides(findings: DataFrame) -> DataFrame:
     """Findings of diff() with the id F1, F2, ... in their order by severity and arrival, a title, a score and steps to verify them."""
-    place = numbered(findings.withColumn("_order", F.col("rank") * F.lit(1 << 50) + F.col("seq")), "_order", "_place", ties=["method", "path"])
+    place = numbered(findings, ["rank", "seq"], "_place", ties=["method", "path"])
     pick = lambda table: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)]), F.col("diff_type"))
     filled = lambda step: F.replace(F.replace(F.lit(step), F.lit("{path}"), F.col("path")), F.lit("{method}"), F.col("method"))
     steps = pick({k: F.array_join(F.array(*map(filled, v)), "\n") for k, v in STEPS.items()})
