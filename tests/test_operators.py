@@ -151,28 +151,6 @@ def test_index_and_encryption(spark):
     assert got == {"p": (10, 3, 0.3, "ionCube", "skip", "0.php,1.php,2.php"), "q": (0, 0, 0.0, "none", "safe", ""), "r": (1, 0, 0.0, "none", "safe", "")}
 
 
-def test_streams_carry_their_state(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    events = [(f"o{i % 2}", i, "act", None if i % 3 else "e", f"t{i}") for i in range(12)]
-
-    def put(n, rows):
-        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("owner", "seq", "action", "entity", "ts", "cost"), (*r, 10)))) for r in rows))
-
-    def run(made, out):
-        made.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c{out}").trigger(availableNow=True).start(f"{tmp_path}/{out}").awaitTermination()
-
-    source = lambda: spark.readStream.schema("owner string, seq long, action string, entity string, ts string, cost long").json(f"{tmp_path}/in")
-    for n, rows in enumerate((events[:5], events[5:])):
-        put(n, rows)
-        run(log.chained(source()), "chain")
-        run(log.budget(source().select("owner", "seq", "cost"), 40), "budget")
-    batch = store.hash_chain(spark.createDataFrame(events, "owner string, seq long, action string, entity string, ts string"), "owner")
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/chain").select("owner", "seq", "hash").collect()) == sorted(map(tuple, batch.collect()))
-    gate = store.budget_gate(spark.createDataFrame([(o, i, 10) for o, i, *_ in events], "owner string, seq long, cost long"), "owner", "seq", F.col("cost"), 40)
-    columns = ["owner", "seq", "spent_before", "refused"]
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/budget").select(columns).collect())) == sorted(map(tuple, gate.select(columns).collect()))
-
-
 def test_the_index_follows_files(spark, tmp_path):
     root = tmp_path / "src"
     root.mkdir()

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .order import numbered, running_sum
 
@@ -97,12 +98,19 @@ def link(before: str, action: str | None, entity: str | None, ts: str | None) ->
     return hashlib.sha256(f"{before}|{action or ''}|{entity or ''}|{ts or ''}".encode()).hexdigest()
 
 
-def hash_chain(events: DataFrame, owner: str) -> DataFrame:
-    """events (owner, seq, action, entity, ts text): owner, seq, hash of each, in a chain of each owner from 64 zeros on.
+def event_digest(*columns: str) -> Column:
+    """What decides between events of one owner that share a seq."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
 
-    A chain is one sequence by its nature, but no more of it than a batch is held at once: rows come sorted, and the
-    last hash is carried along. Nulls count as empty texts.
+
+def hash_chain(events: DataFrame, owner: str, keep: list[str] | None = None) -> DataFrame:
+    """events (owner, seq, action, entity, ts text): owner, seq, columns to keep, hash of each, in a chain of each owner from 64 zeros on.
+
+    Events are taken by seq, null first; those that share it by a digest of action, entity and time, so the order of input never
+    matters. A chain is one sequence by its nature, but no more of it than a batch is held at once: rows come sorted, and
+    the last hash is carried along. A null owner has a chain too. Nulls count as empty texts.
     """
+    kept = [owner, "seq", *(keep or [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last, started = None, GENESIS, False
@@ -113,12 +121,13 @@ def hash_chain(events: DataFrame, owner: str) -> DataFrame:
                     current, last, started = who, GENESIS, True
                 last = link(last, action, entity, ts)
                 hashes.append(last)
-            yield pa.record_batch([batch.column(owner), batch.column("seq"), pa.array(hashes, pa.string())], [owner, "seq", "hash"])
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(hashes, pa.string())], [*kept, "_hash"])
 
-    rows = events.select(owner, "seq", "action", "entity", "ts")
+    rows = events.select(*dict.fromkeys([*kept, "action", "entity", "ts"])).withColumn("_digest", event_digest("action", "entity", "ts"))
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (owner, "seq"))
-    return rows.repartition(n, owner).sortWithinPartitions(owner, "seq").mapInArrow(run, f"{kinds}, hash string")
+    schema = StructType([rows.schema[c] for c in kept] + [StructField("_hash", StringType())])
+    chained = rows.repartition(n, owner).sortWithinPartitions(owner, "seq", "_digest").mapInArrow(run, schema)
+    return chained if "hash" in kept else chained.withColumnRenamed("_hash", "hash")
 
 
 def chain_ends(chained: DataFrame, owner: str) -> DataFrame:
@@ -127,6 +136,5 @@ def chain_ends(chained: DataFrame, owner: str) -> DataFrame:
 
 
 def broken_links(stored: DataFrame, owner: str) -> DataFrame:
-    """stored (owner, seq, action, entity, ts, hash): events whose hash is not what the chain gives."""
-    right = hash_chain(stored, owner).withColumnRenamed("hash", "_right")
-    return stored.join(right, [owner, "seq"]).where(~F.col("hash").eqNullSafe(F.col("_right"))).drop("_right")
+    """stored (owner, seq, action, entity, ts, hash): events whose hash is not what the chain gives. One pass, no join."""
+    return hash_chain(stored, owner, [c for c in stored.columns if c not in (owner, "seq")]).where(~F.col("hash").eqNullSafe(F.col("_hash"))).select(stored.columns)
