@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators.agents import hook_id
 from ..operators.hooks import language_of
+from .elements import json_elements
 
 MOST_KB = 500
 LISTED = 50
@@ -60,8 +61,8 @@ def file_list(files: DataFrame, n: int = LISTED) -> DataFrame:
 
 
 _HEADERS = "array<struct<name:string,value:string>>"
-_HAR = f"log struct<entries:array<struct<request:struct<method:string,url:string,headers:{_HEADERS},postData:struct<text:string>>,response:struct<status:int,content:struct<size:bigint>>>>>"
-_PROXY = f"messages array<struct<request:struct<method:string,url:string,headers:{_HEADERS},body:string>,response:struct<status:int,headers:{_HEADERS},body:string>>>"
+_HAR = f"request struct<method:string,url:string,headers:{_HEADERS},postData:struct<text:string>>,response struct<status:int,content:struct<size:bigint>>"
+_PROXY = f"request struct<method:string,url:string,headers:{_HEADERS},body:string>,response struct<status:int,headers:{_HEADERS},body:string>"
 
 
 def last_headers(headers: Column) -> Column:
@@ -77,9 +78,8 @@ def netloc(url: Column) -> Column:
 
 
 def har(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
-    """Entries of HAR files in order; of headers with one name the last counts."""
-    raw = spark.read.schema(_HAR).option("multiLine", True).json(path)
-    e = raw.select(F.posexplode("log.entries").alias("seq", "e")).select("seq", "e.*")
+    """Entries of HAR files in order; seq is unique over all files, and a file of any size is read by many tasks. Of headers with one name the last counts."""
+    e = json_elements(spark, path, ("log", "entries")).select("seq", F.from_json("text", _HAR).alias("e")).select("seq", "e.*")
     rows = e.select(
         "seq", "request.method", "request.url", F.regexp_extract("request.url", r"^https?://[^/?#]*([^#]*)", 1).alias("path"), last_headers(F.col("request.headers")).alias("headers"),
         F.col("request.postData.text").alias("post_data"), "response.status", F.coalesce("response.content.size", F.lit(0)).alias("size"),
@@ -89,9 +89,9 @@ def har(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
 
 def proxy_export(spark: SparkSession, path: str, url_filter: str = "", limit: int = 500) -> DataFrame:
     """Messages of exported proxy histories: the first `limit` of each file whose address holds the filter."""
-    raw = spark.read.schema(_PROXY).option("multiLine", True).json(path)
-    some = F.slice(F.filter("messages", lambda m: F.contains(F.coalesce(m["request"]["url"], F.lit("")), F.lit(url_filter))), 1, limit)
-    m = raw.select(F.posexplode(some).alias("seq", "m")).select("seq", "m.*")
+    some = json_elements(spark, path, ("messages",)).select("file", "seq", F.from_json("text", _PROXY).alias("m"))
+    some = some.where(F.contains(F.coalesce("m.request.url", F.lit("")), F.lit(url_filter)))
+    m = some.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("seq"))).where(F.col("_n") <= limit).select("seq", "m.*")
     url = F.coalesce("request.url", F.lit(""))
     text = lambda c: F.coalesce(c, F.lit(""))
     return m.select(
@@ -101,15 +101,16 @@ def proxy_export(spark: SparkSession, path: str, url_filter: str = "", limit: in
     )
 
 
-_SAST = (
-    "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,"
-    "extra:struct<severity:string,lines:string,message:string,metadata:struct<cwe:array<string>,owasp:array<string>,source:string>>>>"
-)
+_SAST = "check_id string,path string,start struct<line:int>,end struct<line:int>,extra struct<severity:string,lines:string,message:string,metadata:struct<cwe:array<string>,owasp:array<string>,source:string>>"
 
 
 def sast_rows(raw: DataFrame) -> DataFrame:
     """raw (results as in a scanner's report) as hooks; of equal (path, start, end, check) the first counts."""
-    rows = raw.select(F.posexplode("results").alias("seq", "r"))
+    return _sast_hooks(raw.select(F.posexplode("results").alias("seq", "r")))
+
+
+def _sast_hooks(rows: DataFrame) -> DataFrame:
+    """rows (seq, r), r as in _SAST."""
     level = F.create_map(*[F.lit(x) for x in ("ERROR", "high", "WARNING", "medium", "INFO", "low")])
     check, extra = F.coalesce("r.check_id", F.lit("unknown")), F.col("r.extra")
     message = F.coalesce(extra["message"], F.lit(""))
@@ -130,5 +131,5 @@ def sast_rows(raw: DataFrame) -> DataFrame:
 
 
 def sast_report(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of scanner reports as hooks."""
-    return sast_rows(spark.read.schema(_SAST).option("multiLine", True).json(path))
+    """Rows of scanner reports as hooks; of equal ones the first in the order of files and places counts."""
+    return _sast_hooks(json_elements(spark, path, ("results",)).select("seq", F.from_json("text", _SAST).alias("r")))
