@@ -6,9 +6,9 @@ TABLES = "customer supplier part orders lineitem events documents embeddings pag
 
 
 def _plans():
-    from vigilake.plans import audit, catalog, findings, projects, reporting
+    from vigilake.plans import audit, catalog, findings, projects, reporting, stored
 
-    return catalog, findings, audit, projects, reporting
+    return catalog, findings, audit, projects, reporting, stored
 
 
 def _names():

@@ -1,6 +1,7 @@
 """Streams whose rows arrive out of order against the batch tables."""
 
 import json
+import os
 import random
 
 import pytest
@@ -33,6 +34,7 @@ def test_rows_out_of_order_give_the_batch_chain(spark, tmp_path):
         for part in half:
             n = len(list((tmp_path / "in").iterdir()))
             (tmp_path / "in" / f"{n:04d}.json").write_text("\n".join(json.dumps(dict(zip((c.split()[0] for c in SCHEMA.split(", ")), r))) for r in part))
+            os.utime(tmp_path / "in" / f"{n:04d}.json", (n + 1, n + 1))  # files are taken by their time
         for name, made in (("chain", log.chained(source(), "1 minute")), ("budget", log.budget(source(), 100, delay="1 minute"))):
             made.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c{name}").trigger(availableNow=True).start(f"{tmp_path}/{name}").awaitTermination()
     df = spark.createDataFrame([(*r[:-1], None) for r in events()], SCHEMA)
@@ -52,6 +54,7 @@ def test_state_starts_from_a_table(spark, tmp_path):
     old, new = [r for r in rows if r[1] < 20], [r for r in rows if r[1] >= 20] + [("end", 0, None, None, None, None, "2024-01-02 00:00:00")]
     for i, part in enumerate((new, new[-1:])):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(dict(zip((c.split()[0] for c in SCHEMA.split(", ")), r))) for r in part))
+        os.utime(tmp_path / "in" / f"{i}.json", (i + 1, i + 1))
     frame = lambda x: spark.createDataFrame([(*r[:-1], None) for r in x], SCHEMA)
     ends = store.chain_ends(store.hash_chain(frame(old), "owner"), "owner").select("owner", F.col("n_events").alias("place"), F.col("last_hash").alias("last"))
     made = log.chained(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in"), "1 minute", ends)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from .hooks import language_of
+from .order import running_sum
+from .tables import settle
 
 MARKER = "FINAL_RESULT"
 SNIPPET = 3000
@@ -75,6 +77,32 @@ def advance(hooks: DataFrame, asked: DataFrame, answers: DataFrame) -> DataFrame
     return rows.withColumns({"status": status, "confidence": confidence}).select(hooks.columns)
 
 
+def audit_rounds(hooks: DataFrame, answers: DataFrame, budget: int, rounds: int = 3, share: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Rounds of asking until nothing is left to ask, the budget is spent or `rounds` are over: hooks at the end, and a row for each round.
+
+    hooks (hook_id, seq, status, confidence, ...), answers (round, hook_id, raw, cost). In a round every hook still pending or in analysis is
+    asked, in the order of seq, as long as what was spent before it stays below share * budget: earlier rounds, and the costs of the
+    round's earlier calls. An answered hook is settled by its answer; one without an answer, or whose answer holds nothing, stays. A null cost is 0. The rows of
+    rounds: round, asked, refused, spent (after the round). A round's result is a written table; only its three sums reach the driver.
+    """
+    spark, gate, spent, log = hooks.sparkSession, int(budget * share), 0, []
+    now = hooks
+    for r in range(1, rounds + 1):
+        mine = answers.where(F.col("round") == r).select("hook_id", "raw", F.coalesce("cost", F.lit(0)).cast("long").alias("_cost"))
+        open_ = now.where(F.col("status").isin("pending", "analyzing")).select("hook_id", "seq").join(mine, "hook_id", "left")
+        calls = settle(running_sum(open_, "seq", F.coalesce("_cost", F.lit(0)), "_before", ties=["hook_id"]).withColumn("_asked", F.col("_before") + spent < gate), "calls")
+        tally = calls.agg(F.count_if("_asked").alias("asked"), F.count_if(~F.col("_asked")).alias("refused"), F.coalesce(F.sum(F.when(F.col("_asked"), F.col("_cost"))), F.lit(0)).alias("cost")).first()
+        if not tally.asked and not tally.refused:
+            break
+        spent += tally.cost
+        log.append((r, tally.asked, tally.refused, spent))
+        asked = calls.where("_asked")
+        now = settle(advance(now, asked.select("hook_id"), asked.where("raw is not null").select("hook_id", "raw")), "round")
+        if not tally.asked:
+            break
+    return now, spark.createDataFrame(log, "round int, asked long, refused long, spent long")
+
+
 def hook_id(path: Column, func: Column, line: Column) -> Column:
     """The id of a hook that names none: of its path, function and first line; nulls read None."""
     told = lambda c: F.coalesce(c.cast("string"), F.lit("None"))

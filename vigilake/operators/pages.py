@@ -85,6 +85,33 @@ def subdomains(html: Column, host: Column, seen: Column | None = None) -> Column
     return found if seen is None else F.array_except(found, seen)
 
 
+def first_sight(pages: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """pages (site, seq, url, html): for each page that shows hosts below its site's root which no earlier page of the site did: site, seq, url, n, hosts.
+
+    A host is new on the page where it is seen first by seq (of equal ones the smaller url); seen (site, host) were known before. Each
+    (site, host) meets once, in a pre-aggregated minimum, however many pages show it; hosts are told apart as they are written.
+    """
+    shown = pages.select("site", "seq", "url", F.explode(subdomains(F.col("html"), F.col("site"))).alias("host"))
+    first = shown.groupBy("site", "host").agg(F.min(F.struct("seq", "url")).alias("f"))
+    if seen is not None:
+        first = first.join(seen.select("site", "host").distinct(), ["site", "host"], "left_anti")
+    return first.groupBy("site", "f.seq", "f.url").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("host")).alias("hosts"))
+
+
+def first_sight_stream(pages: DataFrame, forget: str) -> DataFrame:
+    """A stream of pages (site, url, html, at timestamp): site, url, host, at of each host when it is first seen; what was not seen for `forget` is new again."""
+    shown = pages.select("site", "url", "at", F.explode(subdomains(F.col("html"), F.col("site"))).alias("host"))
+    return shown.withWatermark("at", forget).dropDuplicatesWithinWatermark(["site", "host"])
+
+
+SCRIPTS_READ, ENDPOINTS_ASKED = 20, 40
+
+
+def scripts_read(html: Column, base: Column, most: int = SCRIPTS_READ) -> Column:
+    """The scripts of a page that are looked into: the first ones by address."""
+    return F.slice(script_urls(html, base), 1, most)
+
+
 MOST_SECRETS, MOST_ROUTES = 3, 15
 
 

@@ -111,6 +111,29 @@ def guides(findings: DataFrame) -> DataFrame:
     return place.select(F.concat(F.lit("F"), F.col("_place").cast("string")).alias("finding_id"), "seq", "severity", "diff_type", title.alias("title"), F.col("guide_score").alias("confidence"), F.lit(False).alias("auto_verifiable"), steps.alias("steps"))
 
 
+def traffic_report(messages: DataFrame, target: str = "") -> DataFrame:
+    """messages (seq, method, path, headers map, status, body, cors): the lines (part, seq, n, line) of a report on what differs without signing in.
+
+    Parts: how many requests were signed in and anonymous, the differences by severity and arrival, guides to verify them. Details are cut at 80 letters.
+    """
+    ours, theirs = messages.where(signed_in(F.col("headers"))), messages.where(anonymous(F.col("headers")))
+    keep = ["seq", "method", "path", "status", "body", "cors"]
+    found = diff(ours.select(keep), theirs.select(keep))
+    told = numbered(found, ["rank", "seq"], "_place", ties=["method", "path"])
+    tally = messages.agg(F.count_if(signed_in(F.col("headers"))).alias("a"), F.count_if(anonymous(F.col("headers"))).alias("b")).crossJoin(found.agg(F.count("*").alias("c")))  # one row each
+    once = lambda part, *lines: tally.select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("seq"), F.posexplode(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in lines])).alias("n", "line"))
+    each = lambda rows, part, place, lines: rows.select(F.lit(part).alias("part"), place.cast("long").alias("seq"), F.posexplode(lines).alias("n", "line"))
+    head = once(1, f"[TRAFFIC_DIFF] target: {target or 'all'}", F.format_string("  Signed-in requests: %d", "a"), F.format_string("  Anonymous requests: %d", "b"), "", F.format_string("  Differences: %d", "c"))
+    detail = F.concat(F.col("diff_type"), F.lit(": "), F.col("status_in").cast("string"), F.lit(" signed in, "), F.coalesce(F.col("status_anon").cast("string"), F.lit("no status")), F.lit(" without"))
+    differences = each(told, 2, F.col("_place"), F.array(F.format_string("    [%s] %s %s", "severity", "method", "path"), F.concat(F.lit("           "), F.substring(detail, 1, 80), F.lit("..."))))
+    guide = guides(found)
+    steps = F.transform(F.split("steps", "\n"), lambda s: F.concat(F.lit("      "), s))
+    by_hand = F.when(~F.col("auto_verifiable"), F.array(F.lit("      [!] To be verified by hand"))).otherwise(F.array().cast("array<string>"))
+    title = F.array(F.concat(F.lit("    ["), "finding_id", F.lit("] "), "title", F.lit(" (confidence: "), F.col("confidence").cast("string"), F.lit("%)")))
+    guided = each(guide, 4, F.substring("finding_id", 2, 20), F.concat(title, steps, by_hand))
+    return head.unionByName(differences).unionByName(once(3, "", F.format_string("  Guides (%d):", "c"))).unionByName(guided)
+
+
 def api_endpoints(requests: DataFrame) -> DataFrame:
     """requests (method, path): distinct 'METHOD path' of paths that look like an interface."""
     is_api = F.exists(F.array(*map(F.lit, R.API_PATHS)), lambda p: F.contains(F.col("path"), p))
