@@ -78,3 +78,15 @@ def test_buckets_of_different_texts_are_told_apart(spark, monkeypatch):
         assert (g[5], g[6]) == w[3:5]
         for f, c in ((g[3], w[5]), (g[4], w[6])):
             assert by_print.setdefault(f, c) == c
+
+
+@pytest.mark.parametrize("ranges,equal", [(3, 10), (16, 100), (4, 10**6)])
+def test_equal_rows_are_told_as_one(spark, ranges, equal):
+    rows = ROWS + [(2500, "again and again é", None, None, None)] * 700 + [(2600, None, None, None, None)] * 300 + [(2700, "x", None, None, None)] * 5
+    got = sorted((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in op4.fingerprints(frame(spark, rows), ranges, equal).collect())
+    assert got == sorted(w[:5] for w in brute(rows))
+    same = [(1, "all the same", None, None, None)] * 400
+    got = op4.fingerprints(frame(spark, same), ranges, equal).collect()
+    assert len(got) == 400 and {r.near_next for r in got} == {1.0} and len({r.edited_sha256 for r in got}) == 1
+    base, _ = op4.digests(frame(spark, rows), ranges, equal)
+    assert "Python" not in base._jdf.queryExecution().toString()

@@ -9,7 +9,8 @@ canonical bytes, else 0.
 
 The document that follows in doc_id order is found without a global sort: the order (doc_id, null last, then a digest
 of the text) is cut at quantiles of doc_id, and where many rows share a doc_id at equal steps of the digest. The first
-document of each range is also placed at the end of the range before it (the first of all after the last).
+document of each range is also placed at the end of the range before it (the first of all after the last). Rows that are equal
+in doc_id and text and more than a range should hold are one row with their number there: each but the last is followed by its like.
 
 Unicode forms come from the JVM's own library, called through the SQL function reflect().
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, table, wide_hash
 
+#: Rows of one doc_id and text that are told as one with their number, if they are more than this and than a quarter of a range.
+EQUAL = 1_000
 _KEY = "struct<no_id:boolean,id:bigint,tie:bigint>"
 _LEAST = -(1 << 63)
 
@@ -66,23 +69,37 @@ def _cuts(base: DataFrame, ranges: int) -> list[tuple]:
     return sorted((r.key.no_id, r.key.id, r.key.tie) for r in firsts)
 
 
-def digests(docs: DataFrame, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _counted(base: DataFrame, ranges: int, equal: int) -> DataFrame:
+    """base with `copies`: rows of one key that are many and equal become one. There are at most 4 * ranges such keys."""
+    bound = max(equal, base.count() // (4 * ranges))
+    heavy = settle(base.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("key"), "heavy")
+    if heavy.isEmpty():
+        return base.withColumn("copies", F.lit(1).cast("long"))
+    many = base.join(F.broadcast(heavy), "key", "left_semi").groupBy("doc_id", "text", "key").agg(F.count("*").alias("copies"))
+    return base.join(F.broadcast(heavy), "key", "left_anti").withColumn("copies", F.lit(1).cast("long")).unionByName(settle(many, "equal"))
+
+
+def digests(docs: DataFrame, ranges: int | None = None, equal: int = EQUAL) -> tuple[DataFrame, DataFrame]:
     """Digests of each text, of its edited text and of what follows; and the canonical forms (h1, h2, canon) of all texts."""
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("tie"))
-    base = base.withColumn("key", key)
+    base = _counted(base.withColumn("key", key), ranges, equal)
     h1, h2 = wide_hash(F.col("canon"))
     hashed = base.withColumn("canon", canonical(F.col("text"))).withColumns({"h1": h1, "h2": h2})
 
     cuts = _cuts(base, ranges)
     own, first = _range_of(cuts or [(False, _LEAST, _LEAST)], F.col("key"))
-    rows = hashed.select("doc_id", "key", "text", "h1", "h2", F.unhex(F.sha2("canon", 256)).alias("sha"), own.alias("own"), (first == F.col("key")).alias("is_first"))
+    rows = hashed.select("doc_id", "key", "text", "copies", "h1", "h2", F.unhex(F.sha2("canon", 256)).alias("sha"), own.alias("own"), (first == F.col("key")).alias("is_first"))
     here, before = F.struct(F.col("own").alias("range"), F.lit(False).alias("copy")), F.struct(F.when(F.col("own") > 1, F.col("own") - 1).otherwise(len(cuts)).alias("range"), F.lit(True).alias("copy"))
     rows = rows.withColumn("at", F.explode(F.when(F.col("is_first"), F.array(here, before)).otherwise(F.array(here)))).select("*", "at.range", "at.copy")
     order = Window.partitionBy("range").orderBy("copy", "key")
     follow = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "h1", "h2")}).where("not copy")
+    # of copies the last is followed by the next row, all others by one like themselves
+    turns = F.when(F.col("copies") > 1, F.array(F.lit(1).cast("long"), F.col("copies") - 1)).otherwise(F.array(F.lit(1).cast("long")))
+    follow = follow.select("*", F.posexplode(turns).alias("itself", "times"))
+    follow = follow.withColumns({f"next_{c}": F.when(F.col("itself") == 1, F.col(c)).otherwise(F.col(f"next_{c}")) for c in ("text", "h1", "h2")})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = follow.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
@@ -93,8 +110,9 @@ def digests(docs: DataFrame, ranges: int | None = None) -> tuple[DataFrame, Data
     mine = edited.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "h1", "h2", "e1", "e2", "sha", F.unhex(F.sha2("canon_edited", 256)).alias("edited_sha"),
         same(F.col("e1"), F.col("e2"), lambda: canonical(F.col("text")) == F.col("canon_edited")).alias("near_edited"),
-        same(F.col("next_h1"), F.col("next_h2"), lambda: canonical(F.col("text")) == canonical(F.col("next_text"))).alias("near_next"),
+        same(F.col("next_h1"), F.col("next_h2"), lambda: canonical(F.col("text")) == canonical(F.col("next_text"))).alias("near_next"), "times",
     )
+    mine = mine.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_i", "times")
     return mine, hashed.select("h1", "h2", "canon")
 
 
@@ -103,9 +121,9 @@ def _several(rows: DataFrame, what: str) -> DataFrame:
     return rows.groupBy("h1", "h2", what).agg(F.count("*")).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
 
 
-def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None, equal: int = EQUAL) -> DataFrame:
     """docs (doc_id, text): fingerprint of each text and of its edited text, and their likeness."""
-    mine, forms = digests(docs, ranges)
+    mine, forms = digests(docs, ranges, equal)
     mine = settle(mine, "fingerprints")
     prints = mine.select("h1", "h2", "sha").unionByName(mine.select(F.col("e1").alias("h1"), F.col("e2").alias("h2"), F.col("edited_sha").alias("sha")))
     shared = settle(_several(forms, "canon").unionByName(_several(prints, "sha")).distinct(), "shared")
