@@ -125,7 +125,7 @@ def test_answers_of_agents(spark):
     asked = {r.hook_id: tuple(r)[1:] for r in agents.audit_context(hook, chunk, near, files).collect()}
     assert asked == {"h": (3, 4, "why", "whole file", "one\n\ntwo"), "i": (7, 9, "risk", "code", "(no additional context available)"), "j": (1, 1, "Suspicious call detected", "(unable to extract code)", "(no additional context available)")}
     told = agents.class_reference().split("\n")
-    assert told[0] == "## CWE Quick Reference (Top 18)" and len(told) == 2 + 3 * 18 and told[8:11] == ["- **CWE-89** SQL Injection", "  Code signals: string-concatenated SQL, format() in query, .execute() without parameterization", "  Fix: Prepared statements, ORM, input validation"]
+    assert told[0] == "## 18 classes of weaknesses" and len(told) == 2 + 3 * 18 and told[8:11] == ["- CWE-89: Query text built from input", "  Look for: SQL joined from strings; values formatted into a statement", "  What helps: bind values as parameters"]
     finding = {n: F.lit(None).cast("string") for n in ("id", "title", "severity", "cwe", "confidence", "description", "path", "func", "language")} | {"title": F.lit("T")}
     assert "## Charge: T\n" in hook.select(agents.charge(finding, F.col("snippet")).alias("c")).first().c
 

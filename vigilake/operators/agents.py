@@ -176,8 +176,8 @@ def trials(transcript: DataFrame) -> DataFrame:
 
 def class_reference() -> str:
     """What a prompt says of the classes: name, what it looks like in code, and advice."""
-    told = (f"- **{cwe}** {name}\n  Code signals: {', '.join(signals)}\n  Fix: {fix}" for cwe, (name, signals, fix) in R.CLASSES.items())
-    return "\n".join([f"## CWE Quick Reference (Top {len(R.CLASSES)})", "", *told])
+    told = (f"- {cwe}: {name}\n  Look for: {'; '.join(signals)}\n  What helps: {fix}" for cwe, (name, signals, fix) in R.CLASSES.items())
+    return "\n".join([f"## {len(R.CLASSES)} classes of weaknesses", "", *told])
 
 
 def charge(finding: dict[str, Column], code: Column) -> Column:
