@@ -57,3 +57,23 @@ def test_many_members_and_broken_archives():
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     assert op7.read_archives(op7.normalise_archives(op7.write_archives(df, f"file://{tmp_path}/e"))).count() == 0
+
+
+def test_a_long_record_is_read_in_blocks(tmp_path):
+    import tracemalloc
+
+    payload = b"long page\r\n\r\n" * 4_000_000
+    member = gzip.compress(op7.record(7, "http://x", payload, "response", None), 1)
+    (tmp_path / "a").write_bytes(b"before" + member + b"behind")
+    with open(tmp_path / "a", "rb") as file:
+        file.seek(6)
+        tracemalloc.start()
+        h, http, size, digest = op7.streamed_member(file, len(member))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert (size, digest) == (len(payload), op7.digest32(payload)) and h["warc-type"] == "response" and peak < 2_000_000
+    short = gzip.compress(op7.record(7, "http://x", payload[:100], "response", None)[:-60])
+    with pytest.raises(ValueError):
+        op7.streamed_member(io.BytesIO(short), len(short))
+    with pytest.raises(ValueError):
+        op7.streamed_member(io.BytesIO(gzip.compress(b"no head at all")), 40)

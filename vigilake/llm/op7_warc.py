@@ -6,7 +6,8 @@
    attempt, and only files named in a finished task's row are read, so lost executors leave no half file in use.
 3. The normaliser inflates each file once as a stream, whatever its size, rewrites each record as a gzip member of
    its own and writes a sidecar index (offset, length, type, record id).
-4. Reading back seeks each member by the index and inflates it alone. Small archives share a task.
+4. Reading back seeks each member by the index and inflates it alone, as a stream: of a payload no more than a block is held.
+   Small archives share a task.
 
 Nulls, ties: a null html is an empty payload, a null url has no target line. A null page_id comes after all others.
 Rows with the smallest page_id of a payload are all responses if there are several; rows that repeat a page_id are records
@@ -175,6 +176,45 @@ def read_member(data: bytes) -> tuple[dict[str, str], bytes]:
     return h, rest[: int(h["content-length"])]
 
 
+def _inflated(file, length: int) -> Iterator[bytes]:
+    """A member's bytes in blocks."""
+    inflate = zlib.decompressobj(31)
+    while length > 0 and (raw := file.read(min(length, _READ))):
+        length -= len(raw)
+        while raw:
+            yield inflate.decompress(raw, _READ)
+            raw = inflate.unconsumed_tail
+    yield inflate.flush()
+
+
+def _upto(held: bytes, source: Iterator[bytes]) -> tuple[bytes, bytes]:
+    """What stands before the next empty line, and what was read behind it. Heads are short; one of over a megabyte is none."""
+    while b"\r\n\r\n" not in held:
+        more = next(source, None)
+        if more is None or len(held) > 1 << 20:
+            raise ValueError("a record without the end of its head")
+        held += more
+    head, _, rest = held.partition(b"\r\n\r\n")
+    return head, rest
+
+
+def streamed_member(file, length: int) -> tuple[dict[str, str], bytes, int, str]:
+    """Headers of a record, of its HTTP message, size and base-32 SHA-1 of the payload, of which no more than a block is held."""
+    source = _inflated(file, length)
+    head, rest = _upto(b"", source)
+    h = headers(head)
+    http, rest = _upto(rest, source)
+    left = size = int(h["content-length"]) - len(http) - 4
+    sha = hashlib.sha1()
+    for block in itertools.chain([rest], source):
+        sha.update(block[:left])
+        left -= min(left, len(block))
+    if left:
+        raise ValueError("a record is shorter than its head says")
+    return h, http, size, base64.b32encode(sha.digest()).decode()
+
+
+_READ = 1 << 16
 _RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
@@ -185,11 +225,10 @@ def _records(path: str) -> Iterator[tuple]:
     with fs.open_input_file(at) as file:
         for offset, length, kind, key in index:
             file.seek(int(offset))
-            h, block = read_member(file.read(int(length)))
-            http, _, payload = block.partition(b"\r\n\r\n")
+            h, http, held, found = streamed_member(file, int(length))
             digest = h["warc-payload-digest"].removeprefix("sha1:")
             size = int(re.search(rb"(?im)^content-length: (\d+)", http)[1])
-            if h["warc-type"] != kind or h["warc-record-id"] != key or kind == "response" and (digest32(payload) != digest or len(payload) != size):
+            if h["warc-type"] != kind or h["warc-record-id"] != key or kind == "response" and (found != digest or held != size):
                 raise ValueError(f"{path} at {offset}: the record does not match its index or digest")
             number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
             yield number("x-page-id"), size, digest, kind, number("x-refers-to-page"), h.get("warc-target-uri"), path, int(offset), int(length)
