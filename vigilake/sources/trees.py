@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ def _any_case(ending: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ending)
 
 
-def _files(spark: SparkSession, root: str, endings: list[str]) -> DataFrame:
-    """Files below a root whose names have one of the endings, which the listing itself sees to: path (below root), length, modified, content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(map(_any_case, endings)) + "}").load(root)
+def _files(spark: SparkSession, root: str, endings: list[str], named: list[str] | None = None) -> DataFrame:
+    """Files below a root whose names have one of the endings, which the listing itself sees to: path (below root), length, modified, content. named: only these paths below the root."""
+    at = root if named is None else [re.sub(r"([\\{}\[\]*?])", r"\\\1", f"{root.rstrip('/')}/{p}") for p in named]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(map(_any_case, endings)) + "}")
+    files = reader.load(at) if at else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     below = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
     prefix = "/" + root.split(":", 1)[-1].strip("/") + "/" if root.strip("/") else "/"
     return files.select(F.substring(below, len(prefix) + 1, 1 << 20).alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
@@ -44,9 +48,14 @@ def source_tree(spark: SparkSession, root: str, max_kb: int = MOST_KB, endings:
     return rows.select("path", "language", "length", "modified", as_text(F.col("content")).alias("content"))
 
 
-def whole_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a tree of any size and in any folder: what chunks are made of."""
-    rows = _files(spark, root, list(R.LANGUAGES)).withColumn("language", language_of(F.col("path"))).where("language is not null")
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root), modified and length of the source files of a tree; their contents are not read."""
+    return _files(spark, root, list(R.LANGUAGES)).select("path", "modified", "length")
+
+
+def whole_tree(spark: SparkSession, root: str, named: list[str] | None = None) -> DataFrame:
+    """Files of a tree of any size and in any folder: what chunks are made of. named: only these paths below the root."""
+    rows = _files(spark, root, list(R.LANGUAGES), named).withColumn("language", language_of(F.col("path"))).where("language is not null")
     return rows.select("path", "language", "length", "modified", as_text(F.col("content")).alias("content"))
 
 
