@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from .hooks import language_of, scan_lines
+from .intervals import SLAB, innermost
 from .lexer import LANGUAGES, Call, Chunk, Source
 
 AROUND = 2
@@ -123,7 +124,7 @@ def _mapped(files: DataFrame, rows_of: Callable, columns: str) -> DataFrame:
     """files (path, content, and language if it is known): path, language and the columns of each row that rows_of makes of a file."""
     language = F.col("language") if "language" in files.columns else language_of(F.col("path"))
     names = [c.split(" ")[0] for c in columns.split(", ")]
-    types = [{"string": pa.string(), "int": pa.int32()}[c.split(" ")[1]] for c in columns.split(", ")]
+    types = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split(" ")[1]] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +146,35 @@ def calls(files: DataFrame) -> DataFrame:
     return _mapped(files, _calls, "called string, enclosing string, func_line int, line_start int, line_end int, snippet string")
 
 
+_LINE = 1 << 20  # columns of a line on the axis of places
+
+
+def _marks(read: ast.AST | Source, _content: str, language: str) -> Iterator[tuple]:
+    """Calls and the functions that can be around them, by place in the file; a call has no last place."""
+    if language == "python":
+        for node, _, _ in _walk(read):
+            if isinstance(node, ast.Call) and (name := _callee(node.func)):
+                yield name, node.lineno * _LINE + node.col_offset, None, node.lineno, node.end_lineno
+            elif isinstance(node, _FUNCTIONS):
+                yield node.name, node.lineno * _LINE + node.col_offset, node.end_lineno * _LINE + node.end_col_offset - 1, node.lineno, node.end_lineno
+    elif language != "php":
+        for i, name, first, last in read.placed_calls():
+            yield name, i * _LINE, None, first, last
+        for name, line, first, last in read.functions():
+            yield name, first * _LINE, last * _LINE, line, None
+
+
+def calls_by_sweep(files: DataFrame, slab: int = SLAB) -> DataFrame:
+    """files (path, content): path, called, enclosing, func_line, line_start, line_end of each call, as calls() has them.
+
+    The parser tells only where calls and functions stand; the function around a call is found by a sweep over both, in slabs of
+    about `slab` lines (of Python) or tokens, so a file of any length is many tasks' work after it is read.
+    """
+    marks = _mapped(files, _marks, "name string, at long, last long, line_start int, line_end int")
+    found = innermost(marks, "path", ["name", "line_start"], slab * _LINE)
+    return found.select("path", F.col("name").alias("called"), F.col("around.name").alias("enclosing"), F.coalesce("around.line_start", F.lit(0)).alias("func_line"), "line_start", "line_end")
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """files (path, content): each function, method and class, nested ones too, with the class around it and an id of path, name and line."""
     rows = _mapped(files, _chunks, "kind string, name string, parent string, signature string, line_start int, line_end int, body string")

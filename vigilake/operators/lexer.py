@@ -320,11 +320,23 @@ class Source:
         return out
 
     # what is asked for
+    def functions(self) -> list[tuple[str, int, int, int]]:
+        """Functions whose calls are theirs: name, line, first and last token."""
+        return [(s.name, self.tokens[s.first].line, s.first, s.last) for s in self.shapes if s.encloses]
+
     def calls(self) -> list[Call]:
-        """Calls of names, in order. A member's name counts; of a Java member of a plain name that name does; of what a call returns, that call's name."""
-        out: list[Call] = []
+        """Calls of names, in order, with the innermost function around each."""
+        functions, out = self.functions(), []
+        for i, name, first, last in self.placed_calls():
+            around = [f for f in functions if f[2] <= i <= f[3]]
+            inner = min(around, key=lambda f: f[3] - f[2]) if around else (None, 0)
+            out.append(Call(name, inner[0], inner[1], first, last))
+        return out
+
+    def placed_calls(self) -> list[tuple[int, str, int, int]]:
+        """Token, name, first and last line of calls of names, in order. A member's name counts; of a Java member of a plain name that name does; of what a call returns, that call's name."""
+        out: list[tuple[int, str, int, int]] = []
         named: dict[int, str] = {}  # by the bracket that opens the arguments
-        functions = [s for s in self.shapes if s.encloses]
         for i in range(len(self.tokens)):
             if self.t(i) != "(":
                 continue
@@ -339,9 +351,7 @@ class Source:
                 if self.language == "java" and self.t(i - 2) == "." and self.is_name(i - 3) and self.t(i - 3) not in ("this", "super") and self.t(i - 4) != ".":
                     name = self.t(i - 3)
             named[i] = name
-            around = [s for s in functions if s.first <= i <= s.last]
-            inner = min(around, key=lambda s: s.last - s.first) if around else None
-            out.append(Call(name, inner.name if inner else None, self.tokens[inner.first].line if inner else 0, self.tokens[first].line, self.tokens[self.close.get(i, i)].line))
+            out.append((i, name, self.tokens[first].line, self.tokens[self.close.get(i, i)].line))
         return out
 
     def _chain_start(self, i: int) -> int:

@@ -232,6 +232,7 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "file_calls": lambda s, d: K.calls(_files(s, d)).drop("language", "snippet"),
+        "calls_by_sweep": lambda s, d: K.calls_by_sweep(_files(s, d)),
         "hook_snippets": lambda s, d: K.extract(_files(s, d)).select("path", "line_start", "called", "snippet"),
         "file_hooks": lambda s, d: K.extract(_files(s, d)).select("path", "func", "hook_type", "severity", "cwe", "line_start", "called"),
         "file_chunks": lambda s, d: K.chunks(_files(s, d)).select("path", "kind", "name", "parent", "signature", "line_start", "line_end", "chunk_id"),
@@ -292,6 +293,7 @@ def oracle_sql() -> dict[str, str]:
     of_hook = f"with c as ({chunk}), h as ({hook}), f as (select path, name, min({{'a': a, 'b': -b, 'sig': sig, 'body': body}}) as x from c group by 1, 2), m as (select hook_id, func, x.a as line_start, -x.b as line_end, x.sig || chr(10) || x.body as snippet from h left join f on path = hook_id and name = func)"
     return {
         "file_calls": f"select {_PATH} as path, called, enclosing, cast(fl as int) as func_line, cast(a as int) as line_start, cast(b as int) as line_end from {_expected(lambda f: f[2], 'called, enclosing, fl, a, b')}",
+        "calls_by_sweep": f"select {_PATH} as path, called, enclosing, cast(fl as int) as func_line, cast(a as int) as line_start, cast(b as int) as line_end from {_expected(lambda f: f[2], 'called, enclosing, fl, a, b')}",
         "hook_snippets": f"select {_PATH} as path, cast(line as int) as line_start, called, snippet from {_expected(lambda f: [(h[4], h[5], _shown(f, h)) for h in f[3]], 'line, called, snippet')}",
         "file_hooks": f"select {_PATH} as path, func, hook_type, severity, cwe, cast(line as int) as line_start, called from {hooks}",
         "file_chunks": f"select {_PATH} as path, kind, name, parent, signature, cast(a as int) as line_start, cast(b as int) as line_end, substr(sha256({_PATH} || ':' || name || ':' || cast(a as varchar)), 1, 12) as chunk_id from {chunks}",
