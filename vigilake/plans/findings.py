@@ -19,7 +19,15 @@ CLAIMS = [
     "load_data() fails, load_data() again; print() print() login() login(). From core/db.go it reads path \" conf0.yml \".",
     "",
     None,
+    "See File \"src/x.ts\" and path 'docs/readme.md'; from 'core/db.go' nothing.",
+    "severity critical: it never returns. CWE-22",
+    "check_input() once; then do_it() do_it() do_it(); is_ok()is_ok().",
+    "ALWAYS\nnever, from util.py on. Severity:  medium, not CWE-862 alone",
 ]
+#: Derived by hand from the texts above, by their place: names of files that are none, functions that are none with how often, (contradiction, wrong severity).
+NO_FILES = [(1, "lib/missing.py"), (3, "conf0.yml"), (6, "src/x.ts"), (6, "docs/readme.md"), (6, "src/x.ts"), (6, "docs/readme.md"), (9, "util.py")]
+NO_FUNCTIONS = [(0, "run_query", 2), (3, "load_data", 2), (8, "do_it", 3), (8, "is_ok", 2)]
+LOGIC = [(False, False), (False, True), (True, False), (False, False), (False, False), (False, False), (False, False), (False, True), (False, False), (True, False)]
 FILES, FUNCTIONS = ["app.py", "core/db.go"], ["login"]
 #: Set-Cookie, Access-Control-Allow-Origin, Access-Control-Allow-Credentials, other header names
 CAPTURED = [
@@ -28,6 +36,14 @@ CAPTURED = [
     (None, "https://a.example", "true", "CONTENT-SECURITY-POLICY"),
     ("", None, None, "Server"),
 ]
+#: Of these, by hand: headers that are missing, cookies with what they lack.
+MISSING = [
+    "Strict-Transport-Security,Content-Security-Policy,X-Content-Type-Options,Referrer-Policy,Permissions-Policy",
+    "Strict-Transport-Security,Content-Security-Policy,X-Frame-Options,X-Content-Type-Options,Permissions-Policy",
+    "Strict-Transport-Security,X-Frame-Options,X-Content-Type-Options,Referrer-Policy,Permissions-Policy",
+    "Strict-Transport-Security,Content-Security-Policy,X-Frame-Options,X-Content-Type-Options,Referrer-Policy,Permissions-Policy",
+]
+WEAK = ["", "a: missing HttpOnly, SameSite; b: missing Secure, HttpOnly, SameSite; 01 Jan; HttpOnly: missing Secure, SameSite", "", ""]
 #: path, content
 SOURCES = [
     ("app/a.py", "import os\n\n\ndef login(user):\n    os.system(user)\n    return eval(user)\n"),
@@ -130,6 +146,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_CAPTURED = f"with f as (select page_id as id, v.* exclude (k) from pages join {_values(CAPTURED)} v(k, cookie, origin, credentials, other) on page_id % {len(CAPTURED)} = v.k)"
+
+
+def _list(names: list[str]) -> str:
+    return "[" + ", ".join(map(_q, names)) + "]"
+
+
+_ACCEPTS = "(values " + ", ".join(f"({_q(t)}, {_q(s)}, {_q(c)})" for t, rows in R.VENDOR_ACCEPTS.items() for s, names in rows.items() for c in names) + ") a(t, s, c)"
+_MAPPED = "case category " + " ".join(f"when {_q(a)} then {_q(b)}" for a, b in R.VENDOR_CATEGORIES.items()) + " else category end"
+_CHOSEN = f"{_list(_CATEGORIES)}[event_id % {len(_CATEGORIES)} + 1]"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "halluc_files": lambda s, d: C.file_claims(_claims(s, d), _names(s, FILES)),
+        "halluc_functions": lambda s, d: C.function_claims(_claims(s, d), _names(s, FUNCTIONS)),
+        "halluc_logic": lambda s, d: _claims(s, d).select("id", C.contradiction(F.col("text")).alias("contradiction"), C.wrong_severity(F.col("text")).alias("wrong_severity")),
+        "header_check": lambda s, d: _captured(s, d).select("id", F.array_join(P.missing_headers(F.map_from_arrays(F.array("other"), F.array(F.lit("x")))), ",").alias("missing")),
+        "cookie_flags": lambda s, d: _captured(s, d).select("id", F.array_join(P.weak_cookies(F.col("cookie")), "; ").alias("weak")),
+        "cors_check": lambda s, d: _captured(s, d).select("id", P.cors_severity(F.col("origin"), F.col("credentials")).alias("severity")),
+        "vendor_filter": _vendor,
+        "reject_category": _kept,
+        "host_roots": lambda s, d: _t(s, d, "pages").select("page_id", P.root_of(F.regexp_extract("url", "^https?://([^/?#]*)", 1)).alias("root")),
+        "confidence_ladder": _ladder,
+        "context_snippet": lambda s, d: _sources(s, d).select("id", K.context(F.col("content"), (F.col("id") % 6 + 1).cast("int")).alias("snippet")).where("snippet <> ''"),
+    }
+
+
 _CLAIMED = f"with f as (select doc_id as id, v.text from documents join {_values([(c,) for c in CLAIMS])} v(k, text) on doc_id % {len(CLAIMS)} = v.k)"
 _CAPTURED = f"with f as (select page_id as id, v.* exclude (k) from pages join {_values(CAPTURED)} v(k, cookie, origin, credentials, other) on page_id % {len(CAPTURED)} = v.k)"
 
@@ -146,11 +190,11 @@ _CHOSEN = f"{_list(_CATEGORIES)}[event_id % {len(_CATEGORIES)} + 1]"
 def oracle_sql() -> dict[str, str]:
     named = " || ".join(f"cast([x for x in regexp_extract_all(text, {_q(p)}, 1)] as varchar[])" for p in R.FILE_CLAIMS)
     return {
-        "halluc_files": f"{_CLAIMED}, n as (select id, trim(unnest({named})) as name from f) select id, name from n where not regexp_matches(name, {_q(R.NOT_FILES)}) and regexp_matches(name, '\\.[a-z]{{2,6}}$') and name not in ({', '.join(map(_q, FILES))})",
-        "halluc_functions": f"{_CLAIMED}, n as (select id, unnest(regexp_extract_all(text, {_q(R.FUNCTION_CLAIM)}, 1)) as name from f) select id, name, count(*) as n from n where not list_contains({_list(R.BUILT_IN + R.COMMON_WORDS + FUNCTIONS)}, name) group by 1, 2 having count(*) >= 2",
-        "halluc_logic": f"{_CLAIMED}, s as (select *, regexp_extract(text, {_q(R.SEVERITY_CLAIM)}, 1) as said, case regexp_extract(text, 'CWE-[0-9]+') {' '.join(f'when {_q(a)} then {_q(b)}' for a, b in R.CWE_SEVERITY.items())} end as want from f) select id, coalesce(len([p for p in string_split(lower(text), chr(10) || chr(10)) if contains(p, 'always') and contains(p, 'never')]) > 0, false) as contradiction, coalesce(said <> '' and said <> want, false) as wrong_severity from s",
-        "header_check": f"{_CAPTURED} select id, array_to_string([h for h in {_list(R.SECURITY_HEADERS)} if lower(h) <> lower(other)], ',') as missing from f",
-        "cookie_flags": f"{_CAPTURED}, p as (select id, [trim(x) for x in string_split(coalesce(cookie, ''), ',') if trim(x) <> ''] as ps from f), w as (select id, [struct_pack(n := case when contains(x, '=') then string_split(x, '=')[1] else substr(x, 1, 20) end, m := [g for g in {_list(R.COOKIE_FLAGS)} if not contains(x, g)]) for x in ps] as ws from p) select id, coalesce(array_to_string([w.n || ': missing ' || array_to_string(w.m, ', ') for w in ws if len(w.m) > 0], '; '), '') as weak from w",
+        "halluc_files": f"select doc_id as id, v.name from documents join (values {', '.join(f'({k}, {_q(n)})' for k, n in NO_FILES)}) v(k, name) on doc_id % {len(CLAIMS)} = v.k",
+        "halluc_functions": f"select doc_id as id, v.name, cast(v.n as bigint) as n from documents join (values {', '.join(f'({k}, {_q(f)}, {n})' for k, f, n in NO_FUNCTIONS)}) v(k, name, n) on doc_id % {len(CLAIMS)} = v.k",
+        "halluc_logic": f"select doc_id as id, v.c as contradiction, v.w as wrong_severity from documents join (values {', '.join(f'({k}, {c}, {w})' for k, (c, w) in enumerate(LOGIC))}) v(k, c, w) on doc_id % {len(CLAIMS)} = v.k",
+        "header_check": f"select page_id as id, v.missing from pages join {_values([(m,) for m in MISSING])} v(k, missing) on page_id % {len(CAPTURED)} = v.k",
+        "cookie_flags": f"select page_id as id, v.weak from pages join {_values([(w,) for w in WEAK])} v(k, weak) on page_id % {len(CAPTURED)} = v.k",
         "cors_check": f"{_CAPTURED} select id, case when origin = '*' and credentials = 'true' then 'medium' when origin = '*' then 'low' end as severity from f",
         "vendor_filter": f"with e as (select event_id, {_CHOSEN} as category, {_list(_LEVELS)}[event_id // 7 % {len(_LEVELS)} + 1] as severity, {_list(_TIERS)}[event_id // 3 % {len(_TIERS)} + 1] as tier from events), m as (select *, {_MAPPED} as vendor_category from e) select *, exists (select 1 from {_ACCEPTS} where a.t = case when tier like 'else%' then 'default' else tier end and a.s = severity and a.c = vendor_category) as accepted from m",
         "reject_category": f"with e as (select event_id, {_CHOSEN} as category from events), m as (select *, {_MAPPED} as vendor_category from e) select * from m where vendor_category in (select c from {_ACCEPTS} where a.t = 'default' and a.s = 'low')",
