@@ -12,7 +12,7 @@ import ast
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -289,9 +289,10 @@ def nearby(of: DataFrame, found: DataFrame) -> DataFrame:
     pairs = mine.join(others, ["path", "slot"]).where((F.col("name") != F.col("func")) & (F.abs(F.col("line_start") - F.col("at")) <= NEAR_LINES))
     lines = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
     text = F.concat(F.lit("// "), "name", F.lit(" (lines "), lines, F.lit(", type="), "kind", F.lit(")\n"), "signature", F.lit("\n"), F.substring("body", 1, NEAR_BODY))
-    order = F.struct("line_start", -F.col("line_end"), "name", text.alias("text"))
-    best = pairs.groupBy("hook_id", "path").agg(F.slice(F.array_sort(F.collect_list(order)), 1, MOST_NEAR).alias("near"))
-    return best.select("hook_id", "path", F.posexplode("near").alias("place", "n")).select("hook_id", "path", (F.col("place") + 1).alias("place"), "n.name", "n.text")
+    first = Window.partitionBy("hook_id", "path").orderBy("line_start", F.desc("line_end"), "name", "text")
+    told = pairs.select("hook_id", "path", "name", "line_start", "line_end", text.alias("text"))
+    best = told.withColumn("place", F.row_number().over(first)).where(F.col("place") <= MOST_NEAR)  # cut in each task before rows are shuffled
+    return best.select("hook_id", "path", "place", "name", "text")
 
 
 def context(content: Column, line: Column, around: int = AROUND, last: Column | None = None) -> Column:
