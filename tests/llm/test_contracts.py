@@ -23,10 +23,10 @@ from vigilake.llm import op13_quality as op13
 from vigilake.llm.common import Words, shared_folder
 
 #: Names that operators use inside.
-NAMES = (
+NAMES = list(dict.fromkeys((
     "h1 h2 text_h1 text_h2 digest twin parts key range copy own slot rank base begin block step source_index times component component_id node home chunk rep members n shingle bucket place spans "
     "is_first carried runs hot anchor canon tie sha start length ids sequence_id offset n_words labels score predicted held_out turn positive toxic at cell part is_query vector query_id runs collapsed best start period h0 h3 form output value quality c0 c1 c2 a.b"
-).split()
+).split()))
 LONG = " ".join(f"long{i % 977}x{i % 1013}" for i in range(60_000))
 
 
