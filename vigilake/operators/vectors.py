@@ -33,16 +33,28 @@ def sound(v: Column) -> Column:
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def unit(v: Column) -> Column:
-    """A sound vector brought to length one; scaled first, so that no square overflows."""
-    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
-    small = F.transform(v, lambda x: x / top)
-    return F.transform(small, lambda x: x / F.sqrt(F.aggregate(small, F.lit(0.0), lambda a, y: a + y * y)))
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u: each vector brought to length one; scaled first, so that no square overflows. Components are summed in one order, so equal vectors stay equal."""
+    for batch in batches:
+        out: list = [None] * batch.num_rows
+        for _, rows, x in _by_length(batch):
+            x = x / np.abs(x).max(axis=1)[:, None]
+            for row, u in zip(rows, x / np.sqrt(_exact_squares(x))[:, None]):
+                out[row] = u
+        at = batch.schema.get_field_index("u")
+        yield batch.set_column(at, "u", pa.array(out, pa.list_(pa.float64())))
+
+
+def _exact_squares(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * x[:, j]
+    return out
 
 
 def _units(rows: DataFrame, v: str) -> DataFrame:
-    known = rows.where(sound(F.col(v)))
-    return known.withColumn("length", F.size(v)).withColumn("u", unit(F.col(v).cast("array<double>")))
+    known = rows.where(sound(F.col(v))).withColumn("length", F.size(v)).withColumn("u", F.col(v).cast("array<double>")).drop(v)
+    return known.mapInArrow(_scaled, known.schema)
 
 
 def _matrix(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
